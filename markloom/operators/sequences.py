@@ -26,6 +26,8 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     joined = left.join(renamed, cond, how)
+    if how in ("left_anti", "left_semi"):
+        return joined
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
@@ -90,20 +92,20 @@ def fold_text(
     """Join all values of a key into one text.
 
     Keys with more than ``limit`` values are not folded in one task: each of their rows comes out
-    on its own, numbered by ``part`` in no particular grouping but sortable by the same order.
+    on its own with a non-zero ``part``. The few hot keys are a small table, which Spark broadcasts
+    after measuring it, so hot rows leave before the grouping shuffle.
     Columns: keys, part, out. ``part`` is 0 for a folded key.
     """
     slim = df.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], value.alias("_value"))
     marks = [f"_o{i}" for i in range(len(order))]
-    sizes = slim.groupBy(*keys).agg(F.count("*").alias("_n"))
-    sized = join_null_safe(slim, sizes, keys)
+    hot = slim.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
     folded = (
-        sized.filter(F.col("_n") <= limit)
+        join_null_safe(slim, hot, keys, "left_anti")
         .groupBy(*keys)
         .agg(F.sort_array(F.collect_list(F.struct(*marks, "_value"))).alias("_all"))
         .select(*keys, F.lit(0).cast("bigint").alias("part"), F.array_join(F.transform("_all", lambda x: x["_value"]), sep).alias(out))
     )
-    single = sized.filter(F.col("_n") > limit).select(
+    single = join_null_safe(slim, hot, keys, "left_semi").select(
         *keys, (F.abs(F.xxhash64(*marks, "_value")) + 1).alias("part"), F.col("_value").alias(out)
     )
     return folded.unionByName(single)
