@@ -245,6 +245,7 @@ class Tables:
         """Run Spark SQL over the views and tables it names."""
         text = text.replace("SPLIT_WORDS", SPLIT_SPARK)
         text = re.sub(r"\bas varchar\b", "as string", text)
+        text = text.replace("{", "{{").replace("}", "}}")
         frames: dict[str, DataFrame] = {}
 
         def bind(match: re.Match) -> str:
