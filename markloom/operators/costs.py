@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from markloom import constants as K
 from markloom.functions.money import edge_factor, krw
+from markloom.operators import sequences as S
 
 
 def price_table(spark: SparkSession) -> DataFrame:
@@ -161,11 +162,20 @@ def image_size_stats(photos: DataFrame) -> DataFrame:
 def median_latency(calls: DataFrame) -> DataFrame:
     """Median of the positive per-sheet times in seconds, NULL when nothing was measured.
 
-    Exact over the histogram of per-sheet milliseconds; both middle values are read off it.
+    Exact: the two middle values are read off a running count over the histogram of milliseconds,
+    which is cut into ranges so that no single task holds it all.
     """
     per_sheet = calls.groupBy("sheet_id").agg(F.sum("latency_ms").alias("ms")).filter("ms > 0")
-    histogram = per_sheet.groupBy("ms").agg(F.count("*").alias("n"))
-    return histogram.agg((F.percentile("ms", 0.5, "n") / 1000).alias("seconds"))
+    histogram = per_sheet.groupBy("ms").agg(F.count("*").alias("n")).withColumn("_k", F.lit(1))
+    total = histogram.groupBy("_k").agg(F.sum("n").alias("total"))  # one row
+    counted = S.running_sum(histogram, ["_k"], ["ms"], F.floor(F.col("ms") / 4096), F.col("n"), "cum")
+    ranked = counted.join(F.broadcast(total), "_k")
+
+    def holds(rank: Column) -> Column:
+        return (F.col("cum") > rank) & (F.col("cum") - F.col("n") <= rank)
+
+    middle = ranked.filter(holds(F.floor((F.col("total") - 1) / 2)) | holds(F.floor(F.col("total") / 2)))
+    return middle.agg(((F.min("ms") + F.max("ms")) / 2 / 1000).alias("seconds"))
 
 
 def queue_wait(sheets: DataFrame, seconds: DataFrame, lanes: int, keys: list[str] | None = None) -> DataFrame:
