@@ -186,16 +186,16 @@ from lineitem join part on p_partkey = l_partkey
 
 # words of every conversation laid out ten to a line, eighty lines to a page
 VIEWS["fx_words"] = """
-select doc_id, pos, cast(floor(pos / 800.0e0) as int) + turn * 100 as page, text,
+select doc_id, cast(pos as int) as pos, cast(floor(pos / 800.0e0) as int) + 1 as page, text,
   0.05e0 + (pos % 10) * 0.09e0 as x, 0.02e0 + (cast(floor(pos / 10.0e0) as bigint) % 80) * 0.012e0 as y,
   0.07e0 as w, 0.01e0 as h
 from (SPLIT_WORDS) t
 """
 SPLIT_DUCK = """
-select conv_id as doc_id, turn, unnest(string_split(text, ' ')) as text, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from conversations
+select conv_id * 100 + turn as doc_id, unnest(string_split(text, ' ')) as text, generate_subscripts(string_split(text, ' '), 1) - 1 as pos from conversations
 """
 SPLIT_SPARK = """
-select conv_id as doc_id, turn, u.text, u.pos from conversations lateral view posexplode(split(text, ' ')) u as pos, text
+select conv_id * 100 + turn as doc_id, u.text, u.pos from conversations lateral view posexplode(split(text, ' ')) u as pos, text
 """
 
 _NAME = re.compile(r"\bfx_\w+\b")
