@@ -8,17 +8,21 @@ wherever a greedy rule has to see neighbours together.
 from __future__ import annotations
 
 import difflib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType
 
 from markloom import constants as K
 from markloom.functions import files as FF
 from markloom.functions.text import is_mojibake, is_noise, text_or_empty, trimmed
 from markloom.operators import sequences as S
+from markloom.session import written
 
 BOX = ("x", "y", "w", "h")
 HEADER, FOOTER = 0.10, 0.97
@@ -130,28 +134,24 @@ def _islands(df: DataFrame, keys: list[str], order: list[str], tol: float) -> Da
     return S.running_sum(lagged.withColumn("_gap", starts), keys, order, bucket, F.col("_gap"), "island").drop("_above", "_gap")
 
 
-def _keep_apart(tol: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[float, float]] = []
-        mask = []
-        for y, x in zip(pdf["y"], pdf["x"]):
-            # rows come sorted by y, so only the tail of the kept list can be near
-            near = False
-            for ky, kx in reversed(kept):
-                if y - ky >= tol:
-                    break
-                if abs(x - kx) < tol:
-                    near = True
-                    break
-            if not near:
-                kept.append((y, x))
-            mask.append(not near)
-        return pdf[mask]
+def _keep_apart(tol: float, piece: list[str]):
+    """Stream rows sorted by piece, y and x; only kept rows within tol above the current one are held."""
 
-    def sorted_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf.sort_values(["y", "x", "pos"], kind="stable"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, kept = None, deque()
+        for pdf in batches:
+            mask = np.zeros(len(pdf), dtype=bool)
+            for i, (*ident, y, x) in enumerate(zip(*[pdf[c] for c in piece], pdf["y"], pdf["x"])):
+                if ident != current:
+                    current, kept = ident, deque()
+                while kept and y - kept[0][0] >= tol:
+                    kept.popleft()
+                if all(abs(x - kx) >= tol for _, kx in kept):
+                    kept.append((y, x))
+                    mask[i] = True
+            yield pdf[mask]
 
-    return sorted_run
+    return run
 
 
 def dedupe_regions(regions: DataFrame, tol: float = 0.004) -> DataFrame:
@@ -162,8 +162,9 @@ def dedupe_regions(regions: DataFrame, tol: float = 0.004) -> DataFrame:
     keys = ["doc_id", "page"]
     same = regions.groupBy(*keys, "y", "x").agg(F.min_by(F.struct(*regions.columns), "pos").alias("_r")).select("_r.*")
     placed = _islands(same, keys, ["y", "x"], tol)
-    kept = placed.groupBy(*keys, "island").applyInPandas(_keep_apart(tol), placed.schema)
-    return kept.select(*regions.columns)
+    piece = [*keys, "island"]
+    ordered = placed.repartition(*piece).sortWithinPartitions(*piece, "y", "x")
+    return ordered.mapInPandas(_keep_apart(tol, piece), placed.schema).select(*regions.columns)
 
 
 def number_region_match(numbers: DataFrame, regions: DataFrame) -> DataFrame:
@@ -187,28 +188,59 @@ def number_region_match(numbers: DataFrame, regions: DataFrame) -> DataFrame:
     return regions.join(answer, [*page, "y", "x"], "left")
 
 
-def _fill_island(tol: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        blanks = pdf[pdf["is_blank"]].sort_values("pos")
-        tokens = pdf[~pdf["is_blank"]].sort_values("pos")
-        xs, ys = tokens["x"].to_numpy(), tokens["y"].to_numpy()
-        pos, noise = tokens["pos"].to_numpy(), tokens["noise"].to_numpy()
-        free = np.ones(len(tokens), dtype=bool)
-        rows = []
-        for b_pos, bx, by in zip(blanks["pos"], blanks["x"], blanks["y"]):
-            near = free & (np.abs(ys - by) < tol)
-            if not near.any():
-                continue
-            i = int(np.argmin(np.where(near, np.abs(xs - bx), np.inf)))
-            if noise[i]:
-                continue
+def _take_nearest(is_blank, pos, x, y, noise, tol: float) -> list[tuple[int, int]]:
+    """Blanks of one piece, in order, take the free token closest in x; a noise token is never used up."""
+    order = np.argsort(pos, kind="stable")
+    tokens = order[~is_blank[order]]
+    xs, ys, free = x[tokens], y[tokens], np.ones(len(tokens), dtype=bool)
+    pairs = []
+    for b in order[is_blank[order]]:
+        near = free & (np.abs(ys - y[b]) < tol)
+        if not near.any():
+            continue
+        i = int(np.argmin(np.where(near, np.abs(xs - x[b]), np.inf)))
+        if not noise[tokens[i]]:
             free[i] = False
-            rows.append((b_pos, pos[i]))
-        head = pdf.iloc[0]
-        out = pd.DataFrame(rows, columns=["blank_pos", "token_pos"])
-        out.insert(0, "block", head["block"])
-        out.insert(0, "doc_id", head["doc_id"])
-        return out
+            pairs.append((pos[b], pos[tokens[i]]))
+    return pairs
+
+
+def _fill_pieces(tol: float, piece: list[str]):
+    """Stream rows sorted by piece; one piece is held at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            arrays = [pdf[c].to_numpy() for c in ("is_blank", "pos", "x", "y", "noise")]
+            changed = np.zeros(len(pdf), dtype=bool)
+            for c in piece:
+                v = pdf[c].to_numpy()
+                changed[1:] |= v[1:] != v[:-1]
+            starts = [0, *np.flatnonzero(changed), len(pdf)]
+            docs, blocks = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy()
+            for lo, hi in zip(starts, starts[1:]):
+                part = [a[lo:hi] for a in arrays]
+                rows += [(docs[lo], blocks[lo], *pair) for pair in _take_nearest(*part, tol)]
+            return pd.DataFrame(rows, columns=["doc_id", "block", "blank_pos", "token_pos"])
+
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            # the last piece of a batch may go on in the next one
+            last = np.ones(len(pdf), dtype=bool)
+            for c in piece:
+                last &= (pdf[c] == pdf[c].iloc[-1]).to_numpy()
+            split = int(np.argmax(last))
+            if held and not (pdf[piece].iloc[0].tolist() == held[-1][piece].iloc[-1].tolist()):
+                yield solve(pd.concat(held))
+                held = []
+            if split:
+                yield solve(pd.concat([*held, pdf.iloc[:split]]))
+                held = []
+            held.append(pdf.iloc[split:])
+        if held:
+            yield solve(pd.concat(held))
 
     return run
 
@@ -225,36 +257,42 @@ def nearest_blank_fill(blanks: DataFrame, tokens: DataFrame, tol: float = 0.02)
     placed = _islands(left.unionByName(right), ["doc_id", "block", "page"], ["y", "is_blank", "pos"], tol)
     doc_type, block_type, pos_type = (placed.schema[c].dataType.simpleString() for c in ("doc_id", "block", "pos"))
     schema = f"doc_id {doc_type}, block {block_type}, blank_pos {pos_type}, token_pos {pos_type}"
-    pairs = placed.groupBy("doc_id", "block", "page", "island").applyInPandas(_fill_island(tol), schema)
+    piece = ["doc_id", "block", "page", "island"]
+    ordered = placed.repartition(*piece).sortWithinPartitions(*piece)
+    pairs = ordered.mapInPandas(_fill_pieces(tol, piece), schema)
     filled = tokens.select("doc_id", "block", F.col("pos").alias("token_pos"), "page", "text", *BOX)
     shown = blanks.select("doc_id", "block", F.col("pos").alias("blank_pos"), F.col("text").alias("removed"))
     joined = pairs.join(filled, ["doc_id", "block", "token_pos"]).join(shown, ["doc_id", "block", "blank_pos"])
     return joined.withColumn("answer", trimmed(F.col("text"))).drop("text")
 
 
-TOKEN = "struct<page:int,text:string,x:double,y:double,w:double,h:double>"
+@pandas_udf(ArrayType(ArrayType(IntegerType())))
+def changed_spans(exam_words: pd.Series, key_words: pd.Series) -> pd.Series:
+    """[i1, i2, j1, j2] of every stretch of key words that replaces or extends exam words."""
 
+    def one(exam, key) -> list[list[int]]:
+        matcher = difflib.SequenceMatcher(None, list(exam), list(key), autojunk=False)
+        return [[i1, i2, j1, j2] for tag, i1, i2, j1, j2 in matcher.get_opcodes() if tag != "equal" and j2 > j1]
 
-def _changed_spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for doc, exam, key in zip(pdf["doc_id"], pdf["exam_words"], pdf["key_words"]):
-            matcher = difflib.SequenceMatcher(None, list(exam), list(key), autojunk=False)
-            for block, (tag, i1, i2, j1, j2) in enumerate(matcher.get_opcodes()):
-                if tag != "equal" and j2 > j1:
-                    rows.append((doc, block, i1, i2, j1, j2))
-        yield pd.DataFrame(rows, columns=["doc_id", "block", "i1", "i2", "j1", "j2"])
+    return pd.Series([one(a, b) for a, b in zip(exam_words, key_words)])
 
 
 def changed_blocks(documents: DataFrame) -> DataFrame:
-    """(doc_id, block, i1, i2, j1, j2): stretches of key words that replace or extend exam words.
+    """(doc_id, block, i1, j1, removed, added): the tokens on both sides of every change.
 
-    ``documents``: one row per document (doc_id, exam array<TOKEN>, key array<TOKEN>) as a parser
-    emits it. Only the words travel to Python, row by row of the existing partitioning; no shuffle.
+    ``documents``: one row per document (doc_id, exam, key) with arrays of tokens
+    struct<page, text, x, y, w, h> as a parser emits them. Only the words travel to Python, within
+    the given partitioning; pieces are sliced inside the row, so nothing is shuffled or copied twice.
     """
-    words = documents.select("doc_id", F.col("exam.text").alias("exam_words"), F.col("key.text").alias("key_words"))
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return words.mapInPandas(_changed_spans, f"doc_id {kind}, block int, i1 int, i2 int, j1 int, j2 int")
+    spans = documents.select("doc_id", "exam", "key", changed_spans(F.col("exam.text"), F.col("key.text")).alias("_ops"))
+
+    def piece(o: Column) -> Column:
+        i1, i2, j1, j2 = (F.get(o, F.lit(n)) for n in range(4))
+        return F.struct(
+            i1.alias("i1"), j1.alias("j1"), F.slice("exam", i1 + 1, i2 - i1).alias("removed"), F.slice("key", j1 + 1, j2 - j1).alias("added")
+        )
+
+    return spans.select("doc_id", F.posexplode(F.transform("_ops", piece)).alias("block", "_b")).select("doc_id", "block", "_b.*")
 
 
 def token_diff_answers(documents: DataFrame) -> DataFrame:
@@ -262,26 +300,23 @@ def token_diff_answers(documents: DataFrame) -> DataFrame:
 
     A block with blanks pairs each blank with the token at its place; any other block (or one
     without a single pair) is cut into lines. Columns: doc_id, block, place, page, answer, removed,
-    from_blank and the box.
+    from_blank and the box. The changed blocks are written once, since four branches need them.
     """
-    blocks = changed_blocks(documents)
-    wide = blocks.join(documents, "doc_id")
     ids = ["doc_id", "block"]
+    blocks = written(changed_blocks(documents), "changed-blocks")
 
-    def tokens(side: str, start: str, end: str) -> DataFrame:
-        piece = F.slice(F.col(side), F.col(start) + 1, F.col(end) - F.col(start))
-        rows = wide.select(*ids, F.col(start).alias("_s"), F.posexplode(piece).alias("_i", "_t"))
+    def tokens(df: DataFrame, side: str, start: str) -> DataFrame:
+        rows = df.select(*ids, F.col(start).alias("_s"), F.posexplode(side).alias("_i", "_t"))
         return rows.select(*ids, (F.col("_s") + F.col("_i")).alias("pos"), "_t.*")
 
-    removed, added = tokens("exam", "i1", "i2"), tokens("key", "j1", "j2")
-    blanks = removed.filter(F.col("text").rlike("_{2,}"))
-    with_blank = blanks.select(*ids).distinct()
-    pairs = nearest_blank_fill(blanks, added.join(with_blank, ids, "left_semi"))
+    blanked = blocks.filter(F.exists("removed", lambda w: w["text"].rlike("_{2,}")))
+    blanks = tokens(blanked, "removed", "i1").filter(F.col("text").rlike("_{2,}"))
+    pairs = written(nearest_blank_fill(blanks, tokens(blanked, "added", "j1")), "blank-pairs")
     paired = pairs.select(*ids, F.col("blank_pos").alias("place"), "page", "answer", "removed", F.lit(True).alias("from_blank"), *BOX)
-    rest = added.join(pairs.select(*ids).distinct(), ids, "left_anti")
-    lines = tokens_to_lines(rest, ids).filter((F.col("text") != "") & ~is_noise(F.col("text")))
-    # the words a block replaces are a slice of one document row
-    gone = wide.select(*ids, trimmed(F.array_join(F.slice(F.col("exam.text"), F.col("i1") + 1, F.col("i2") - F.col("i1")), " ")).alias("removed"))
+    rest = blocks.join(pairs.select(*ids).distinct(), ids, "left_anti")
+    lines = tokens_to_lines(tokens(rest, "added", "j1"), ids).filter((F.col("text") != "") & ~is_noise(F.col("text")))
+    # the words a block replaces belong to one document row
+    gone = rest.select(*ids, trimmed(F.array_join("removed.text", " ")).alias("removed"))
     split = lines.join(gone, ids).select(
         *ids, F.col("line").cast("int").alias("place"), "page", F.col("text").alias("answer"), "removed", F.lit(False).alias("from_blank"), *BOX
     )
