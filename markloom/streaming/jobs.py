@@ -32,16 +32,22 @@ def _latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
     return first_rows(spark.read.parquet(out), keys, [F.col("batch").desc()]).drop("batch")
 
 
-def hourly_usage(events: DataFrame, hours: DataFrame, late: str = "1 day") -> DataFrame:
-    """Streaming counts per clock hour: (window, total, off). ``events`` needs a TIMESTAMP created_at."""
-    flagged = with_off_hours(events.withWatermark("created_at", late), hours)
+def hourly_usage(events: DataFrame, hours: DataFrame, late: str | None = None) -> DataFrame:
+    """Streaming counts per clock hour: (window, total, off). ``events`` needs a TIMESTAMP created_at.
+
+    State is one row per clock hour, so by default nothing is ever too late; ``late`` sets a
+    watermark that frees old hours and drops what arrives after it.
+    """
+    flagged = with_off_hours(events.withWatermark("created_at", late) if late else events, hours)
     return flagged.groupBy(F.window("created_at", "1 hour")).agg(F.count("*").alias("total"), F.count_if("off_hours").alias("off"))
 
 
-def stream_usage_by_hour(spark: SparkSession, events: DataFrame, hours: DataFrame, out: str | None = None) -> DataFrame:
+def stream_usage_by_hour(
+    spark: SparkSession, events: DataFrame, hours: DataFrame, out: str | None = None, late: str | None = None
+) -> DataFrame:
     """Drain the stream and fold the clock hours into 24 KST bins."""
     out = out or scratch_path(spark, "usage-hours")
-    _drain(hourly_usage(events, hours), f"{out}/data", f"{out}/state", "update")
+    _drain(hourly_usage(events, hours, late), f"{out}/data", f"{out}/state", "update")
     slots = _latest(spark, f"{out}/data", ["window"]).withColumn("hour", kst_hour(F.col("window.start")))
     bins = slots.groupBy("hour").agg(F.sum("total").alias("total"), F.sum("off").alias("off"))
     day = spark.range(24).select(F.col("id").cast("int").alias("hour"))
