@@ -30,7 +30,7 @@ def main() -> None:
     from markloom.checks import all_queries
     from markloom.session import build_session
 
-    spark = build_session("markloom-bench", f"local[{cpus}]", cpus)
+    spark = build_session("markloom-bench", f"local[{cpus}]", cpus, os.environ.get("BENCH_MEMORY", "16g"))
     spark.sparkContext.setLogLevel("ERROR")
     registered = all_queries()
     names = wanted.split(",") if wanted else HEADLINE

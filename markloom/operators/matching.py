@@ -16,6 +16,7 @@ from markloom.functions import titles as T
 from markloom.functions.money import round2
 from markloom.functions.text import norm
 from markloom.operators import sequences as S
+from markloom.session import written
 
 TITLE_FLOOR = K.TITLE_MIN - K.TITLE_MARGIN
 PROMPT_FLOOR = K.PROMPT_MIN - K.PROMPT_MARGIN
@@ -91,29 +92,78 @@ def _prompt_sets(items: DataFrame, ident: str) -> DataFrame:
     return S.join_null_safe(sets, sizes, [ident])
 
 
-def _rare_prompts(sets: DataFrame, ident: str, freq: DataFrame, floor: float) -> DataFrame:
+def _one_per_set(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sets of one representative sheet per distinct prompt set, sheet_id -> representative).
+
+    A class that sat one exam shares one prompt set and is compared once. Sets are told apart by
+    size and two independent 64-bit hash sums, which combine map-side in any order.
+    """
+    h = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    marked = sets.groupBy("sheet_id").agg(F.count("*").alias("_n"), h("prompt").alias("_h1"), h(F.lit(7), "prompt").alias("_h2"))
+    sig = ["_n", "_h1", "_h2"]
+    members = marked.join(marked.groupBy(*sig).agg(F.min("sheet_id").alias("rep")), sig).select("sheet_id", "rep")
+    heads = members.filter("sheet_id = rep").select("sheet_id")
+    return sets.join(heads, "sheet_id", "left_semi"), members
+
+
+def _rare_prompts(sets: DataFrame, ident: str, floor: float) -> DataFrame:
     """Rarest prompts of each set: one of them must be shared by any partner that covers ``floor`` of the set."""
-    mixed = sets.join(freq, "prompt").withColumn("_h", F.xxhash64("prompt"))
+    mixed = sets.withColumn("_h", F.xxhash64("prompt"))
     bucket = F.struct("freq", F.shiftright("_h", 54))
     ranked = S.position(mixed, [ident], ["freq", "_h", "prompt"], bucket, "_pos")
     keep = F.col("size") - F.ceil(F.col("size") * F.lit(floor) - F.lit(1e-9)) + 1
-    return ranked.filter(F.col("_pos") < keep).select(ident, "prompt", "size")
+    return ranked.filter(F.col("_pos") < keep).select(ident, "prompt", F.col("size"))
 
 
-def prompt_overlap_join(sheet_items: DataFrame, key_items: DataFrame, floor: float = PROMPT_FLOOR) -> DataFrame:
-    """(sheet_id, slug, hits, ratio) where shared distinct prompts cover at least ``floor`` of the smaller set."""
-    a, b = _prompt_sets(sheet_items, "sheet_id"), _prompt_sets(key_items, "slug")
-    freq = a.select("prompt").unionAll(b.select("prompt")).groupBy("prompt").agg(F.count("*").alias("freq"))
-    b_all = b.select("slug", "prompt", F.col("size").alias("size_b"))
-    a_all = a.select("sheet_id", "prompt", F.col("size").alias("size_a"))
-    small_a = _rare_prompts(a, "sheet_id", freq, floor).withColumnRenamed("size", "size_a").join(b_all, "prompt").filter("size_a <= size_b")
-    small_b = _rare_prompts(b, "slug", freq, floor).withColumnRenamed("size", "size_b").join(a_all, "prompt").filter("size_b < size_a")
-    cols = ["sheet_id", "slug", "size_a", "size_b"]
-    candidates = small_a.select(*cols).unionAll(small_b.select(*cols)).distinct()
-    shared = candidates.join(a_all.drop("size_a"), "sheet_id").join(b_all.drop("size_b"), ["slug", "prompt"])
-    hits = shared.groupBy(*cols).agg(F.count("*").alias("hits"))
-    ratio = F.col("hits").cast("double") / F.least("size_a", "size_b")
-    return hits.select("sheet_id", "slug", "hits", ratio.alias("ratio")).filter(F.col("ratio") >= floor)
+def prompt_overlap_join(sheet_items: DataFrame, key_items: DataFrame, floor: float = PROMPT_FLOOR, common: int = 64) -> DataFrame:
+    """(sheet_id, slug, hits, ratio) where shared distinct prompts cover at least ``floor`` of the smaller set.
+
+    Prompts in at most ``common`` keys are joined and counted directly, which grows linearly with
+    the sheets. Frequent prompts are only looked up for pairs that can still reach the floor; sets
+    made mostly of frequent prompts get their candidates from their rarest prompts instead. Every
+    qualifying pair is found whatever ``common`` is.
+    """
+    every = _prompt_sets(sheet_items, "sheet_id")
+    unique, members = _one_per_set(every)
+    b0 = _prompt_sets(key_items, "slug")
+    freq = b0.groupBy("prompt").agg(F.count("*").alias("freq"))
+    # prompts of no key cannot be shared, but they count in the set's size
+    a = written(unique.join(freq, "prompt"), "sheet-prompts")
+    b = written(b0.join(freq, "prompt"), "key-prompts")
+    hot = F.col("freq") > common
+
+    def sizes(df: DataFrame, ident: str, side: str) -> DataFrame:
+        return df.groupBy(ident).agg(F.first("size").alias(f"size_{side}"), F.count_if(hot).alias(f"hot_{side}"))
+
+    size_a, size_b = sizes(a, "sheet_id", "a"), sizes(b, "slug", "b")
+    pair = ["sheet_id", "slug"]
+    rare = a.filter(~hot).select("sheet_id", "prompt").join(b.filter(~hot).select("slug", "prompt"), "prompt")
+    direct = rare.groupBy(*pair).agg(F.count("*").alias("rare"))
+
+    mostly = lambda ident: F.count_if(hot) >= F.first("size") * F.lit(floor)
+    hot_a = a.groupBy("sheet_id").agg(mostly("sheet_id").alias("_m")).filter("_m").select("sheet_id")
+    hot_b = b.groupBy("slug").agg(mostly("slug").alias("_m")).filter("_m").select("slug")
+    first_a = _rare_prompts(a.join(hot_a, "sheet_id", "left_semi"), "sheet_id", floor)
+    first_b = _rare_prompts(b.join(hot_b, "slug", "left_semi"), "slug", floor)
+    from_a = first_a.join(b.select("slug", "prompt", F.col("size").alias("_s")), "prompt").filter("size <= _s").select(*pair)
+    from_b = first_b.join(a.select("sheet_id", "prompt", F.col("size").alias("_s")), "prompt").filter("size < _s").select(*pair)
+    loose = from_a.unionAll(from_b).distinct().withColumn("rare", F.lit(0).cast("bigint"))
+    found = direct.unionAll(loose).groupBy(*pair).agg(F.max("rare").alias("rare"))
+    sized = found.join(size_a, "sheet_id").join(size_b, "slug")
+    smaller = F.least("size_a", "size_b")
+    reach = F.col("rare") + F.least("hot_a", "hot_b")
+    open_pairs = sized.filter(reach >= smaller * F.lit(floor) - F.lit(1e-9))
+    needs = (F.col("hot_a") > 0) & (F.col("hot_b") > 0)
+    asked = open_pairs.filter(needs).select(*pair)
+    extra = (
+        asked.join(a.filter(hot).select("sheet_id", "prompt"), "sheet_id")
+        .join(b.filter(hot).select("slug", "prompt"), ["slug", "prompt"])
+        .groupBy(*pair).agg(F.count("*").alias("more"))
+    )
+    hits = F.col("rare") + F.coalesce("more", F.lit(0))
+    done = open_pairs.join(extra, pair, "left").withColumn("hits", hits).withColumn("ratio", hits.cast("double") / smaller)
+    kept = done.filter(F.col("ratio") >= floor).select(F.col("sheet_id").alias("rep"), "slug", "hits", "ratio")
+    return members.join(kept, "rep").select("sheet_id", "slug", "hits", "ratio")
 
 
 def top2_margin(scored: DataFrame, keys: list[str], score: str, ident: str = "slug") -> DataFrame:
@@ -144,7 +194,7 @@ def match_answer_key(sheets: DataFrame, sheet_items: DataFrame, keys: DataFrame,
     rest = sheets.join(exact, "sheet_id", "left_anti").select("sheet_id", norm(F.col("title")).alias("_title"))
     named = keys.select("slug", F.col("title").alias("key_title"))
 
-    titles = title_similarity_join(rest.select(F.col("_title").alias("title")), keys)
+    titles = written(title_similarity_join(rest.select(F.col("_title").alias("title")), keys), "title-scores")
     best_title = top2_margin(titles, ["title"], "score").filter(
         (F.col("score") >= K.TITLE_MIN) & (F.col("runner_up").isNull() | (F.col("margin") >= K.TITLE_MARGIN))
     )

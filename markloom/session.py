@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "markloom", master: str | None = None, partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "markloom", master: str | None = None, partitions: int | None = None, memory: str | None = None) -> SparkSession:
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -19,6 +19,8 @@ def build_session(app: str = "markloom", master: str | None = None, partitions:
     )
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(partitions))
     return builder.getOrCreate()

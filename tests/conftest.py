@@ -10,7 +10,7 @@ from markloom.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("markloom-tests", "local[8]", 8)
+    session = build_session("markloom-tests", "local[8]", 8, "8g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -142,3 +142,20 @@ def test_similarity_join_finds_every_pair_above_the_floor(spark):
     want = {(r.title, r.slug) for r in every.collect()}
     got = {(r.title, r.slug) for r in matching.title_similarity_join(sh, ks).collect()}
     assert got == want and len(want) > 100
+
+
+def test_prompt_overlap_is_whole_whatever_counts_as_common(spark):
+    rng = random.Random(11)
+    draw = lambda n: rng.sample(["hot"] * 0 + [f"w{i}" for i in range(25)] + ["h1", "h2", "h3"] * 3, n)
+    left = {s: set(draw(rng.randint(1, 8))) for s in range(80)}
+    right = {f"k{k}": set(draw(rng.randint(1, 8))) for k in range(60)}
+    si = spark.createDataFrame([(s, p) for s, ps in left.items() for p in ps], "sheet_id long, prompt string")
+    ki = spark.createDataFrame([(k, p) for k, ps in right.items() for p in ps], "slug string, prompt string")
+    want = {}
+    for s, a in left.items():
+        for k, b in right.items():
+            if len(a & b) / min(len(a), len(b)) >= matching.PROMPT_FLOOR:
+                want[s, k] = len(a & b)
+    for common in (0, 4, 20, 64):
+        got = {(r.sheet_id, r.slug): r.hits for r in matching.prompt_overlap_join(si, ki, common=common).collect()}
+        assert got == want
