@@ -263,14 +263,14 @@ class Tables:
         return self.sql(VIEWS[name])
 
     def _items(self) -> DataFrame:
-        raw = self.sql(f"select {ITEM_COLUMNS} from lineitem join part on p_partkey = l_partkey")
+        # every line item has its part, so positions can be given before the join
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
         bucket = F.struct("l_linenumber", F.floor(F.col("l_partkey") / 4096))
-        placed = sequences.position(raw, ["sheet_id"], order, bucket)
-        return placed.select(
-            "sheet_id", "seq", "no", "prompt", "expected", "direction", "prefix", "written", "blank", "legible",
-            "erased", "confidence", "correct", "teacher_correct", "note",
-        )
+        lines = self.lineitem.drop("l_discount", "l_tax", "l_shipdate")
+        placed = sequences.position(lines, ["l_orderkey"], order, bucket)
+        joined = placed.join(self.part, placed.l_partkey == self.part.p_partkey)
+        computed = self.spark.sql(f"select seq, {ITEM_COLUMNS.replace('as varchar', 'as string')} from {{placed}}", placed=joined)
+        return computed.drop(*order)
 
     @cached_property
     def sheets_full(self) -> DataFrame:

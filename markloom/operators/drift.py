@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from markloom import constants as K
 from markloom.functions.text import language_mismatch, norm, num_key, prefix_mismatch, text_or_empty, trimmed
 from markloom.operators import sequences as S
+from markloom.session import written
 
 CHECKS = ("duplicate", "sections", "gaps", "total", "key", "empty_prompt", "prefix", "language")
 
@@ -116,7 +117,8 @@ def drift_warnings(items: DataFrame, sheets: DataFrame, key: DataFrame | None =
 
     ``sheets``: (sheet_id, printed_total, page_count); ``key``: (sheet_id, no, prompt, pos) or None.
     """
-    sections = number_sections(items)
+    # the numbering is narrow, costly to derive and needed by three checks
+    sections = written(number_sections(items), "number-sections")
     dup = _listed(number_duplicates(items), "duplicate", F.col("no"), [F.col("no")], "문항 번호가 중복됩니다: ", 10)
     counted = sections.groupBy("sheet_id").agg(F.max("section").alias("k")).filter("k > 1")
     sect_text = F.concat(F.lit("번호 묶음이 "), F.col("k").cast("string"), F.lit("개입니다 — 절이 나뉜 시험지로 보고 연속성은 묶음 안에서만 검사합니다."))

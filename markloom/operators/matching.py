@@ -39,7 +39,7 @@ def _shape(df: DataFrame, ident: str, text: str) -> DataFrame:
         df.withColumn("_pairs", T.letter_pairs(F.col(text)))
         .withColumn("_nums", T.title_numbers(F.col(text)))
         .withColumn("_sig", F.array_join(F.sort_array("_nums").cast("array<string>"), ","))
-        .select(ident, text, "_pairs", "_nums", "_sig")
+        .select(*dict.fromkeys([ident, text]), "_pairs", "_nums", "_sig")
     )
 
 
@@ -70,8 +70,9 @@ def title_similarity_join(sheets: DataFrame, keys: DataFrame, floor: float = TIT
     Works on distinct titles, so a class of thousands with one exam costs one row. A title is one
     short string, so its token list is bounded by its own length.
     """
-    left = _shape(sheets.select(norm(F.col("title")).alias("_a")).filter("_a <> ''").distinct(), "_a", "_a")
-    right = _shape(keys.select("slug", norm(F.col("title")).alias("_b")).filter("_b <> ''").dropDuplicates(["slug"]), "slug", "_b")
+    titles = sheets.select("title").distinct().select(norm(F.col("title")).alias("_a")).filter("_a <> ''").distinct()
+    named = keys.dropDuplicates(["slug"]).select("slug", norm(F.col("title")).alias("_b")).filter("_b <> ''")
+    left, right = written(_shape(titles, "_a", "_a"), "sheet-titles"), written(_shape(named, "slug", "_b"), "key-titles")
     all_tokens = left.select(F.explode("_pairs").alias("token")).unionAll(right.select(F.explode("_pairs").alias("token")))
     freq = all_tokens.groupBy("token").agg(F.count("*").alias("freq"))
     by_token = _rare_tokens(left, "_a", freq, floor).join(_rare_tokens(right, "slug", freq, floor), "token").select("_a", "slug")
