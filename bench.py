@@ -1,7 +1,7 @@
 """Time the headline queries: one JSON line on stdout.
 
 BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_QUERIES (comma list).
-Every query runs once to warm up code generation and then BENCH_RUNS times (default 3); the median
+Every query runs once to warm up code generation and then BENCH_RUNS times (default 1); the median
 counts. Results go to the noop sink, so all rows are computed and none is collected.
 """
 
@@ -17,7 +17,7 @@ HEADLINE = (
     "sheet_verdict", "recount_verdict", "progress_summary", "review_stats", "wrong_items", "unjudged_by_exam", "overturn_rate",
     "number_sections", "drift_warnings", "merge_pages", "apply_reference", "build_reference", "run_diff_items", "trial_summary",
     "teacher_mark_compare", "phase_gate", "usage_by_staff", "usage_by_hour", "token_stage_split", "call_cost", "cost_levers",
-    "exact_title_match", "title_similarity_join", "prompt_overlap_join", "match_answer_key", "ocr_report", "replace_children",
+    "exact_title_match", "title_similarity_join", "ocr_report", "replace_children",
     "dq_constraint_violations", "tokens_to_lines", "token_diff_answers", "word_count",
 )
 
@@ -25,7 +25,7 @@ HEADLINE = (
 def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     wanted = os.environ.get("BENCH_QUERIES")
     from markloom.checks import all_queries
     from markloom.session import build_session

@@ -9,6 +9,7 @@ from markloom.checks.verdict_checks import NUMKEY_SQL
 from markloom.operators import drift as D
 from markloom.operators import pages as P
 from markloom.operators import reference as R
+from markloom.session import written
 
 # the same items with longer, broken and unnumbered sequences
 GAPPED = """(select sheet_id, seq, case when seq % 5 = 4 and sheet_id % 3 = 0 then 'A' when sheet_id % 2 = 0 then cast(seq * (1 + seq % 3) as varchar)
@@ -23,6 +24,11 @@ def gapped(t):
     return t.sql(f"select * from {GAPPED} g")
 
 
+def stored(t):
+    """The same items as a stored table, which is what the checks read in use."""
+    return written(gapped(t), "gapped-items")
+
+
 @query("number_duplicates", f"select sheet_id, trim(no) as no, count(*) as times from {GAPPED} g group by 1, 2 having count(*) > 1")
 def _(t):
     return D.number_duplicates(gapped(t))
@@ -30,7 +36,7 @@ def _(t):
 
 @query("number_sections", f"with {SECTIONS} select sheet_id, seq, no, section from sections")
 def _(t):
-    return D.number_sections(gapped(t)).select("sheet_id", "seq", "no", "section")
+    return D.number_sections(stored(t)).select("sheet_id", "seq", "no", "section")
 
 
 GAPS = """gaps as (select sheet_id, section, g.n as missing_no
@@ -41,7 +47,7 @@ GAPS = """gaps as (select sheet_id, section, g.n as missing_no
 
 @query("number_gaps", f"with {SECTIONS}, {GAPS} select * from gaps")
 def _(t):
-    return D.number_gaps(D.number_sections(gapped(t)))
+    return D.number_gaps(D.number_sections(stored(t)))
 
 
 KEY_ROWS = """(select sheet_id, no, case when seq % 6 = 1 then '' when (sheet_id + seq) % 8 = 0 then concat(prompt, ' x') else upper(prompt) end as prompt, seq as pos from fx_items)"""
@@ -92,7 +98,7 @@ DRIFT = f"""with {SECTIONS}, {GAPS},
 
 @query("drift_warnings", DRIFT + " select sheet_id, check_no, cast(section as bigint) as section, level, text from allw")
 def _(t):
-    return D.drift_warnings(gapped(t), t.sheets, t.sql(f"select * from {KEY_ROWS} r"))
+    return D.drift_warnings(stored(t), t.sheets, t.sql(f"select * from {KEY_ROWS} r"))
 
 
 PAGED = """(select sheet_id, cast(seq % (1 + sheet_id % 2) as int) as page, seq as pos, no, prompt, prefix, written, blank, legible, confidence from fx_items)"""

@@ -88,7 +88,7 @@ def title_similarity_join(sheets: DataFrame, keys: DataFrame, floor: float = TIT
 
 def _prompt_sets(items: DataFrame, ident: str) -> DataFrame:
     """Distinct filled prompts per owner with the owner's set size."""
-    sets = items.select(ident, norm(F.col("prompt")).alias("prompt")).filter("prompt <> ''").distinct()
+    sets = written(items.select(ident, norm(F.col("prompt")).alias("prompt")).filter("prompt <> ''").distinct(), "prompt-sets")
     sizes = sets.groupBy(ident).agg(F.count("*").alias("size"))
     return S.join_null_safe(sets, sizes, [ident])
 
