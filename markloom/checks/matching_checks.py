@@ -45,7 +45,7 @@ def _(t):
     return t.keys.select("slug", F.size(pairs).alias("n_pairs"), F.array_join(F.sort_array(pairs), ",").alias("pairs"))
 
 
-@query("title_numbers", f"select sheet_id, array_to_string(list_sort({NUMS.format('lower(title)')}), ',') as nums from fx_exams")
+@query("numbers", f"select sheet_id, array_to_string(list_sort({NUMS.format('lower(title)')}), ',') as nums from fx_exams")
 def _(t):
     nums = F.sort_array(TF.title_numbers(F.lower("title"))).cast("array<string>")
     return t.exams.select("sheet_id", F.array_join(nums, ",").alias("nums"))

@@ -231,3 +231,41 @@ def _(t):
         F.round(money.token_factor(long_side, edge), 9).alias("token_factor"),
         money.fit_side(w, h, edge).alias("fit_width"), money.fit_side(h, w, edge).alias("fit_height"),
     )
+
+
+LONG = "greatest(width, height)"
+SQUARED = f"(1288.0e0 / {LONG}) * (1288.0e0 / {LONG})"
+
+
+@query("edge_factor", f"select sheet_id, idx, width, height, round({SQUARED}, 9) as factor from fx_photos")
+def _(t):
+    factor = money.edge_factor(F.greatest("width", "height"), F.lit(1288))
+    return t.photos.select("sheet_id", "idx", "width", "height", F.round(factor, 9).alias("factor"))
+
+
+@query("token_factor", f"select sheet_id, idx, width, height, round(case when 1288 >= {LONG} then 1.0e0 else {SQUARED} end, 9) as factor from fx_photos")
+def _(t):
+    factor = money.token_factor(F.greatest("width", "height"), F.lit(1288))
+    return t.photos.select("sheet_id", "idx", "width", "height", F.round(factor, 9).alias("factor"))
+
+
+@query("fit_size", f"""select sheet_id, idx, cast(case when {LONG} <= 1288 then width else floor(width * (1288.0e0 / {LONG}) + 0.5) end as bigint) as width,
+  cast(case when {LONG} <= 1288 then height else floor(height * (1288.0e0 / {LONG}) + 0.5) end as bigint) as height from fx_photos""")
+def _(t):
+    w, h, edge = F.col("width"), F.col("height"), F.lit(1288)
+    return t.photos.select("sheet_id", "idx", money.fit_side(w, h, edge).alias("width"), money.fit_side(h, w, edge).alias("height"))
+
+
+@query("krw", "select o_orderkey as sheet_id, cast(floor(o_totalprice * 1415 + 0.5) as bigint) as krw from orders")
+def _(t):
+    return t.orders.select(F.col("o_orderkey").alias("sheet_id"), money.krw(F.col("o_totalprice")).alias("krw"))
+
+
+@query("pct", "select sheet_id, case when sheet_id % 9 <> 0 then printf('%.1f%%', (sheet_id % 5)::double / (sheet_id % 9) * 100) else '—' end as pct from fx_sheets")
+def _(t):
+    return t.sheets.select("sheet_id", money.pct(F.col("sheet_id") % 5, F.col("sheet_id") % 9).alias("pct"))
+
+
+@query("describe_wait", """select sheet_id, case when sheet_id % 700 <= 0 then '' when sheet_id % 700 < 90 then '1분 안' else concat('약 ', cast(ceil((sheet_id % 700) / 60.0e0) as bigint), '분') end as wait from fx_sheets""")
+def _(t):
+    return t.sheets.select("sheet_id", money.describe_wait(F.col("sheet_id") % 700).alias("wait"))
