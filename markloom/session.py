@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,15 +28,18 @@ def build_session(app: str = "markloom", master: str | None = None, partitions:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach.
+    """Folder every executor can reach: the one the cluster names in ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (local tests) a
-    temporary folder is made and remembered in the session.
+    Where it is unset, a session on one machine (tests, notebooks) sets its own; on a cluster that is an
+    error, as executors would write to their own disks and later reads would lack rows.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        root = context.getCheckpointDir()
     return root
 
 
