@@ -5,9 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from markloom.llm.common import read
 from markloom.llm.exact import exact_groups
+from markloom.llm.near import near_groups
+
+
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(read(spark, sf_dir), k=2)
+    return groups.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +22,24 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op8_minhash_near_dedup": r"""
+        with recursive
+        words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                   '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+        sets as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w
+                                     else list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) end as s from words),
+        items as (select doc_id, unnest(s) as item from sets),
+        pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both from items a join items b on a.item = b.item and a.doc_id <> b.doc_id group by 1, 2),
+        links as (select p.a, p.b from pairs p join sets x on x.doc_id = p.a join sets y on y.doc_id = p.b
+                  where 100 * p.both >= 80 * (len(x.s) + len(y.s) - p.both)),
+        reach as (select doc_id as start, doc_id as node from documents union select r.start, l.b from reach r join links l on l.a = r.node),
+        firsts as (select start, min(node) as component_id from reach group by 1)
+        select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from sets join firsts on start = doc_id""",
     "op9_exact_dedup": r"""
         with bare as (select doc_id, length(coalesce(text, '')) as n,
                              regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as bare from documents),
