@@ -30,9 +30,9 @@ ORACLES: dict[str, str] = {
     "op8_minhash_near_dedup": r"""
         with recursive
         words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                                                   '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents),
+                                                                   '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
         sets as (select doc_id, case when len(w) = 0 then [] when len(w) = 1 then w
-                                     else list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) end as s from words),
+                                     else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from words),
         items as (select doc_id, unnest(s) as item from sets),
         pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both from items a join items b on a.item = b.item and a.doc_id <> b.doc_id group by 1, 2),
         links as (select p.a, p.b from pairs p join sets x on x.doc_id = p.a join sets y on y.doc_id = p.b
