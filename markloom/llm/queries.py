@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from markloom.llm.common import read
 from markloom.llm.exact import exact_groups
 from markloom.llm.near import near_groups
+from markloom.llm.substring import cut_repeats
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(read(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,11 +27,22 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
+    "op6_substring_dedup": r"""
+        with words as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+             starts as (select doc_id, w, unnest(range(1, len(w) - 11)) as s from words where len(w) > 12),
+             windows as (select doc_id, s, min(doc_id) over (partition by array_to_string(w[s : s + 12], ' ')) as first_id from starts),
+             gone as (select distinct doc_id, unnest(range(s, s + 13)) as pos from windows where first_id < doc_id),
+             lists as (select doc_id, list(pos) as gone from gone group by 1),
+             kept as (select doc_id, len(w) as n_words, len(coalesce(gone, [])) as n_removed,
+                             case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i)) end as k
+                      from words left join lists using (doc_id))
+        select doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept""",
     "op8_minhash_near_dedup": r"""
         with recursive
         words as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
