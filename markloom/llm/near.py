@@ -1,14 +1,17 @@
 """Near duplicates: multi-index Hamming join of MinHash signatures, confirmed on full shingle sets.
 
-A signature holds LANES 16-bit MinHash values.  Two sets with a Jaccard similarity of 0.8 differ in a lane
-with probability 0.2, so in more than RADIUS = 47 of 120 lanes with probability below 1e-6.  By pigeonhole,
-signatures within that distance have one of CHUNKS = 24 chunks with at most 47 // 24 = 1 differing lane;
-a key for every chunk and left-out lane (120 keys) therefore meets every such pair in some bucket.
+A signature holds LANES = 84 16-bit MinHash values in CHUNKS = 14 chunks of six.  Documents get a key for
+every chunk and left-out lane (84 keys of five lanes), so two signatures meet in some bucket whenever one
+chunk has at most one differing lane.  By pigeonhole that is certain up to a distance of 27 lanes.  Sets
+with a Jaccard similarity of 0.8 differ in a lane with probability 0.2; beyond the certain radius they
+still meet unless all chunks have two differing lanes or more, which leaves 0.345 ** 14, under one in two
+million.  Pairs that meet are compared in full up to FAR lanes, which similar sets pass with probability
+below 1e-6.
 
 Buckets are never expanded into pairs.  Documents of one bucket name its first document as hub; a document
 is compared with its smallest hub, and what that links is contracted.  The rest is compared in tiles of
 about TILE documents: each pair of tiles that meet in a bucket is one unit of work which compares
-signatures, then full sets of the pairs within RADIUS, and hands on a spanning set of links.  Tiles whose
+signatures, then full sets of the pairs within FAR lanes, and hands on a spanning set of links.  Tiles whose
 documents all hang on the same hub are not compared again.  A family of copies, however large, spreads over
 its tiles.  Documents with equal sets are one document from the start.
 
@@ -30,9 +33,9 @@ from pyspark.sql import functions as F
 from markloom.llm.common import body, components, written
 from markloom.llm.words import joined, mix, text_column, word_hashes
 
-LANES, CHUNKS, RADIUS, BITS_APART = 120, 24, 47, 30
+LANES, CHUNKS, FAR = 84, 14, 38
 WIDTH, LONGS = LANES // CHUNKS, LANES // 4
-TILE = 256
+TILE = 64
 _RANDOM = np.random.default_rng(80)
 _TIMES = _RANDOM.integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(1, 1 << 63, LANES, dtype=np.uint64)
@@ -158,7 +161,7 @@ def _near(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         others = others[(hung[others] < 0) | (hung[others] != hung[i])]
         others = others[100 * np.minimum(size[others], size[i]) >= 80 * np.maximum(size[others], size[i])]
         if len(others):
-            others = others[(lanes[others] != lanes[i]).sum(axis=1) <= RADIUS]
+            others = others[(lanes[others] != lanes[i]).sum(axis=1) <= FAR]
             found.append((np.full(len(others), i), others))
     if not found:
         return np.zeros(0, int), np.zeros(0, int)
