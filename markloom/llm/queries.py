@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markloom.llm.common import read
 from markloom.llm.exact import exact_groups
+from markloom.llm.mixing import mix_digest
 from markloom.llm.near import near_groups
 from markloom.llm.packing import pack_digest
 from markloom.llm.substring import cut_repeats
@@ -37,11 +38,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir)).drop("row")
 
 
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_digest(read(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_source_mixing": op10_source_mixing,
 }
 
 ORACLES: dict[str, str] = {
