@@ -13,6 +13,7 @@ from markloom.llm.mixing import mix_digest
 from markloom.llm.near import near_groups
 from markloom.llm.packing import pack_digest
 from markloom.llm.substring import cut_repeats
+from markloom.llm.toxicity import toxicity
 
 
 def token_file(name: str = "word_bpe_49k.json") -> str:
@@ -25,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(read(spark, sf_dir), token_file())
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(read(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -44,6 +49,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,

@@ -22,6 +22,9 @@ _LOWER = _VALUES.copy()
 _LOWER[65:91] = _VALUES[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words of letters and digits; A-Z count as letters, bytes above 127 too.
+_MARKS = np.ones(256, bool)
+_MARKS[128:] = _MARKS[48:58] = _MARKS[65:91] = _MARKS[97:123] = False
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -54,9 +57,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _block(data: np.ndarray, heads: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _block(data: np.ndarray, heads: np.ndarray, values: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of a block and their number in each text; ``heads`` are the starts of its texts."""
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = heads[heads < len(data)]
@@ -78,7 +81,12 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
 
 
-def word_blocks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def token_blocks(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``word_blocks`` for lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``: punctuation parts words too."""
+    return word_blocks(texts, True, _MARKS)
+
+
+def word_blocks(texts: pa.Array, lower: bool = False, breaks: np.ndarray = _SPACE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Word hashes of runs of texts with the number of words in each text; ``lower`` treats A-Z as a-z."""
     values = _LOWER if lower else _VALUES
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -89,14 +97,14 @@ def word_blocks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[np.ndarr
         to = max(int(np.searchsorted(offsets, a + BLOCK, "right")) - 1, at + 1)
         b = int(offsets[to])
         if b - a <= BLOCK:
-            yield _block(data[a:b], offsets[at:to] - a, values)
+            yield _block(data[a:b], offsets[at:to] - a, values, breaks)
         else:
             parts = []
             while a < b:
                 cut = min(b, a + BLOCK)
-                while cut < b and not _SPACE[data[cut]]:
+                while cut < b and not breaks[data[cut]]:
                     cut += 1
-                parts.append(_block(data[a:cut], np.zeros(1, np.int64), values)[0])
+                parts.append(_block(data[a:cut], np.zeros(1, np.int64), values, breaks)[0])
                 a = cut
             one = np.concatenate(parts)
             yield one, np.array([len(one)])
