@@ -35,7 +35,7 @@ from markloom.llm.words import joined, mix, text_column, word_hashes
 
 LANES, CHUNKS, FAR = 84, 14, 38
 WIDTH, LONGS = LANES // CHUNKS, LANES // 4
-TILE = 64
+TILE = 128
 _RANDOM = np.random.default_rng(80)
 _TIMES = _RANDOM.integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(1, 1 << 63, LANES, dtype=np.uint64)
@@ -218,7 +218,7 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
     parts = family.groupBy("hub").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     spread = family.filter("row <> hub").join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
     heads = spread.select("hub", "part").distinct().select(F.col("hub").alias("row"), "hub", "part")
-    ends = spread.select("row", "hub", "part").union(heads).join(texts, "row")
+    ends = spread.select("row", "hub", "part").union(heads).join(texts.hint("merge"), "row")
     hung_links = written(_sorted(ends, ["hub", "part"], F.col("row") != F.col("hub"), "row").mapInArrow(_against_hub(k, percent), "a long, b long"), "hung")
 
     on_hub = hung_links.select(F.col("b").alias("row"), F.lit(True).alias("on_hub")).union(
@@ -234,7 +234,7 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
     sides = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
     work = sides.join(tiles, "tile").join(unique, "row").select("one", "two", "tile", "row", "hung", "n_shingles", "sig")
     some = _sorted(work, ["one", "two"], "row").mapInArrow(_candidates, work.schema)
-    compared = _sorted(written(some, "candidates").join(texts, "row"), ["one", "two"], "row")
+    compared = _sorted(written(some, "candidates").join(texts.hint("merge"), "row"), ["one", "two"], "row")
     return hung_links.union(written(compared.mapInArrow(_within_tiles(k, percent), "a long, b long"), "links"))
 
 
