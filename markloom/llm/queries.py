@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markloom.llm.common import read
 from markloom.llm.exact import exact_groups
+from markloom.llm.licenses import license_scan
 from markloom.llm.mixing import mix_digest
 from markloom.llm.near import near_groups
 from markloom.llm.packing import pack_digest
@@ -16,6 +17,10 @@ from markloom.llm.substring import cut_repeats
 from markloom.llm.toxicity import toxicity
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir))
+
+
 def token_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -48,6 +53,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_toxicity": op4_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
