@@ -7,6 +7,9 @@ their texts, some anchor inside them starts at such a position in both.  So only
 them are hashed and grouped, and a window is cut wherever its group holds a smaller id.  Both groupings are
 sorted streams: a passage that most documents share passes through in constant memory.
 
+Rows whose whole word sequence another row with a smaller id has are recognised first: all their windows are
+cut, so they need no anchors.  The texts are shuffled once; the three joins read the same exchange.
+
 Defined cases: a null text has no words; texts shorter than a window lose nothing; rows with equal ids take
 nothing from each other; a null id counts as larger than any other; an empty table gives no rows; other
 columns are ignored.  The input must give the same rows in the same order whenever it is read (a table).
@@ -21,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import body
-from markloom.llm.words import joined, text_column, word_blocks
+from markloom.llm.common import body, written
+from markloom.llm.words import joined, mix, text_column, word_blocks
 
 #: Perfect difference sets by their period.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -142,15 +145,31 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(ids > first)).select(["row", "pos"])
 
 
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Number of words and 128 bits of hash of every row's word sequence."""
+    for batch in batches:
+        found = [(np.zeros(0, np.int64),) * 3]
+        for words, counts in word_blocks(text_column(batch)):
+            _, pos = _places(counts)
+            placed = mix(words + mix(pos.astype(np.uint64)))
+            sums = [np.append(np.uint64(0), np.cumsum(x)) for x in (placed, mix(placed + np.uint64(1)))]
+            ends = np.cumsum(counts)
+            found.append((counts.astype(np.int64), *((x[ends] - x[ends - counts]).view(np.int64) for x in sums)))
+        n, one, two = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(n), pa.array(one), pa.array(two)], ["row", "doc_id", "n", "one", "two"])
+
+
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places, total, gone, kept = text_column(batch), batch.column("places"), [], [], []
+            texts, places, whole, total, gone, kept = text_column(batch), batch.column("places"), batch.column("whole").to_pylist(), [], [], []
             for i in range(batch.num_rows):
                 words = texts[i].as_buffer().to_pybytes().split()
                 total.append(len(words))
                 starts = np.asarray(places[i].values, np.int64) if places[i].is_valid else np.zeros(0, np.int64)
-                if len(starts):
+                if whole[i]:
+                    words = []
+                elif len(starts):
                     edge = np.zeros(len(words) + window + 1, np.int64)
                     edge[starts] += 1
                     edge[starts + window] -= 1
@@ -171,11 +190,18 @@ def _sorted(rows: DataFrame, *order: str | Column) -> DataFrame:
 def cut_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` of every document; kept words are joined by one space."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    anchors = texts.select("row", "text").mapInArrow(_anchors(window), "code long, row long, pos int")
+    same = written(texts.mapInArrow(_codes, "row long, doc_id long, n long, one long, two long"), "codes").withColumn("id", F.coalesce("doc_id", F.lit(LAST))).filter(F.col("n") >= window)
+    least = same.groupBy("n", "one", "two").agg(F.min("id").alias("least"))
+    copies = written(same.join(least, ["n", "one", "two"]).select("row", (F.col("id") > F.col("least")).alias("whole")), "copies")
+
+    shared_texts = texts.hint("merge")
+    firsts = copies.filter(~F.col("whole")).select("row")
+    anchors = firsts.join(shared_texts, "row").select("row", "doc_id", "text").mapInArrow(_anchors(window), "code long, row long, pos int")
     shared = _sorted(anchors, "code", "row").mapInArrow(_shared, "row long, pos int")
     places = shared.groupBy("row").agg(F.collect_list("pos").alias("places"))
-    known = texts.withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
-    windows = places.join(known, "row").select("row", "id", "text", "places").mapInArrow(_windows(window), "code long, id long, row long, pos int")
-    later = _sorted(windows, "code", "id").mapInArrow(_later, "row long, pos int")
-    cuts = later.groupBy("row").agg(F.collect_list("pos").alias("places"))
-    return texts.join(cuts, "row", "left").select("doc_id", "text", "places").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    known = places.join(shared_texts, "row").select("row", F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text", "places")
+    later = _sorted(known.mapInArrow(_windows(window), "code long, id long, row long, pos int"), "code", "id").mapInArrow(_later, "row long, pos int")
+    cuts = later.groupBy("row").agg(F.collect_list("pos").alias("places"), F.lit(False).alias("whole"))
+    cuts = cuts.union(copies.filter("whole").select("row", F.lit(None).cast("array<int>").alias("places"), "whole"))
+    marked = shared_texts.join(cuts, "row", "left").select("doc_id", "text", "places", F.coalesce("whole", F.lit(False)).alias("whole"))
+    return marked.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
