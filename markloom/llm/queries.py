@@ -13,6 +13,7 @@ from markloom.llm.licenses import license_scan
 from markloom.llm.mixing import mix_digest
 from markloom.llm.near import near_groups
 from markloom.llm.packing import pack_digest
+from markloom.llm.quality import quality
 from markloom.llm.substring import cut_repeats
 from markloom.llm.toxicity import toxicity
 
@@ -31,6 +32,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_digest(read(spark, sf_dir), token_file())
 
 
+def op3_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(read(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir), read(spark, sf_dir, "labels"))
 
@@ -55,6 +60,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_distribution_divergence": op3_distribution_divergence,
     "op4_toxicity": op4_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
