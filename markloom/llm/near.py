@@ -35,7 +35,7 @@ from markloom.llm.words import joined, mix, text_column, word_hashes
 
 LANES, CHUNKS, FAR = 84, 14, 38
 WIDTH, LONGS = LANES // CHUNKS, LANES // 4
-TILE = 128
+TILE, SMALL = 128, 16
 _RANDOM = np.random.default_rng(80)
 _TIMES = _RANDOM.integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(1, 1 << 63, LANES, dtype=np.uint64)
@@ -201,6 +201,18 @@ def _within_tiles(k: int, percent: int):
     return run
 
 
+def lanes_apart(one: str, two: str) -> Column:
+    """Differing 16-bit lanes of two packed signatures."""
+
+    def differing(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
+        for shift in (8, 4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, shift))
+        return F.bit_count(bits.bitwiseAND(F.lit(0x0001000100010001)))
+
+    return F.aggregate(F.zip_with(one, two, differing), F.lit(0), lambda s, n: s + n)
+
+
 def _sorted(rows: DataFrame, keys: list[str], *more: Column | str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, *more)
 
@@ -211,8 +223,9 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
     unique = written(signed.select("row", "n_shingles", "sig").join(firsts, "row"), "unique")
     texts = docs.select(F.monotonically_increasing_id().alias("row"), body().alias("text"))
     keyed = unique.select("row", "sig").mapInArrow(_bucket_keys, "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
-    sizes = keyed.withColumn("hub", F.expr("min(row) over (partition by key)")).withColumn("last", F.expr("max(row) over (partition by key)"))
-    met = written(sizes.filter("hub < last").select("key", "row", "hub"), "met")
+    over = "over (partition by key)"
+    sizes = keyed.select("row", "key", F.expr(f"min(row) {over}").alias("hub"), F.expr(f"count(*) {over}").alias("n"))
+    met = written(sizes.filter("n > 1").select("key", "row", "hub", (F.col("n") > SMALL).alias("large")), "met")
 
     family = written(met.groupBy("row").agg(F.min("hub").alias("hub")), "family")
     parts = family.groupBy("hub").agg(F.ceil(F.count("*") / TILE).alias("parts"))
@@ -224,17 +237,31 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
     on_hub = hung_links.select(F.col("b").alias("row"), F.lit(True).alias("on_hub")).union(
         hung_links.select(F.col("a").alias("row"), F.lit(True)).distinct().join(family.filter("row = hub").select("row"), "row", "left_semi")
     )
-    placed = family.join(on_hub, "row", "left").withColumn("hung", F.when(F.col("on_hub"), F.col("hub")).otherwise(F.lit(-1))).drop("on_hub")
-    counts = placed.groupBy("hub", "hung").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    tiles = written(placed.join(counts, ["hub", "hung"]).select("row", "hung", F.xxhash64("hub", "hung", F.pmod(F.xxhash64("row"), "parts")).alias("tile")), "tiles")
-    here = met.select("key", "row").join(tiles, "row").groupBy("key", "tile").agg(F.min("hung").alias("hung"), F.count("*").alias("n"))
+    placed = written(family.join(on_hub, "row", "left").select("row", "hub", F.when(F.col("on_hub"), F.col("hub")).otherwise(F.lit(-1)).alias("hung")), "placed")
+
+    few = met.filter(~F.col("large")).select("key", "row").join(placed.select("row", "hung"), "row")
+    other = few.select("key", F.col("row").alias("two"), F.col("hung").alias("hung_two"))
+    open_ends = (F.col("row") < F.col("two")) & ((F.col("hung") < 0) | (F.col("hung") != F.col("hung_two")))
+    single = few.join(other, "key").filter(open_ends).select(F.col("row").alias("one"), "two").distinct()
+    signs = unique.join(placed, "row").select("row", "hung", "n_shingles", "sig")
+    one, two = ([F.col(c).alias(f"{c}_{side}" if c != "row" else side) for c in signs.columns] for side in ("one", "two"))
+    single = single.join(signs.select(*one), "one").join(signs.select(*two), "two")
+    single = single.filter((100 * F.least("n_shingles_one", "n_shingles_two") >= percent * F.greatest("n_shingles_one", "n_shingles_two")) & (lanes_apart("sig_one", "sig_two") <= FAR))
+    ends_of = F.inline(F.array(*[F.struct(F.col(side).alias("tile"), F.col(side).alias("row"), *[F.col(f"{c}_{side}").alias(c) for c in signs.columns[1:]]) for side in ("one", "two")]))
+    some_single = single.select("one", "two", ends_of)
+
+    many = met.filter("large").select("key", "row")
+    members = many.select("row").distinct().join(placed, "row")
+    counts = members.groupBy("hub", "hung").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    tiles = written(members.join(counts, ["hub", "hung"]).select("row", "hung", F.xxhash64("hub", "hung", F.pmod(F.xxhash64("row"), "parts")).alias("tile")), "tiles")
+    here = many.join(tiles, "row").groupBy("key", "tile").agg(F.min("hung").alias("hung"), F.count("*").alias("n"))
     other = here.select("key", F.col("tile").alias("two"), F.col("hung").alias("hung_two"))
     open_pair = (F.col("tile") < F.col("two")) & ((F.col("hung") < 0) | (F.col("hung") != F.col("hung_two"))) | (F.col("tile") == F.col("two")) & (F.col("hung") < 0) & (F.col("n") > 1)
     pairs = here.join(other, "key").filter(open_pair).select(F.col("tile").alias("one"), "two").distinct()
     sides = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
     work = sides.join(tiles, "tile").join(unique, "row").select("one", "two", "tile", "row", "hung", "n_shingles", "sig")
     some = _sorted(work, ["one", "two"], "row").mapInArrow(_candidates, work.schema)
-    compared = _sorted(written(some, "candidates").join(texts.hint("merge"), "row"), ["one", "two"], "row")
+    compared = _sorted(written(some.union(some_single), "candidates").join(texts.hint("merge"), "row"), ["one", "two"], "row")
     return hung_links.union(written(compared.mapInArrow(_within_tiles(k, percent), "a long, b long"), "links"))
 
 
