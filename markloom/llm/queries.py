@@ -14,6 +14,7 @@ from markloom.llm.mixing import mix_digest
 from markloom.llm.near import near_groups
 from markloom.llm.packing import pack_digest
 from markloom.llm.quality import quality
+from markloom.llm.secrets import secret_scan
 from markloom.llm.substring import cut_repeats
 from markloom.llm.toxicity import toxicity
 
@@ -40,6 +41,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir), read(spark, sf_dir, "labels"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read(spark, sf_dir))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(read(spark, sf_dir)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_distribution_divergence": op3_distribution_divergence,
     "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
