@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markloom.session import written
 
-__all__ = ["SPACE", "body", "components", "read", "ranked", "written"]
+__all__ = ["SPACE", "body", "components", "free_name", "ranked", "read", "written"]
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -21,6 +21,14 @@ def body(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that the table doesn't use, whatever the case of letters."""
+    used = {c.lower() for c in df.columns}
+    while stem.lower() in used:
+        stem = f"_{stem}"
+    return stem
+
+
 def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, buckets: int = 64) -> DataFrame:
     """Add the position (from 0) of every row within ``keys``, in an order that depends on ``order`` alone.
 

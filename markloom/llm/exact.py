@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import SPACE, body, written
+from markloom.llm.common import SPACE, body, free_name, written
 
 LEAST, MOST = 256, 4096
 #: From LEAST characters on, a chunk ends behind the next sentence mark, at the latest after MOST characters.
@@ -76,5 +76,6 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash6
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the input's columns."""
-    kept = exact_groups(docs).filter("kept").select(F.col("row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    name = free_name(docs, "row")
+    kept = exact_groups(docs).filter("kept").select(F.col("row").alias(name))
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(kept, name, "left_semi").drop(name)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import SPACE, body, written
+from markloom.llm.common import SPACE, body, free_name, written
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 BLOCK_WORDS, SHARD_BLOCKS = 64, 65536
@@ -187,10 +187,12 @@ def drawn(docs: DataFrame, block_words: int, seed: int = 10) -> DataFrame:
     """The mix as rows of the input's columns: one per document and epoch, with the text of the blocks drawn
     in that epoch, white space kept.  Other columns repeat."""
     _, _, blocks = chosen(docs, block_words, seed)
-    parts = shard_draws(blocks, seed).groupBy("row", "epoch").agg(F.sort_array(F.collect_list("block")).alias("_blocks"))
+    row, held = free_name(docs, "row"), free_name(docs, "blocks")
+    parts = shard_draws(blocks, seed).groupBy("row", "epoch").agg(F.sort_array(F.collect_list("block")).alias(held))
+    parts = parts.select(F.col("row").alias(row), held)
     one_block = rf"(?:{SPACE.rstrip('+')}*+{WORD}+){{1,{block_words}}}+(?:{SPACE}$)?"
     cut = F.regexp_extract_all(F.col("text"), F.lit(one_block), F.lit(0))
-    whole = F.size("_blocks") == F.ceil(n_words() / block_words)
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform("_blocks", lambda b: F.element_at(cut, (b + 1).cast("int"))), ""))
-    keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-    return keyed.join(parts.withColumnRenamed("row", "_row"), "_row").withColumn("text", text).select(*docs.columns)
+    whole = F.size(held) == F.ceil(n_words() / block_words)
+    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(held, lambda b: F.element_at(cut, (b + 1).cast("int"))), ""))
+    keyed = docs.withColumn(row, F.monotonically_increasing_id())
+    return keyed.join(parts, row).withColumn("text", text).select(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import body, components, written
+from markloom.llm.common import body, components, free_name, written
 from markloom.llm.words import joined, mix, text_column, word_hashes
 
 LANES, CHUNKS, FAR = 84, 14, 38
@@ -293,7 +293,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of every component, the one with the smallest id; the input's columns."""
-    groups = written(near_groups(docs, k, percent), "groups")
+    name, groups = free_name(docs, "row"), written(near_groups(docs, k, percent), "groups")
     first = groups.groupBy("component", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
-    rows = first.select(F.col("first.row").alias("_row"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(rows, "_row", "left_semi").drop("_row")
+    rows = first.select(F.col("first.row").alias(name))
+    return docs.withColumn(name, F.monotonically_increasing_id()).join(rows, name, "left_semi").drop(name)

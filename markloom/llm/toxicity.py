@@ -26,16 +26,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from markloom.llm.common import body, written
+from markloom.llm.common import body, free_name, written
 from markloom.llm.words import mix, text_column, token_blocks
 
 BUCKETS, FACTORS = 1 << 18, 4
 SAMPLE, TERMS = 24_000, 2048
-EPOCHS, RATE, DECAY_WEIGHT, DECAY_FACTOR = 8, 0.1, 5e-3, 1e-3
-#: A slot takes part if it occurs in so large a share of the examples (at least two, at most 20 of them) ...
-LEAST_SHARE, LEAST_SEEN = 0.002, (2, 20)
-#: ... and in no larger share than this.
-MOST_SHARE = 0.2
+RATE, DECAY_WEIGHT, DECAY_FACTOR = 0.1, 1e-2, 1e-3
+#: Passes over the sample: at least so many, and so many batches in all.
+EPOCHS, STEPS, BATCH = 8, 800, 64
+#: A slot takes part if it occurs in so large a share of the examples (between 5 and 20 of them).
+LEAST_SHARE, LEAST_SEEN = 0.002, (5, 20)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -58,7 +58,7 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for slots, counts in term_sets(text_column(batch)):
             ends = np.cumsum(counts)
             for i, (a, b) in enumerate(zip(ends - counts, ends, strict=True)):
-                parts = [slots[x : x + TERMS].astype(np.int32) for x in range(a, max(b, a + 1), TERMS)]
+                parts = [slots[x : min(x + TERMS, b)].astype(np.int32) for x in range(a, max(b, a + 1), TERMS)]
                 yield pa.RecordBatch.from_arrays([pa.array([labels[at + i].as_py()] * len(parts), pa.int32()), pa.array([p.tolist() for p in parts], pa.list_(pa.int32()))], ["toxic", "slots"])
             at += len(counts)
 
@@ -84,16 +84,16 @@ def train(examples: list[np.ndarray], labels: np.ndarray, seed: int = 4) -> dict
     rng = np.random.default_rng(seed)
     seen_in = np.bincount(np.concatenate(examples) if examples else np.zeros(0, np.int64), minlength=BUCKETS)
     least = min(max(LEAST_SHARE * len(examples), LEAST_SEEN[0]), LEAST_SEEN[1])
-    known = (seen_in >= least) & (seen_in <= max(MOST_SHARE * len(examples), least))
+    known = seen_in >= least
     examples = [e[known[e]] for e in examples]
     model = {"bias": np.zeros(1), "weights": np.zeros(BUCKETS), "factors": rng.normal(0, 0.02, (BUCKETS, FACTORS))}
     seen = {k: np.full_like(v, 1e-3) for k, v in model.items()}
     share = max(labels.mean(), 1e-6), max(1 - labels.mean(), 1e-6)
     importance = np.where(labels > 0, 0.5 / share[0], 0.5 / share[1])
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // max(len(examples), 1)))):
         order = rng.permutation(len(examples))
-        for at in range(0, len(order), 64):
-            some = order[at : at + 64]
+        for at in range(0, len(order), BATCH):
+            some = order[at : at + BATCH]
             counts = np.array([len(examples[i]) for i in some])
             slots = np.concatenate([examples[i] for i in some])
             raw, sums, scale = _forward(model, slots, counts)
@@ -136,7 +136,7 @@ def _score(model: dict[str, np.ndarray] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [np.zeros(0)]
-            for slots, counts in term_sets(batch.column("_body").cast(pa.large_string())):
+            for slots, counts in term_sets(batch.columns[-1].cast(pa.large_string())):
                 if model is None:
                     scores.append(np.zeros(len(counts)))
                     continue
@@ -144,27 +144,28 @@ def _score(model: dict[str, np.ndarray] | None):
                 text = np.repeat(np.arange(len(counts)), counts)[known]
                 raw, _, _ = _forward(model, slots[known], np.bincount(text, minlength=len(counts)))
                 scores.append(1 / (1 + np.exp(-np.clip(raw, -60, 60))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names[:-1], "_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], batch.schema.names)
 
     return run
 
 
-def with_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows with a ``_score`` of 0 to 1 behind the input's columns."""
+def with_scores(docs: DataFrame, labels: DataFrame, name: str, sample: int = SAMPLE) -> DataFrame:
+    """The rows with their score as a further column of the given name."""
     model = learn(docs, labels, sample)
     if model is not None:
         model = {k: v.astype(np.float32) for k, v in model.items()}
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
-    return docs.withColumn("_body", body()).mapInArrow(_score(model), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.withColumn(name, body()).mapInArrow(_score(model), schema)
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows that score below the threshold, with the input's columns."""
-    return with_scores(docs, labels).filter(F.col("_score") < threshold).drop("_score")
+    score = free_name(docs, "score")
+    return with_scores(docs, labels, score).filter(F.col(score) < threshold).drop(score)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    return with_scores(docs.select("doc_id", "text"), labels).select(
-        "doc_id", held_out().alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted")
+    return with_scores(docs.select("doc_id", "text"), labels, "score").select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
