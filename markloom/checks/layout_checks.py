@@ -195,33 +195,36 @@ def _(t):
 # --- greedy and sequence jobs: no SQL twin, tested against brute force -----------------------------------
 
 
-def document_pairs(t):
-    """Every conversation turn as a key; its exam has blanks and lacks some words."""
+def changed_blocks(t):
+    """Every 20 words of a turn start a change: five old words, every other time with blanks, and eight new ones."""
     words = F.split("text", " ")
 
     def token(w, i):
         line = F.floor(i / 10)
         return F.struct(
             (F.floor(i / 800) + 1).cast("int").alias("page"), w.alias("text"), (F.lit(0.05) + (i % 10) * 0.09).alias("x"),
-            (F.lit(0.02) + (line % 80) * 0.012).alias("y"), F.lit(0.07).alias("w"), F.lit(0.01).alias("h"), i.alias("i"),
+            (F.lit(0.02) + (line % 80) * 0.012).alias("y"), F.lit(0.07).alias("w"), F.lit(0.01).alias("h"),
         )
 
-    key = F.transform(words, token)
-    exam = F.transform(
-        F.filter("key", lambda x: x["i"] % 11 != 5), lambda x: x.withField("text", F.when(x["i"] % 7 == 3, F.lit("____")).otherwise(x["text"]))
+    tokens = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.transform(words, token).alias("key"))
+    last = F.floor((F.size("key") - 1) / 20).cast("int")
+    blocks = tokens.select("doc_id", "key", F.explode(F.sequence(F.lit(0), last)).alias("block")).withColumn("i1", F.col("block") * 20)
+    old = F.transform(
+        F.slice("key", F.col("i1") + 1, 5),
+        lambda x, i: x.withField("text", F.when((i % 3 == 1) & (F.col("block") % 2 == 0), F.lit("____")).otherwise(x["text"])),
     )
-    rows = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), key.alias("key"))
-    return rows.select("doc_id", exam.alias("exam"), "key")
+    return blocks.select("doc_id", "block", "i1", F.col("i1").alias("j1"), old.alias("removed"), F.slice("key", F.col("i1") + 1, 8).alias("added"))
 
 
 @query("token_diff_answers")
 def _(t):
-    return L.token_diff_answers(document_pairs(t))
+    return L.token_diff_answers(changed_blocks(t))
 
 
-@query("answers_per_page")
+@query("answers_per_page", f"""with sp as (select * from {SPANS} s where color >= 15790320 and not regexp_matches(trim(text), '^[\\s.,)(\\]\\[:;\\-–—~∙*※→…/]+$')), {GROUPS},
+  an as (select distinct doc_id, page, line, grp from gr) select doc_id, page, count(*) as n from an group by 1, 2""")
 def _(t):
-    return L.answers_per_page(L.token_diff_answers(document_pairs(t)))
+    return L.answers_per_page(L.hidden_span_answers(t.sql(f"select * from {SPANS} s"), t.sql(f"select * from {SIZES} z")))
 
 
 @query("nearest_blank_fill")

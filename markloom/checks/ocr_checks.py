@@ -98,10 +98,10 @@ def _(t):
 
 SPECS = """(select p_brand as student, case when min(p_partkey) % 2 = 0 then 'fair' else 'poor' end as grade,
   concat(cast(min(p_partkey) % 9 + 1 as varchar), ',', cast(min(p_partkey) % 5 + 10 as varchar), '-', cast(min(p_partkey) % 5 + 14 as varchar), ', ,30-28') as wrong,
-  concat(cast(min(p_partkey) % 7 + 20 as varchar), ' - ', cast(min(p_partkey) % 7 + 22 as varchar)) as blank from part group by p_brand)"""
+  concat(cast(min(p_partkey) % 7 + 20 as varchar), ' - ', cast(min(p_partkey) % 7 + 22 as varchar)) as blank from part group by p_brand having min(p_partkey) % 4 <> 1)"""
 RANGES = """rg as (select student, 'wrong' as what, cast(n as varchar) as no from (select student, unnest(list_concat([k % 9 + 1], generate_series(k % 5 + 10, k % 5 + 14))) as n from ks) z
   union select student, 'blank', cast(n as varchar) from (select student, unnest(generate_series(k % 7 + 20, k % 7 + 22)) as n from ks) z)"""
-KS = "ks as (select p_brand as student, min(p_partkey) as k from part group by 1)"
+KS = "ks as (select p_brand as student, min(p_partkey) as k from part group by 1 having min(p_partkey) % 4 <> 1)"
 
 
 @query("expand_number_ranges", f"with {KS}, {RANGES} select student, no from rg where what = 'wrong'")
@@ -111,10 +111,10 @@ def _(t):
 
 
 FILL = f"""{KS}, {RANGES}, fl as (select m.*, case when ks.k % 2 = 0 then 'fair' else 'poor' end as sg,
-    case when truth_source = 'typed' then 'skipped' when b.no is not null then 'blank' when w.no is not null then 'to_type' else 'assumed' end as action
-  from fx_manifest m join ks on ks.student = m.student left join rg b on b.student = m.student and b.no = m.question and b.what = 'blank' left join rg w on w.student = m.student and w.no = m.question and w.what = 'wrong'),
-  ft as (select row_id, student, action, case action when 'skipped' then truth when 'assumed' then answer else '' end as truth, case action when 'skipped' then grade when 'blank' then 'blank' else sg end as grade,
-    case action when 'skipped' then truth_source when 'to_type' then '' else 'assumed' end as truth_source, answer from fl)"""
+    case when ks.k is null then 'untouched' when truth_source = 'typed' then 'skipped' when b.no is not null then 'blank' when w.no is not null then 'to_type' else 'assumed' end as action
+  from fx_manifest m left join ks on ks.student = m.student left join rg b on b.student = m.student and b.no = m.question and b.what = 'blank' left join rg w on w.student = m.student and w.no = m.question and w.what = 'wrong'),
+  ft as (select row_id, student, action, case action when 'skipped' then truth when 'untouched' then truth when 'assumed' then answer else '' end as truth, case action when 'skipped' then grade when 'untouched' then grade when 'blank' then 'blank' else sg end as grade,
+    case action when 'skipped' then truth_source when 'untouched' then truth_source when 'to_type' then '' else 'assumed' end as truth_source, answer from fl)"""
 
 
 def filled(t):
@@ -149,10 +149,13 @@ def _(t):
 def _(t):
     path = scratch_path(t.spark, "runs")
     failed = F.when(F.col("sheet_id") % 50 == 0, F.lit("timeout"))
-    t.sheets.select(
+    rows = t.sheets.select(
         F.col("sheet_id").alias("pair_no"), F.struct("title", F.lit("T").alias("teacher"), "cut_line").alias("sheet"),
         F.col("printed_total").alias("n_items"), failed.alias("error"),
-    ).write.json(path)
+    )
+    # indented lists of some 200 runs a file
+    lists = rows.groupBy(F.floor(F.col("pair_no") / 800).alias("part")).agg(F.collect_list(F.struct(*rows.columns)).alias("runs"))
+    lists.select("part", F.to_json("runs", {"pretty": "true"}).alias("value")).write.partitionBy("part").text(path)
     done, bad = readers.read_run_json(t.spark, path)
     ok = done.select("pair_no", F.col("sheet.title").alias("title"), "n_items", F.lit("ok").alias("state"))
     heads = t.sheets.select(F.col("sheet_id").alias("pair_no"), "title", F.col("printed_total").cast("bigint").alias("n_items"))
@@ -200,7 +203,7 @@ def _(t):
     )
     pages = exams.select("exam_id", F.lit(1).alias("page"), F.lit(595.3).alias("width"), F.lit(841.9).alias("height"))
     path = scratch_path(t.spark, "templates")
-    writers.write_exam_templates(writers.exam_templates(answers, exams, pages, per_part=50), path)
+    writers.write_exam_templates(writers.exam_templates(answers, exams, pages), path)
     back = t.spark.read.json(path)
     return back.select("code", "name", F.explode("questions").alias("q")).select("code", "name", "q.number", F.col("q.key.canonical").alias("canonical"))
 

@@ -41,11 +41,12 @@ def _(t):
 
 
 @query("render_wrong_text", f"""with w as ({WRONG})
-  select distinct received_on, cast(null as bigint) as sheet_id, cast(-2 as bigint) as seq, concat(strftime(received_on, '%Y-%m-%d'), ' 오답 목록') as text from w
+  select distinct cast(created_at as date) as received_on, cast(null as bigint) as sheet_id, cast(-2 as bigint) as seq, concat(strftime(created_at, '%Y-%m-%d'), ' 오답 목록') as text from fx_sheets
+  union all select distinct cast(created_at as date), cast(null as bigint), cast(0 as bigint), '없음' from fx_sheets where cast(created_at as date) not in (select received_on from w)
   union all select received_on, sheet_id, -1, concat(any_value(student_name), ' — ', any_value(title), ' (', count(*), '개)') from w group by 1, 2
   union all select received_on, sheet_id, seq, concat('  ', no, '. ', prompt, ' → ', case when trim(written) = '' then '(무응답)' else trim(written) end, ' (정답: ', expected, ')') from w""")
 def _(t):
-    return R.render_wrong_text(verdict.wrong_items(t.items, t.sheets))
+    return R.render_wrong_text(verdict.wrong_items(t.items, t.sheets), t.sheets)
 
 
 OPEN = "contains(note, '정답모름') and coalesce(teacher_correct, correct) is null"
@@ -215,12 +216,12 @@ SETTINGS = """(select c_custkey as id, case c_custkey % 6 when 0 then 'gpt-5.6-s
   union all select 'sheets.verdict', count(*) filter (where verdict not in ('pass','fail')) from fx_sheets union all select 'sheets.final_verdict', count(*) filter (where final_verdict not in ('pass','fail')) from fx_sheets
   union all select 'pages.rotation', count(*) filter (where rotation not in (0, 90, 180, 270)) from fx_photos union all select 'items.direction', count(*) filter (where direction not in ('en2ko','ko2en','other')) from fx_items
   union all select 'usage.kind', count(*) filter (where kind not in ('grade','quick','trial')) from fx_usage union all select 'trials.variant', count(*) filter (where variant not in ('full','items','compact')) from fx_trial_runs
-  union all select 'trials.edge', count(*) filter (where edge not in (2576, 2000, 1800, 1568, 1288)) from fx_trial_runs union all select 'trials.verdict', cast(0 as bigint)
+  union all select 'trials.edge', count(*) filter (where edge not in (2576, 2000, 1800, 1568, 1288)) from fx_trial_runs union all select 'trials.verdict', count(*) filter (where v not in ('pass', 'fail')) from (select case trial_id % 7 when 0 then 'unsure' else 'pass' end as v from fx_trial_runs) tv
   union all select 'staff.role', count(*) filter (where role not in ('assistant','teacher','admin')) from {STAFF} s
   union all select 'settings.grading_model', count(*) filter (where grading_model not like 'claude-%') from {SETTINGS} s union all select 'settings.grading_effort', count(*) filter (where grading_effort not in ('low','medium','high','xhigh','max')) from {SETTINGS} s
   union all select 'settings.work_hours', count(*) filter (where work_hours = '[null]') from {SETTINGS} s""")
 def _(t):
-    trials = t.trial_runs.withColumn("verdict", F.lit("pass"))
+    trials = t.trial_runs.withColumn("verdict", F.when(F.col("trial_id") % 7 == 0, "unsure").otherwise("pass"))
     return L.dq_violations([
         (t.sheets, L.sheet_rules()), (t.photos, L.page_rules()), (t.items, L.item_rules()), (t.usage, L.usage_rules()),
         (trials, L.trial_rules()), (t.sql(f"select * from {STAFF} s"), L.staff_rules()), (t.sql(f"select * from {SETTINGS} s"), L.setting_rules()),
@@ -250,7 +251,7 @@ def _(t):
 
 
 @query("retest_files", """with w as (select file_id, name, modified, mime in ('application/pdf', 'application/msword') or regexp_matches(lower(name), '\\.(pdf|hwp|hwpx|doc|docx|docm|odt|rtf)$') as doc from fx_files)
-  select file_id, name, true as truncated from w where doc and not regexp_matches(name, '오답\\s*노트') and modified > timestamp '2024-01-02 00:00:00' order by modified desc, file_id limit 60""")
+  select file_id, name, count(*) over () > 60 as truncated from w where doc and not regexp_matches(name, '오답\\s*노트') and modified > timestamp '2024-01-02 00:00:00' order by modified desc, file_id limit 60""")
 def _(t):
     cutoff = clock.retest_cutoff(F.expr("timestamp_ntz '2024-03-02 00:00:00'"))
     return keyfiles.retest_files(t.files, cutoff, 60).select("file_id", "name", "truncated")

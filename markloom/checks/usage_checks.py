@@ -65,28 +65,28 @@ def _(t):
 
 def _slots(bad: str) -> str:
     day = "concat('{\"start\":', cast(9 + c_custkey % 3 as varchar), ',\"end\":', cast(c_custkey % 26 as varchar), '}')"
-    half = "concat('{\"start\":', cast(10 + c_custkey % 2 as varchar), ',\"end\":18}')"
-    return f"""(select c_custkey as staff_id, case when c_custkey % 10 = 3 then '{bad}' when c_custkey % 10 = 4 then '[null,null]'
+    half = "concat('{\"start\":', cast(10 + c_custkey % 2 as varchar), '.5,\"end\":18}')"
+    return f"""(select c_custkey as staff_id, case when c_custkey % 10 = 3 then '{bad}' when c_custkey % 10 = 4 then '[null,null]' when c_custkey % 10 = 5 then '[null,null,null,null,null,null,null]'
       else concat('[null,', {day}, ',', {half}, ',', {half}, ',null,', {day}, ',', {half}, ']') end as work_hours from customer)"""
 
 
 SLOTS = _slots("{\"start\":1}")
-VALID = "c_custkey % 10 not in (3, 4) and 9 + c_custkey % 3 < c_custkey % 26 and c_custkey % 26 <= 24"
+VALID = "(c_custkey % 10 = 5 or (c_custkey % 10 not in (3, 4) and 9 + c_custkey % 3 < c_custkey % 26 and c_custkey % 26 <= 24))"
 
 
-@query("normalize_hours", f"select c_custkey as staff_id, {VALID} as valid from customer")
+@query("normalize_hours", f"""select c_custkey as staff_id, {VALID} as valid, case when {VALID} and c_custkey % 10 <> 5 then 9.0e0 + c_custkey % 3 end as monday,
+  case when {VALID} and c_custkey % 10 <> 5 then 10.5e0 + c_custkey % 2 end as tuesday from customer""")
 def _(t):
     df = U.normalize_hours(t.sql(f"select * from {SLOTS} s"))
-    return df.select("staff_id", F.col("hours").isNotNull().alias("valid"))
+    return df.select("staff_id", F.col("hours").isNotNull().alias("valid"), F.expr("hours[1].start").alias("monday"), F.expr("hours[2].start").alias("tuesday"))
 
 
-@query("describe_hours", f"""select c_custkey as staff_id, case when 9 + c_custkey % 3 = 10 + c_custkey % 2 and c_custkey % 26 = 18
-    then concat('월·화·수·금·토 ', printf('%02d', cast(10 + c_custkey % 2 as int)), ':00~18:00')
-    else concat('월·금 ', printf('%02d', cast(9 + c_custkey % 3 as int)), ':00~', printf('%02d', cast(c_custkey % 26 as int)), ':00 · 화·수·토 ', printf('%02d', cast(10 + c_custkey % 2 as int)), ':00~18:00') end as text
+@query("describe_hours", f"""select c_custkey as staff_id, case when c_custkey % 10 = 5 then '근무일이 없습니다'
+    else concat('월·금 ', printf('%02d', cast(9 + c_custkey % 3 as int)), ':00~', printf('%02d', cast(c_custkey % 26 as int)), ':00 · 화·수·토 ', 10 + c_custkey % 2, '.5:00~18:00') end as text
   from customer where {VALID}""")
 def _(t):
-    rows = U.hours_rows(U.normalize_hours(t.sql(f"select * from {SLOTS} s")), ["staff_id"])
-    return U.describe_hours(rows, ["staff_id"])
+    valid = U.normalize_hours(t.sql(f"select * from {SLOTS} s")).filter("hours is not null")
+    return U.describe_hours(U.hours_rows(valid, ["staff_id"]), ["staff_id"], valid)
 
 
 STAFF_DIM = """(select c_custkey as staff_id, c_name as name, c_custkey % 4 <> 0 as active from customer where c_custkey % 3 <> 0)"""

@@ -8,6 +8,7 @@ NO_TITLE = "(제목 못 읽음)"
 NO_CLASS = "반 없음"
 NO_NAME = "(이름 못 읽음)"
 NONE_TEXT = "없음"
+NO_WORKDAYS = "근무일이 없습니다"
 
 # --- numbers -----------------------------------------------------------------------------------
 NO_NUMBER = 9007199254740991  # sort key of an item number without digits

@@ -77,8 +77,7 @@ def num_key(no: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    words = F.split(text_or_empty(c), f"[{_WS}]+")
-    return F.size(F.filter(words, lambda w: w.rlike(r"[\p{L}\p{N}']"))).cast("bigint")
+    return F.regexp_count(text_or_empty(c), F.lit(rf"[^{_WS}\p{{L}}\p{{N}}']*+[\p{{L}}\p{{N}}'][^{_WS}]*+")).cast("bigint")
 
 
 def too_short(written: Column, expected: Column) -> Column:

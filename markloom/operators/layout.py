@@ -7,7 +7,6 @@ wherever a greedy rule has to see neighbours together.
 
 from __future__ import annotations
 
-import difflib
 from collections import deque
 from collections.abc import Iterator
 
@@ -15,8 +14,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType
 
 from markloom import constants as K
 from markloom.functions import files as FF
@@ -48,9 +45,11 @@ def number_lines(tokens: DataFrame, keys: list[str], tol: float = 0.008) -> Data
 
 
 def tokens_to_lines(tokens: DataFrame, keys: list[str], tol: float = 0.008) -> DataFrame:
-    """(keys, line, page, part, text, box, n_tokens) of every line."""
+    """(keys, line, page, part, text, box, n_tokens, n_words) of every line; n_words counts tokens that are not mere punctuation."""
     lines = number_lines(tokens, keys, tol)
-    boxes = bbox_union(lines, [*keys, "line"], F.min("page").alias("page"), F.count("*").alias("n_tokens"))
+    boxes = bbox_union(
+        lines, [*keys, "line"], F.min("page").alias("page"), F.count("*").alias("n_tokens"), F.count_if(~is_noise(F.col("text"))).alias("n_words")
+    )
     texts = S.fold_text(lines, [*keys, "line"], F.col("text"), ["pos"], "text", sep=" ")
     return boxes.join(texts, [*keys, "line"]).withColumn("text", trimmed(F.col("text")))
 
@@ -85,8 +84,8 @@ def hidden_span_answers(spans: DataFrame, sizes: DataFrame, gap: float = 1.0) ->
     channels = [F.shiftright("color", s).bitwiseAND(255) for s in (16, 8, 0)]
     text = trimmed(F.col("text"))
     white = spans.filter(F.least(*channels) >= 0xF0).withColumn("text", text).filter((F.col("text") != "") & ~_plain_noise(F.col("text")))
-    merged = merge_adjacent_spans(white, gap).withColumn("answer", trimmed(F.col("text")))
-    kept = merged.filter((F.col("answer") != "") & ~_plain_noise(F.col("answer"))).join(sizes, ["doc_id", "page"])
+    # every span that is left has a character that is not noise, and so has what they are merged into
+    kept = merge_adjacent_spans(white, gap).withColumn("answer", trimmed(F.col("text"))).join(sizes, ["doc_id", "page"])
     w, h = F.col("width"), F.col("height")
     return kept.select(
         "doc_id", "page", "line", "grp", "part", "answer",
@@ -266,44 +265,16 @@ def nearest_blank_fill(blanks: DataFrame, tokens: DataFrame, tol: float = 0.02)
     return joined.withColumn("answer", trimmed(F.col("text"))).drop("text")
 
 
-@pandas_udf(ArrayType(ArrayType(IntegerType())))
-def changed_spans(exam_words: pd.Series, key_words: pd.Series) -> pd.Series:
-    """[i1, i2, j1, j2] of every stretch of key words that replaces or extends exam words."""
-
-    def one(exam, key) -> list[list[int]]:
-        matcher = difflib.SequenceMatcher(None, list(exam), list(key), autojunk=False)
-        return [[i1, i2, j1, j2] for tag, i1, i2, j1, j2 in matcher.get_opcodes() if tag != "equal" and j2 > j1]
-
-    return pd.Series([one(a, b) for a, b in zip(exam_words, key_words)])
-
-
-def changed_blocks(documents: DataFrame) -> DataFrame:
-    """(doc_id, block, i1, j1, removed, added): the tokens on both sides of every change.
-
-    ``documents``: one row per document (doc_id, exam, key) with arrays of tokens
-    struct<page, text, x, y, w, h> as a parser emits them. Only the words travel to Python, within
-    the given partitioning; pieces are sliced inside the row, so nothing is shuffled or copied twice.
-    """
-    spans = documents.select("doc_id", "exam", "key", changed_spans(F.col("exam.text"), F.col("key.text")).alias("_ops"))
-
-    def piece(o: Column) -> Column:
-        i1, i2, j1, j2 = (F.get(o, F.lit(n)) for n in range(4))
-        return F.struct(
-            i1.alias("i1"), j1.alias("j1"), F.slice("exam", i1 + 1, i2 - i1).alias("removed"), F.slice("key", j1 + 1, j2 - j1).alias("added")
-        )
-
-    return spans.select("doc_id", F.posexplode(F.transform("_ops", piece)).alias("block", "_b")).select("doc_id", "block", "_b.*")
-
-
-def token_diff_answers(documents: DataFrame) -> DataFrame:
-    """Answers found by comparing the exam with its key.
+def token_diff_answers(blocks: DataFrame) -> DataFrame:
+    """Answers in the stretches where a key differs from its exam.
 
+    ``blocks``: (doc_id, block, i1, j1, removed, added), the tokens struct<page, text, x, y, w, h> on both
+    sides of every change and where they start; the comparison itself is another program's work.
     A block with blanks pairs each blank with the token at its place; any other block (or one
-    without a single pair) is cut into lines. Columns: doc_id, block, place, page, answer, removed,
-    from_blank and the box. The changed blocks are written once, since four branches need them.
+    without a single pair) is cut into lines. Columns: doc_id, block, place, part, page, answer,
+    removed, from_blank and the box.
     """
     ids = ["doc_id", "block"]
-    blocks = written(changed_blocks(documents), "changed-blocks")
 
     def tokens(df: DataFrame, side: str, start: str) -> DataFrame:
         rows = df.select(*ids, F.col(start).alias("_s"), F.posexplode(side).alias("_i", "_t"))
@@ -312,13 +283,13 @@ def token_diff_answers(documents: DataFrame) -> DataFrame:
     blanked = blocks.filter(F.exists("removed", lambda w: w["text"].rlike("_{2,}")))
     blanks = tokens(blanked, "removed", "i1").filter(F.col("text").rlike("_{2,}"))
     pairs = written(nearest_blank_fill(blanks, tokens(blanked, "added", "j1")), "blank-pairs")
-    paired = pairs.select(*ids, F.col("blank_pos").alias("place"), "page", "answer", "removed", F.lit(True).alias("from_blank"), *BOX)
+    paired = pairs.select(*ids, F.col("blank_pos").alias("place"), F.lit(0).cast("bigint").alias("part"), "page", "answer", "removed", F.lit(True).alias("from_blank"), *BOX)
     rest = blocks.join(pairs.select(*ids).distinct(), ids, "left_anti")
-    lines = tokens_to_lines(tokens(rest, "added", "j1"), ids).filter((F.col("text") != "") & ~is_noise(F.col("text")))
+    lines = tokens_to_lines(tokens(rest, "added", "j1"), ids).filter("n_words > 0")
     # the words a block replaces belong to one document row
     gone = rest.select(*ids, trimmed(F.array_join("removed.text", " ")).alias("removed"))
     split = lines.join(gone, ids).select(
-        *ids, F.col("line").cast("int").alias("place"), "page", F.col("text").alias("answer"), "removed", F.lit(False).alias("from_blank"), *BOX
+        *ids, F.col("line").cast("int").alias("place"), "part", "page", F.col("text").alias("answer"), "removed", F.lit(False).alias("from_blank"), *BOX
     )
     return paired.unionByName(split)
 

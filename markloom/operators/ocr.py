@@ -41,12 +41,16 @@ def canonical(answer: Column, candidates: Column) -> Column:
 
 
 def expand_number_ranges(specs: DataFrame, spec: str, out: str = "no") -> DataFrame:
-    """'3,7,12-14' to one row per number (as text); descending ranges are empty."""
+    """'3,7,12-14' to one row per number (as text); descending ranges are empty.
+
+    A range whose ends are not numbers stops the job: ``unreadable_ranges`` lists all of them beforehand.
+    """
     keys = [c for c in specs.columns if c != spec]
     parts = specs.select(*keys, F.explode(F.split(text_or_empty(F.col(spec)), ",")).alias("_raw"))
     parts = parts.select(*keys, trimmed(F.col("_raw")).alias("_p")).filter("_p <> ''")
     low, high = _bounds()
-    span = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
+    broken = F.raise_error(F.concat(F.lit("a range that is not numbers: "), "_p")).cast("array<bigint>")
+    span = F.when(low.isNull() | high.isNull(), broken).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<bigint>"))
     numbers = F.when(F.contains("_p", F.lit("-")), span.cast("array<string>")).otherwise(F.array("_p"))
     return parts.select(*keys, F.explode(numbers).alias(out)).distinct()
 
@@ -71,31 +75,33 @@ def fill_truth(manifest: DataFrame, marks: DataFrame, overwrite: bool = False) -
 
     ``marks``: one row per student (student, grade, wrong, blank) with number specs. Typed labels
     are kept unless ``overwrite``; blanks are empty; wrong ones wait to be typed; all others are
-    assumed to show the canonical answer. Adds ``action``.
+    assumed to show the canonical answer. Rows of students without marks stay as they are
+    ('untouched'). Adds ``action``.
     """
-    known = marks.select("student", F.col("grade").alias("_grade"))
+    known = marks.select("student", F.col("grade").alias("_grade"), F.lit(True).alias("_marked"))
     flagged = [
         expand_number_ranges(marks.select("student", spec), spec, "_q").withColumn(f"_{spec}", F.lit(True)) for spec in ("blank", "wrong")
     ]
     base = manifest.withColumn("_q", trimmed(F.col("question"))).withColumn("_s", trimmed(F.col("student")))
-    joined = base.join(known.withColumnRenamed("student", "_s"), "_s")
+    joined = base.join(known.withColumnRenamed("student", "_s"), "_s", "left")
     for df in flagged:
         joined = joined.join(df.withColumnRenamed("student", "_s"), ["_s", "_q"], "left")
     action = (
-        F.when((F.col("truth_source") == "typed") & F.lit(not overwrite), "skipped")
+        F.when(F.col("_marked").isNull(), "untouched")
+        .when((F.col("truth_source") == "typed") & F.lit(not overwrite), "skipped")
         .when(F.col("_blank").isNotNull(), "blank")
         .when(F.col("_wrong").isNotNull(), "to_type")
         .otherwise("assumed")
     )
     a = F.col("action")
     by = lambda keep, blank, wrong, rest: (
-        F.when(a == "skipped", keep).when(a == "blank", blank).when(a == "to_type", wrong).otherwise(rest)
+        F.when(a.isin("skipped", "untouched"), keep).when(a == "blank", blank).when(a == "to_type", wrong).otherwise(rest)
     )
     out = joined.withColumn("action", action)
     truth = by(F.col("truth"), F.lit(""), F.lit(""), canonical(F.col("answer"), F.col("candidates")))
     grade = by(F.col("grade"), F.lit("blank"), F.col("_grade"), F.col("_grade"))
     source = by(F.col("truth_source"), F.lit("assumed"), F.lit(""), F.lit("assumed"))
-    return out.withColumns({"truth": truth, "grade": grade, "truth_source": source}).drop("_s", "_q", "_grade", "_blank", "_wrong")
+    return out.withColumns({"truth": truth, "grade": grade, "truth_source": source}).drop("_s", "_q", "_grade", "_marked", "_blank", "_wrong")
 
 
 def label_fill_stats(filled_rows: DataFrame) -> DataFrame:

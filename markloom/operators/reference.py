@@ -55,25 +55,12 @@ def apply_reference(items: DataFrame, ref: DataFrame) -> DataFrame:
 
 
 def ref_fingerprint(items: DataFrame, sheets: DataFrame) -> DataFrame:
-    """(sheet_id, fingerprint): normalised title and all numbers in order; none without title or items.
-
-    Sheets with more numbers than one value should hold get an order-sensitive digest in place of the list.
-    """
+    """(sheet_id, fingerprint): normalised title and all numbers in order; none without title or items."""
     titled = sheets.select("sheet_id", norm(F.col("title")).alias("_title")).filter("_title <> ''")
-    slim = items.select("sheet_id", "seq", trimmed(F.col("no")).alias("no"))
-    sizes = slim.groupBy("sheet_id").agg(
-        F.count("*").alias("_n"),
-        F.sum(F.shiftrightunsigned(F.xxhash64("seq", "no"), 1).cast("decimal(38,0)")).alias("_digest"),
-    )
-    hot = sizes.filter(F.col("_n") > S.LIST_LIMIT)
-    small = slim.join(hot, "sheet_id", "left_anti").groupBy("sheet_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "no"))), lambda x: x["no"]), ",").alias("_nos")
-    )
-    large = hot.select(
-        "sheet_id", F.concat_ws(":", F.lit("digest"), F.col("_n").cast("string"), F.col("_digest").cast("string")).alias("_nos")
-    )
-    listed = small.unionByName(large)
-    return titled.join(listed, "sheet_id").select("sheet_id", F.concat_ws("|", "_title", "_nos").alias("fingerprint"))
+    parts = S.fold_text(items, ["sheet_id"], trimmed(F.col("no")), ["seq"], "_text", sep=",")
+    listed = parts.groupBy("sheet_id").agg(F.sort_array(F.collect_list(F.struct("part", "_text"))).alias("_parts"))
+    numbers = F.array_join(F.transform("_parts", lambda p: p["_text"]), ",")
+    return titled.join(listed, "sheet_id").select("sheet_id", F.concat_ws("|", "_title", numbers).alias("fingerprint"))
 
 
 def build_reference(items: DataFrame, results: DataFrame, sheets: DataFrame, warnings: DataFrame) -> DataFrame:

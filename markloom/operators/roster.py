@@ -46,8 +46,8 @@ def retest_roster(sheets: DataFrame) -> DataFrame:
 def render_retest_text(sheets: DataFrame, heading: str = "") -> DataFrame:
     """The pasteable retest list of every day as ordered lines (received_on, block, class_name, part, text).
 
-    Blocks: 0 heading, 1 one line of names per class, 2 'none', 3 footer. A class with more names than one
-    line should hold gives one row per name (part > 0).
+    Blocks: 0 heading, 1 the names of a class, 2 'none', 3 footer. Names beyond one line's width go on in
+    further parts.
     """
     days = split_roster(sheets).withColumn("received_on", F.to_date("created_at"))
     counts = days.groupBy("received_on").agg(
@@ -74,10 +74,11 @@ def render_retest_text(sheets: DataFrame, heading: str = "") -> DataFrame:
     )
 
 
-def render_wrong_text(wrong: DataFrame, heading: str = "") -> DataFrame:
+def render_wrong_text(wrong: DataFrame, sheets: DataFrame, heading: str = "") -> DataFrame:
     """Wrong-answer list of every day as lines (received_on, sheet_id, seq, text).
 
-    The day's heading has sheet_id NULL, a sheet's heading has seq -1; item lines follow by seq.
+    The day's heading has sheet_id NULL and seq -2, a sheet's heading has seq -1; item lines follow by seq.
+    A day of ``sheets`` without wrong items says so (sheet_id NULL, seq 0).
     """
     name = F.when(text_or_empty(F.col("student_name")) == "", F.lit(K.NO_NAME)).otherwise(F.col("student_name"))
     heads = wrong.groupBy("received_on", "sheet_id").agg(
@@ -88,11 +89,13 @@ def render_wrong_text(wrong: DataFrame, heading: str = "") -> DataFrame:
     written = F.coalesce(filled(F.col("written")), F.lit("(무응답)"))
     answer = F.when(text_or_empty(F.col("expected")) != "", F.concat(F.lit(" (정답: "), "expected", F.lit(")"))).otherwise("")
     item_text = F.concat(F.lit("  "), "no", F.lit(". "), "prompt", F.lit(" → "), written, answer)
-    days = wrong.select("received_on").distinct()
+    days = sheets.select(F.to_date("created_at").alias("received_on")).distinct()
+    calm = days.join(wrong.select("received_on").distinct(), "received_on", "left_anti")
     day_text = F.concat(F.lit(heading), F.date_format("received_on", "yyyy-MM-dd"), F.lit(" 오답 목록"))
     none = F.lit(None).cast("bigint")
     return (
         days.select("received_on", none.alias("sheet_id"), F.lit(-2).cast("bigint").alias("seq"), day_text.alias("text"))
+        .unionByName(calm.select("received_on", none.alias("sheet_id"), F.lit(0).cast("bigint").alias("seq"), F.lit(K.NONE_TEXT).alias("text")))
         .unionByName(heads.select("received_on", "sheet_id", F.lit(-1).cast("bigint").alias("seq"), head_text.alias("text")))
         .unionByName(wrong.select("received_on", "sheet_id", F.col("seq").cast("bigint").alias("seq"), item_text.alias("text")))
     )

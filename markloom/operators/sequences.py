@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 _BUCKET = "_bucket"
 SEQ_BUCKET = 4096  # rows of one key per window task when the order column is a dense position
-LIST_LIMIT = 10000  # longest list that is folded into a single value
+LIST_WIDTH = 10000  # values of one part of a folded list
 
 
 def seq_bucket(seq: str, size: int = SEQ_BUCKET) -> Column:
@@ -80,32 +80,16 @@ def short_list(
     return folded.select(*keys, F.concat(shown, more).alias(out))
 
 
-def fold_text(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: Column,
-    order: Sequence[str],
-    out: str,
-    sep: str = ", ",
-    limit: int = LIST_LIMIT,
-) -> DataFrame:
-    """Join all values of a key into one text.
+def fold_text(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[str], out: str, sep: str = ", ", width: int = LIST_WIDTH) -> DataFrame:
+    """Join the values of a key, in order, into texts of at most ``width`` values each.
 
-    Keys with more than ``limit`` values are not folded in one task: each of their rows comes out
-    on its own with a non-zero ``part``. The few hot keys are a small table, which Spark broadcasts
-    after measuring it, so hot rows leave before the grouping shuffle.
-    Columns: keys, part, out. ``part`` is 0 for a folded key.
+    Columns: keys, part, out.  Every key is cut the same way: ``part`` is the position of a value
+    divided by ``width``, from 0, so the parts of a key joined in order are its whole text and no
+    single value grows without bound.
     """
-    slim = df.select(*keys, *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], value.alias("_value"))
     marks = [f"_o{i}" for i in range(len(order))]
-    hot = slim.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys)
-    folded = (
-        join_null_safe(slim, hot, keys, "left_anti")
-        .groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(*marks, "_value"))).alias("_all"))
-        .select(*keys, F.lit(0).cast("bigint").alias("part"), F.array_join(F.transform("_all", lambda x: x["_value"]), sep).alias(out))
-    )
-    single = join_null_safe(slim, hot, keys, "left_semi").select(
-        *keys, (F.abs(F.xxhash64(*marks, "_value")) + 1).alias("part"), F.col("_value").alias(out)
-    )
-    return folded.unionByName(single)
+    slim = df.select(*keys, *[F.col(c).alias(m) for c, m in zip(order, marks)], value.alias("_value"))
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*marks, "_value")) - 1
+    parts = slim.withColumn("_at", at).withColumn("part", F.floor(F.col("_at") / width).cast("bigint"))
+    folded = parts.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_all"))
+    return folded.select(*keys, "part", F.array_join(F.transform("_all", lambda x: x["_value"]), sep).alias(out))

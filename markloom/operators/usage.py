@@ -14,7 +14,7 @@ HOURS_SCHEMA = "array<struct<start:double,end:double>>"
 
 def hours_table(spark: SparkSession, rows=K.DEFAULT_HOURS) -> DataFrame:
     """(dow, start, end), at most seven rows; a weekday without a row is a day off."""
-    return spark.createDataFrame([tuple(r) for r in rows], "dow int, start int, end int")
+    return spark.createDataFrame([(d, float(a), float(b)) for d, a, b in rows], "dow int, start double, end double")
 
 
 def normalize_hours(df: DataFrame, column: str = "work_hours") -> DataFrame:
@@ -36,7 +36,7 @@ def normalize_hours(df: DataFrame, column: str = "work_hours") -> DataFrame:
 def hours_rows(normalized: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, dow, start, end) from the normalised array; days off give no row."""
     exploded = normalized.select(*keys, F.posexplode("hours").alias("dow", "slot"))
-    return exploded.filter("slot is not null").select(*keys, "dow", F.col("slot.start").cast("int").alias("start"), F.col("slot.end").cast("int").alias("end"))
+    return exploded.filter("slot is not null").select(*keys, "dow", F.col("slot.start").alias("start"), F.col("slot.end").alias("end"))
 
 
 def with_off_hours(events: DataFrame, hours: DataFrame) -> DataFrame:
@@ -84,17 +84,24 @@ def recent_off_hours(events: DataFrame, hours: DataFrame, n: int = 20) -> DataFr
     return off_hours_events(events, hours).orderBy(F.col("created_at").desc(), F.col("event_id").desc()).limit(n)
 
 
-def describe_hours(hours: DataFrame, keys: list[str]) -> DataFrame:
-    """Weekdays with equal hours on one line, groups in order of their first day."""
+def describe_hours(hours: DataFrame, keys: list[str], known: DataFrame | None = None) -> DataFrame:
+    """Weekdays with equal hours on one line, groups in order of their first day.
+
+    Keys of ``known`` without any working day get a fixed text.
+    """
     names = F.array(*[F.lit(d) for d in K.DAY_NAMES])
     same = hours.groupBy(*keys, "start", "end").agg(F.sort_array(F.collect_set("dow")).alias("_days"))
     days = F.array_join(F.transform("_days", lambda d: F.get(names, d)), "·")
-    clock = lambda c: F.format_string("%02d:00", F.col(c))
+    whole = lambda c: F.when(F.col(c) == F.floor(c), F.lpad(F.floor(c).cast("string"), 2, "0")).otherwise(F.col(c).cast("string"))
+    clock = lambda c: F.concat(whole(c), F.lit(":00"))
     line = F.concat(days, F.lit(" "), clock("start"), F.lit("~"), clock("end"))
     lines = same.select(*keys, F.struct(F.get("_days", F.lit(0)).alias("first"), line.alias("line")).alias("_g"))
     # at most seven groups per key: one per weekday
     folded = lines.groupBy(*keys).agg(F.sort_array(F.collect_list("_g")).alias("_all"))
-    return folded.select(*keys, F.array_join(F.transform("_all", lambda g: g["line"]), " · ").alias("text"))
+    told = folded.select(*keys, F.array_join(F.transform("_all", lambda g: g["line"]), " · ").alias("_told"))
+    if known is None:
+        return told.withColumnRenamed("_told", "text")
+    return known.select(*keys).join(told, keys, "left").select(*keys, F.coalesce("_told", F.lit(K.NO_WORKDAYS)).alias("text"))
 
 
 def staff_names(events: DataFrame, staff: DataFrame, unknown: str = "(지워진 직원)") -> DataFrame:

@@ -14,9 +14,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(finished runs, failed runs) from one JSON document per file or line."""
-    runs = spark.read.schema(schemas.RUN).json(path)
-    return runs.filter("error is null").drop("error"), runs.filter("error is not null").select("pair_no", "error")
+    """(finished runs, failed runs) from JSON files as they are written: indented, one run or a list each.
+
+    A run without its number takes it from the file's name; a file that can't be read is a failed run.
+    """
+    schema = f"{schemas.RUN}, unread STRING"
+    runs = spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "unread").json(path)
+    file = F.input_file_name()
+    number = F.nullif(F.regexp_extract(file, r"([0-9]+)[^/0-9]*$", 1), F.lit("")).try_cast("bigint")
+    broken = F.when(F.col("unread").isNotNull(), F.concat(F.lit("unreadable: "), F.substring_index(file, "/", -1)))
+    named = runs.withColumn("pair_no", F.coalesce("pair_no", number)).withColumn("error", F.coalesce("error", broken)).drop("unread")
+    return named.filter("error is null").drop("error"), named.filter("error is not null").select("pair_no", "error")
 
 
 def read_label_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.functions import files as FF
-from markloom.operators.sequences import LIST_LIMIT
 
 PRIVATE = ("student", "student_name", "path", "before", "after", "crop", "received_by")
 
@@ -36,11 +35,11 @@ def write_summary_report(df: DataFrame, path: str) -> None:
     safe.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")).write.mode("overwrite").text(path)
 
 
-def exam_templates(answers: DataFrame, exams: DataFrame, pages: DataFrame, per_part: int = LIST_LIMIT) -> DataFrame:
+def exam_templates(answers: DataFrame, exams: DataFrame, pages: DataFrame) -> DataFrame:
     """One nested document per exam.
 
     ``answers``: (exam_id, number, page, answer, x, y, w, h); ``exams``: (exam_id, level, chapter, file, method);
-    ``pages``: (exam_id, page, width, height). An exam with more questions than ``per_part`` continues in further parts.
+    ``pages``: (exam_id, page, width, height).
     """
     box = F.struct("x", "y", "w", "h").alias("bbox")
     region = F.array(F.struct(F.lit("blank").alias("label"), F.lit("handwriting").alias("kind"), box)).alias("regions")
@@ -51,18 +50,15 @@ def exam_templates(answers: DataFrame, exams: DataFrame, pages: DataFrame, per_p
         F.col("number").alias("_n"), F.col("number").cast("string").alias("number"), F.lit("short_answer").alias("type"),
         F.lit(1).alias("points"), F.col("page").alias("page_no"), F.lit("question").alias("grading_unit"), region, key,
     )
-    part = F.floor((F.col("number") - 1) / per_part).alias("part")
-    listed = answers.select("exam_id", part, question.alias("_q")).groupBy("exam_id", "part").agg(F.sort_array(F.collect_list("_q")).alias("_qs"))
+    listed = answers.select("exam_id", question.alias("_q")).groupBy("exam_id").agg(F.sort_array(F.collect_list("_q")).alias("_qs"))
     questions = F.transform("_qs", lambda q: q.dropFields("_n")).alias("questions")
-    # an exam's pages are cut into the same bounded lists
-    page_part = pages.withColumn("part", F.floor((F.col("page") - 1) / per_part))
     size = F.struct(F.col("page").alias("page_no"), F.col("width").alias("width_pt"), F.col("height").alias("height_pt"))
-    sizes = page_part.groupBy("exam_id", "part").agg(F.sort_array(F.collect_list(size)).alias("pages"))
+    sizes = pages.groupBy("exam_id").agg(F.sort_array(F.collect_list(size)).alias("pages"))
     head = exams.select(
         "exam_id", FF.chapter_code(F.col("level"), F.col("chapter")).alias("code"), FF.chapter_title(F.col("file")).alias("name"),
         F.lit(1).alias("version"), F.lit("fixed_set").alias("class"), F.col("file").alias("source_pdf"), F.struct("method").alias("extraction"),
     )
-    return head.join(listed, "exam_id").join(sizes, ["exam_id", "part"], "left").select(*head.columns, "part", "pages", questions)
+    return head.join(listed, "exam_id").join(sizes, "exam_id", "left").select(*head.columns, "pages", questions)
 
 
 def write_exam_templates(templates: DataFrame, path: str) -> None:

@@ -13,7 +13,7 @@ from markloom.checks.views import TABLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = all_queries(), all_oracles()
-ROWS_ONLY = {"token_diff_answers", "answers_per_page", "nearest_blank_fill", "dedupe_regions"}
+ROWS_ONLY = {"token_diff_answers", "nearest_blank_fill", "dedupe_regions"}
 
 
 @pytest.fixture(scope="module")
