@@ -125,11 +125,17 @@ def _(t):
     return P.merge_headers(t.sql(f"select * from {PARTS} p")).drop("cut_line")
 
 
-@query("merge_bands", """select sheet_id, no, band, pos, written from (
+@query("merge_bands", f"""select sheet_id, no, band, pos, written, row_number() over (partition by sheet_id order by {NK}, no) as ord from (
   select *, row_number() over (partition by sheet_id, no order by confidence desc, band, pos) as rn
   from (select sheet_id, seq % 3 as band, seq as pos, no, written, confidence from fx_items) b) z where rn = 1""")
 def _(t):
-    return P.merge_bands(t.items.withColumn("band", F.col("seq") % 3).withColumnRenamed("seq", "pos")).select("sheet_id", "no", "band", "pos", "written")
+    return P.merge_bands(t.items.withColumn("band", F.col("seq") % 3).withColumnRenamed("seq", "pos")).select("sheet_id", "no", "band", "pos", "written", "ord")
+
+
+@query("band_headers", f"""select sheet_id, title, teacher, student from (select *, row_number() over (partition by sheet_id order by page desc) as rn from {PARTS} p) z where rn = 1""")
+def _(t):
+    headers = t.sql(f"select *, -page as band from {PARTS} p")
+    return P.band_headers(headers).select("sheet_id", "title", "teacher", "student")
 
 
 @query("last_number", f"""select sheet_id, coalesce(max(case when {NK} < 9007199254740991 then {NK} end), 0) as last_no from {GAPPED} g group by 1""")

@@ -62,9 +62,16 @@ def merge_headers(parts: DataFrame) -> DataFrame:
 
 
 def merge_bands(items: DataFrame) -> DataFrame:
-    """Overlapping bands of one page: the more confident reading per number, earlier band on ties."""
+    """Overlapping bands of one page: the more confident reading per number, earlier band on ties, in number order (``ord``)."""
     rank = [F.col("confidence").desc(), F.col("band"), F.col("pos")]
-    return S.first_rows(items, ["sheet_id", "no"], rank)
+    best = S.first_rows(items, ["sheet_id", "no"], rank)
+    # numbers without digits share one order bucket a sheet, the others are split by their number
+    return natural_order(best, ["sheet_id"]).drop("num_key")
+
+
+def band_headers(headers: DataFrame) -> DataFrame:
+    """The header of the first band speaks for its sheet. ``headers``: (sheet_id, band, ...)."""
+    return S.first_rows(headers, ["sheet_id"], [F.col("band")]).drop("band")
 
 
 def last_number(items: DataFrame) -> DataFrame:
