@@ -8,6 +8,7 @@ from markloom.checks.registry import query
 from markloom.checks.verdict_checks import verdict_sql
 from markloom.operators import agreement as A
 from markloom.operators import trials as T
+from markloom.plans.reports import compare_models
 
 LATEST = """latest as (select * from (select *, row_number() over (partition by sheet_id, model, effort, variant, edge order by created_at desc, trial_id desc) as rn
   from (select * replace (coalesce(variant, 'full') as variant) from fx_trial_runs) v) z where rn = 1)"""
@@ -89,25 +90,36 @@ def _(t):
     return diffs(t)[1]
 
 
-SUMMARY = f"""{SHEET_DIFF}, {LATEST},
-  pr as (select sd.*, l.model, l.effort, b.cost_usd as base_cost, l.cost_usd as trial_cost, b.latency_ms as base_ms, l.latency_ms as trial_ms, b.input_tokens as base_in, l.input_tokens as trial_in,
-    b.output_tokens as base_out, l.output_tokens as trial_out from sd join base b on b.sheet_id = sd.sheet_id join latest l on l.sheet_id = sd.sheet_id where l.error is null),
-  sm as (select model, effort, count(*) as sheets, count(verdict_match) as compared, count(*) filter (where verdict_match) as verdict_agree, count(*) filter (where not verdict_match) as flipped,
+# every run has its own readings and verdict
+TRIAL_ITEMS = "(select r.trial_id, t.* from fx_trials t join fx_trial_runs r on r.sheet_id = t.sheet_id where (t.seq + r.trial_id) % 11 <> 0)"
+TRIAL_VERDICT = "case trial_id % 5 when 0 then null when 1 then 'fail' else 'pass' end"
+TEXT = r"regexp_replace(lower(trim({})), '\s+', ' ', 'g')"
+SUMMARY = f"""{BASE}, {LATEST}, ok as (select *, {TRIAL_VERDICT} as verdict from latest where error is null),
+  bi as (select ok.trial_id, i.sheet_id, no, max_by(written, seq) as bw, bool_or(not coalesce(correct, false)) as bx from fx_items i join ok on ok.sheet_id = i.sheet_id group by 1, 2, 3),
+  ti as (select ok.trial_id, ok.sheet_id, no, max_by(written, seq) as tw, bool_or(not coalesce(correct, false)) as tx from {TRIAL_ITEMS} t join ok on ok.trial_id = t.trial_id group by 1, 2, 3),
+  di as (select coalesce(b.trial_id, t.trial_id) as trial_id, coalesce(b.sheet_id, t.sheet_id) as sheet_id, b.no is not null as in_base, t.no is not null as in_trial,
+    {TEXT.format("bw")} <> {TEXT.format("tw")} as differs, coalesce(bx and not tx, false) as wb, coalesce(tx and not bx, false) as wt from bi b full outer join ti t on t.trial_id = b.trial_id and t.no = b.no),
+  cnt as (select trial_id, sheet_id, count(*) filter (where in_base and not in_trial) as only_base, count(*) filter (where differs) as written_diffs, count(*) filter (where in_base and in_trial) as n,
+    count(*) filter (where wb) as wrong_only_base, count(*) filter (where wt) as wrong_only_trial from di group by 1, 2),
+  pr as (select c.*, c.n - wrong_only_base - wrong_only_trial as agree, b.verdict as base_verdict, b.near_boundary as base_near, l.verdict as trial_verdict, b.verdict = l.verdict as verdict_match,
+    l.model, l.effort, l.variant, l.edge, b.cost_usd as base_cost, l.cost_usd as trial_cost, b.latency_ms as base_ms, l.latency_ms as trial_ms, b.input_tokens as base_in, l.input_tokens as trial_in,
+    b.output_tokens as base_out, l.output_tokens as trial_out from cnt c join base b on b.sheet_id = c.sheet_id join ok l on l.trial_id = c.trial_id),
+  sm as (select model, effort, variant, edge, count(*) as sheets, count(verdict_match) as compared, count(*) filter (where verdict_match) as verdict_agree, count(*) filter (where not verdict_match) as flipped,
     count(*) filter (where not verdict_match and base_near) as flipped_at_boundary, count(*) filter (where not verdict_match and not base_near) as flipped_with_margin,
     count(*) filter (where verdict_match is null and base_verdict is not null) as trial_undecided, count(*) filter (where base_verdict is null) as incomparable,
     cast(sum(n) as bigint) as items_compared, cast(sum(agree) as bigint) as items_agree, cast(sum(wrong_only_base) as bigint) as items_wrong_only_base, cast(sum(wrong_only_trial) as bigint) as items_wrong_only_trial,
     coalesce(bool_and(base_verdict = 'pass' and trial_verdict = 'pass') filter (where verdict_match is not null), true) as all_compared_pass,
     cast(sum(written_diffs) as bigint) as written_diffs, cast(sum(only_base) as bigint) as missed_cells, count(*) filter (where trial_cost is null) as no_price,
     cast(coalesce(sum(base_cost), 0) as double) as base_cost, cast(coalesce(sum(trial_cost), 0) as double) as trial_cost, cast(sum(base_ms) as bigint) as base_ms, cast(sum(trial_ms) as bigint) as trial_ms,
-    cast(sum(base_in) as bigint) as base_in, cast(sum(trial_in) as bigint) as trial_in, cast(sum(base_out) as bigint) as base_out, cast(sum(trial_out) as bigint) as trial_out from pr group by 1, 2)"""
+    cast(sum(base_in) as bigint) as base_in, cast(sum(trial_in) as bigint) as trial_in, cast(sum(base_out) as bigint) as base_out, cast(sum(trial_out) as bigint) as trial_out from pr group by 1, 2, 3, 4)"""
+
+
+DIMS = [*T.CONDITION]
 
 
 def summary(t):
-    b, d = diffs(t)
-    runs = T.latest_trial(t.trial_runs).filter("error is null")
-    left = b.select("sheet_id", F.col("cost_usd").alias("base_cost"), F.col("latency_ms").alias("base_ms"), F.col("input_tokens").alias("base_in"), F.col("output_tokens").alias("base_out"))
-    right = runs.select("sheet_id", "model", "effort", F.col("cost_usd").alias("trial_cost"), F.col("latency_ms").alias("trial_ms"), F.col("input_tokens").alias("trial_in"), F.col("output_tokens").alias("trial_out"))
-    out = T.trial_summary(d.join(left, "sheet_id").join(right, "sheet_id"), ["model", "effort"])
+    runs = t.trial_runs.withColumn("verdict", F.expr(TRIAL_VERDICT))
+    out = compare_models(t.items, t.sheets, t.calls, runs, t.sql(f"select * from {TRIAL_ITEMS} i"), "claude-opus-5")
     return out.withColumn("base_cost", F.col("base_cost").cast("double")).withColumn("trial_cost", F.col("trial_cost").cast("double"))
 
 
@@ -120,20 +132,20 @@ BIAS = """case when items_wrong_only_base + items_wrong_only_trial < 3 then 'bal
   when items_wrong_only_trial >= (items_wrong_only_base + items_wrong_only_trial) * 0.75e0 then 'strict' else 'balanced' end as bias"""
 
 
-@query("trial_bias", f"with {SUMMARY} select model, effort, {BIAS} from sm")
+@query("trial_bias", f"with {SUMMARY} select model, effort, variant, edge, {BIAS} from sm")
 def _(t):
-    return summary(t).select("model", "effort", T.trial_bias(F.col("items_wrong_only_base"), F.col("items_wrong_only_trial")).alias("bias"))
+    return summary(t).select(*DIMS, T.trial_bias(F.col("items_wrong_only_base"), F.col("items_wrong_only_trial")).alias("bias"))
 
 
 def _pct(a: str, b: str) -> str:
     return f"case when coalesce({b}, 0) <> 0 then printf('%.1f%%', cast({a} as double) / {b} * 100) else '—' end"
 
 
-@query("trial_ratios", f"""with {SUMMARY} select model, effort, {_pct('verdict_agree', 'compared')} as verdict_pct, {_pct('items_agree', 'items_compared')} as item_pct,
+@query("trial_ratios", f"""with {SUMMARY} select model, effort, variant, edge, {_pct('verdict_agree', 'compared')} as verdict_pct, {_pct('items_agree', 'items_compared')} as item_pct,
   case when no_price = sheets then '—' else {_pct('trial_cost', 'base_cost')} end as cost_pct, {_pct('trial_in', 'base_in')} as input_pct, {_pct('trial_out', 'base_out')} as output_pct,
   {_pct('trial_ms', 'base_ms')} as time_pct, no_price, {BIAS} from sm""")
 def _(t):
-    return T.trial_ratios(summary(t), ["model", "effort"])
+    return T.trial_ratios(summary(t), DIMS)
 
 
 @query("stale_base_flag", f"""with {BASE} select sheet_id, model <> 'claude-opus-5' or effort <> 'none' as stale from base""")
