@@ -45,7 +45,11 @@ GAPS = """gaps as (select sheet_id, section, g.n as missing_no
   where not exists (select 1 from sections s where s.sheet_id = b.sheet_id and s.section = b.section and s.num = g.n))"""
 
 
-@query("number_gaps", f"with {SECTIONS}, {GAPS} select * from gaps")
+RUNS = """runs as (select sheet_id, section, min(missing_no) as gap_from, max(missing_no) as gap_to, count(*) as n
+  from (select *, missing_no - row_number() over (partition by sheet_id, section order by missing_no) as island from gaps) z group by sheet_id, section, island)"""
+
+
+@query("number_gaps", f"with {SECTIONS}, {GAPS}, {RUNS} select * from runs")
 def _(t):
     return D.number_gaps(D.number_sections(stored(t)))
 
@@ -101,6 +105,13 @@ def _(t):
     return D.drift_warnings(stored(t), t.sheets, t.sql(f"select * from {KEY_ROWS} r"))
 
 
+@query("drift_findings", DRIFT.replace("dup as (", RUNS + ", dup as (", 1) + """ select sheet_id, 1 as check_no, cast(0 as bigint) as section, no as item from dup
+  union all select sheet_id, 3, section, concat(gap_from, '-', gap_to) from runs union all select sheet_id, 5, 0, no from keybad
+  union all select sheet_id, 7, 0, no from px union all select sheet_id, 8, 0, concat(no, '(', lang, ')') from lh""")
+def _(t):
+    return D.drift_findings(stored(t), t.sql(f"select * from {KEY_ROWS} r"))
+
+
 PAGED = """(select sheet_id, cast(seq % (1 + sheet_id % 2) as int) as page, seq as pos, no, prompt, prefix, written, blank, legible, confidence from fx_items)"""
 PARTS = """(select sheet_id, k as page, case when sheet_id % 5 = k then '' else concat(' ', title, ' ', cast(k as varchar)) end as title,
   case when sheet_id % 3 = k then class_name else ' ' end as teacher, case when k = 1 then student_name end as student, cut_line,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom import constants as K
@@ -26,13 +26,28 @@ def number_duplicates(items: DataFrame) -> DataFrame:
 
 
 def number_sections(items: DataFrame) -> DataFrame:
-    """Section of every item: a new one starts where the number does not increase."""
-    keyed = items.select("sheet_id", "seq", "no", num_key(F.col("no")).alias("num"))
-    bucket = S.seq_bucket("seq")
-    lagged = S.lag_within(keyed, ["sheet_id"], ["seq"], bucket, "num", "prev_num")
-    breaks = F.coalesce(F.col("num") <= F.col("prev_num"), F.lit(False))
-    numbered = S.running_sum(lagged.withColumn("breaks", breaks), ["sheet_id"], ["seq"], bucket, F.col("breaks").cast("int"), "section")
-    return numbered.withColumn("section", F.col("section") + 1)
+    """Section of every item: a new one starts where the number does not increase.
+
+    One pass per (sheet, bucket of positions); a summary row of each bucket tells the next one which number
+    came before it and how many sections.
+    """
+    keyed = items.select("sheet_id", "seq", "no", num_key(F.col("no")).alias("num"), S.seq_bucket("seq").alias("_bucket"))
+    part = ["sheet_id", "_bucket"]
+    inside = Window.partitionBy(*part).orderBy("seq")
+    passed = keyed.withColumn("_prev", F.lag("num").over(inside)).withColumn("_break", F.coalesce(F.col("num") <= F.col("_prev"), F.lit(False)).cast("bigint"))
+    passed = passed.withColumn("_inner", F.sum("_break").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = passed.groupBy(*part).agg(F.min("seq").alias("_first"), F.min_by("num", "seq").alias("_head"), F.max_by("num", "seq").alias("_tail"), F.sum("_break").alias("_n"))
+    along = Window.partitionBy("sheet_id").orderBy("_bucket")
+    entered = ends.withColumn("_carry", F.lag("_tail").over(along)).withColumn("_entry", F.coalesce(F.col("_head") <= F.col("_carry"), F.lit(False)).cast("bigint"))
+    before = F.sum(F.col("_n") + F.col("_entry")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    joined = passed.join(entered.select(*part, "_first", "_carry", "_entry", before.alias("_before")), part)
+    first = F.col("seq") == F.col("_first")
+    return joined.select(
+        "sheet_id", "seq", "no", "num",
+        F.when(first, F.col("_carry")).otherwise(F.col("_prev")).alias("prev_num"),
+        (F.when(first, F.col("_entry")).otherwise(F.col("_break")) > 0).alias("breaks"),
+        (F.col("_inner") + F.col("_before") + 1).alias("section"),
+    )
 
 
 def gap_ranges(sections: DataFrame) -> DataFrame:
@@ -48,11 +63,9 @@ def gap_ranges(sections: DataFrame) -> DataFrame:
     )
 
 
-def number_gaps(sections: DataFrame, step: int = 10000) -> DataFrame:
-    """One row per absent integer; long runs are cut into steps before they are expanded."""
-    starts = gap_ranges(sections).withColumn("_start", F.explode(F.sequence("gap_from", "gap_to", F.lit(step).cast("bigint"))))
-    until = F.least(F.col("gap_to"), F.col("_start") + step - 1)
-    return starts.select("sheet_id", "section", F.explode(F.sequence("_start", until)).alias("missing_no"))
+def number_gaps(sections: DataFrame) -> DataFrame:
+    """Absent integers as ranges, so a misread number of any size stays one row."""
+    return gap_ranges(sections).withColumn("n", F.col("gap_to") - F.col("gap_from") + 1)
 
 
 def key_mismatch(items: DataFrame, key: DataFrame) -> DataFrame:
@@ -145,6 +158,24 @@ def drift_warnings(items: DataFrame, sheets: DataFrame, key: DataFrame | None =
     return reduce(DataFrame.unionByName, parts)
 
 
+def drift_findings(items: DataFrame, key: DataFrame) -> DataFrame:
+    """Everything the list-like checks found, one row each and nothing cut off: (sheet_id, check_no, section, item)."""
+
+    def found(df: DataFrame, check: str, item: Column, section: Column | None = None) -> DataFrame:
+        number = F.lit(CHECKS.index(check) + 1).alias("check_no")
+        return df.select("sheet_id", number, (F.lit(0) if section is None else section).cast("bigint").alias("section"), item.cast("string").alias("item"))
+
+    gaps = number_gaps(number_sections(items))
+    tongue = items.withColumn("_lang", language_mismatch(F.col("direction"), F.col("written"))).filter("_lang is not null")
+    return reduce(DataFrame.unionByName, [
+        found(number_duplicates(items), "duplicate", F.col("no")),
+        found(gaps, "gaps", F.concat_ws("-", "gap_from", "gap_to"), F.col("section")),
+        found(key_mismatch(items, key), "key", F.col("no")),
+        found(items.filter(prefix_mismatch(F.col("prefix"), F.col("written"))), "prefix", F.col("no")),
+        found(tongue, "language", F.concat(F.col("no"), F.lit("("), F.col("_lang"), F.lit(")"))),
+    ])
+
+
 def sheet_levels(warnings: DataFrame) -> DataFrame:
     """Per sheet: any drift, any incomplete."""
     return warnings.groupBy("sheet_id").agg(
