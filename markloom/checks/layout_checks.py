@@ -48,12 +48,12 @@ PRINTED = """(select doc_id, page, pos, case pos % 7 when 1 then concat(text, '_
 RULES = """(select doc_id, page, pos, x, y, w, 0.001e0 as h, cast(pos % 5 as double) as height_pt, 800.0e0 as page_height from fx_words cross join (select 0 as k union all select 1 as k) r where pos % 10 = 0)"""
 
 
-@query("layout_regions", f"""select 'underscore' as kind, doc_id, page, pos, round(x, 4) as x, round(y, 4) as y, cast(null as int) as index from {PRINTED} p where contains(text, '___') and y between 0.1 and 0.97 and w >= 0.04
-  union all select 'choice', doc_id, page, pos, round(x, 4), round(y, 4), cast(3 as int) from {PRINTED} p where starts_with(text, '③')
-  union all select distinct 'rule', doc_id, page, pos, round(x, 4), round(y - 14.0e0 / 800, 4), cast(null as int) from {RULES} r where height_pt <= 2.5 and w >= 0.05 and y between 0.1 and 0.97""")
+@query("layout_regions", f"""select 'underscore' as kind, doc_id, page, pos, round(x, 4) as x, round(y, 4) as y, round(w, 4) as w, round(h, 4) as h, cast(null as int) as index from {PRINTED} p where contains(text, '___') and y between 0.1 and 0.97 and w >= 0.04
+  union all select 'choice', doc_id, page, pos, round(x, 4), round(y, 4), round(w, 4), round(h, 4), cast(3 as int) from {PRINTED} p where starts_with(text, '③')
+  union all select distinct 'rule', doc_id, page, pos, round(x, 4), round(y - 14.0e0 / 800, 4), round(w, 4), 0.02e0, cast(null as int) from {RULES} r where height_pt <= 2.5 and w >= 0.05 and y between 0.1 and 0.97""")
 def _(t):
     out = L.layout_regions(t.sql(f"select * from {PRINTED} p"), t.sql(f"select * from {RULES} r"))
-    return out.select("kind", "doc_id", "page", "pos", "x", "y", "index")
+    return out.select("kind", "doc_id", "page", "pos", *L.BOX, "index")
 
 
 QNUM = f"select doc_id, page, pos, cast(regexp_extract(text, '^(\\d{{1,3}})[.)]$', 1) as int) as number, x, y from {PRINTED} p where regexp_matches(text, '^\\d{{1,3}}[.)]$') and y between 0.1 and 0.97"

@@ -110,6 +110,14 @@ def _(t):
     return ocr.expand_number_ranges(specs, "wrong")
 
 
+BROKEN = "(select p_brand as student, concat('4,', case when min(p_partkey) % 2 = 0 then ' 1-2-3 ' else '5-7' end, ',x-9, 8 - 11') as wrong from part group by p_brand)"
+
+
+@query("unreadable_ranges", f"select student, unnest(case when contains(wrong, '1-2-3') then ['1-2-3', 'x-9'] else ['x-9'] end) as part from {BROKEN} b")
+def _(t):
+    return ocr.unreadable_ranges(t.sql(f"select * from {BROKEN} b"), "wrong")
+
+
 FILL = f"""{KS}, {RANGES}, fl as (select m.*, case when ks.k % 2 = 0 then 'fair' else 'poor' end as sg,
     case when ks.k is null then 'untouched' when truth_source = 'typed' then 'skipped' when b.no is not null then 'blank' when w.no is not null then 'to_type' else 'assumed' end as action
   from fx_manifest m left join ks on ks.student = m.student left join rg b on b.student = m.student and b.no = m.question and b.what = 'blank' left join rg w on w.student = m.student and w.no = m.question and w.what = 'wrong'),

@@ -8,6 +8,8 @@ from markloom.checks.registry import query
 from markloom.checks.verdict_checks import WRONG
 from markloom.functions import clock, files as FF
 from markloom.operators import costs, keyfiles, lifecycle as L, roster as R, verdict
+from markloom.session import scratch_path
+from markloom.sources import readers, writers
 
 BUCKET = """case when status = 'cancelled' then null when status = 'confirmed' and final_verdict = 'fail' then 'retest'
   when status = 'confirmed' and final_verdict = 'pass' then 'passed' else 'pending' end"""
@@ -118,6 +120,14 @@ def _(t):
 
 # --- merges --------------------------------------------------------------------------------------
 
+
+def stored_again(t, df, label):
+    """The merged table as its readers find it: written and read back."""
+    path = scratch_path(t.spark, label)
+    writers.write_table(df, path)
+    return readers.read_table(t.spark, path)
+
+
 INCOMING = "(select concat(title, '|', class_name) as fingerprint, sheet_id as source_sheet, created_at from fx_sheets)"
 
 
@@ -135,14 +145,14 @@ def _(t):
 def _(t):
     stored = t.sql("select concat('k', cast(page_id % 40 as varchar)) as slug, cast(page_id as varchar) as src, page_id * 7 % 5003 as updated_at from pages where page_id % 2 = 0")
     inc = t.sql("select concat('k', cast(page_id % 60 as varchar)) as slug, case when page_id % 3 = 0 then null else cast(page_id as varchar) end as src, page_id * 7 % 5003 as updated_at from pages where page_id % 2 = 1")
-    return L.merge_last_wins(stored, inc, "slug")
+    return stored_again(t, L.merge_last_wins(stored, inc, "slug"), "answer-keys")
 
 
 @query("replace_children", """with inc as (select sheet_id, seq, concat(written, '!') as written from fx_trials where sheet_id % 4 = 1 and sheet_id not in (select sheet_id from fx_sheets where status = 'cancelled'))
   select sheet_id, seq, written from fx_items where sheet_id not in (select sheet_id from inc) union all select * from inc""")
 def _(t):
     inc = t.trials.filter("sheet_id % 4 = 1").select("sheet_id", "seq", F.concat("written", F.lit("!")).alias("written"))
-    return L.replace_children(t.items.select("sheet_id", "seq", "written"), inc, t.sheets)
+    return stored_again(t, L.replace_children(t.items.select("sheet_id", "seq", "written"), inc, t.sheets), "items")
 
 
 # --- retention and work list -----------------------------------------------------------------------

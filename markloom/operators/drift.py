@@ -174,15 +174,3 @@ def drift_findings(items: DataFrame, key: DataFrame) -> DataFrame:
         found(items.filter(prefix_mismatch(F.col("prefix"), F.col("written"))), "prefix", F.col("no")),
         found(tongue, "language", F.concat(F.col("no"), F.lit("("), F.col("_lang"), F.lit(")"))),
     ])
-
-
-def sheet_levels(warnings: DataFrame) -> DataFrame:
-    """Per sheet: any drift, any incomplete."""
-    return warnings.groupBy("sheet_id").agg(
-        F.coalesce(F.bool_or(F.col("level") == "drift"), F.lit(False)).alias("has_drift"),
-        F.coalesce(F.bool_or(F.col("level") == "incomplete"), F.lit(False)).alias("is_incomplete"),
-    )
-
-
-def missing_prompt(c: Column) -> Column:
-    return trimmed(text_or_empty(c)) == ""

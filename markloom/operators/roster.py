@@ -148,7 +148,3 @@ def withdraw_student(name: str, sheets: DataFrame, photos: DataFrame, items: Dat
     wanted = name.strip()
     gone = sheets.filter((F.col("student_name") == wanted) & F.lit(bool(wanted))).select("sheet_id")
     return tuple(df.join(gone, "sheet_id", "left_anti") for df in (sheets, photos, items))  # type: ignore[return-value]
-
-
-def trimmed_name(c: Column) -> Column:
-    return trimmed(c)

@@ -44,4 +44,3 @@ RUN = (
     f"warn ARRAY<{WARNING}>"
 )
 SHORT_ITEMS = "array<struct<n:string,p:string,d:string,x:string,w:string,b:boolean,l:boolean,e:boolean>>"
-SHORT_RESULTS = "array<struct<n:string,c:boolean,x:string,m:string>>"

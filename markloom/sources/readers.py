@@ -44,11 +44,6 @@ def expand_short_items(compact: Column) -> Column:
     return F.transform(rows, lambda r: F.struct(*[r[short].alias(full) for full, short in names.items()]))
 
 
-def expand_short_results(compact: Column) -> Column:
-    rows = F.from_json(compact, schemas.SHORT_RESULTS)
-    names = {"no": "n", "correct": "c", "expected": "x", "note": "m"}
-    return F.transform(rows, lambda r: F.struct(*[r[short].alias(full) for full, short in names.items()]))
-
 
 def pick_items(items: DataFrame, numbers: list[str] | None = None, with_prefix: bool = False, pairs: DataFrame | None = None) -> DataFrame:
     """Items of runs by number, by printed first letters, or by disagreement; names never come along."""

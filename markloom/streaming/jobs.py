@@ -54,10 +54,21 @@ def stream_usage_by_hour(
     return day.join(bins, "hour", "left").na.fill(0, ["total", "off"])
 
 
-def stream_first_ref_wins(spark: SparkSession, refs: DataFrame, out: str | None = None) -> DataFrame:
+def first_refs(refs: DataFrame, late: str | None = None) -> DataFrame:
+    """The first arrival of every fingerprint.
+
+    The state holds one row per fingerprint for ever; ``late`` (needs a TIMESTAMP created_at) frees a
+    fingerprint so long after its first arrival, from when on a repeat counts as new.
+    """
+    if late is None:
+        return refs.dropDuplicates(["fingerprint"])
+    return refs.withWatermark("created_at", late).dropDuplicatesWithinWatermark(["fingerprint"])
+
+
+def stream_first_ref_wins(spark: SparkSession, refs: DataFrame, out: str | None = None, late: str | None = None) -> DataFrame:
     """Append the first arrival of every fingerprint; later ones are dropped by the stream's state."""
     out = out or scratch_path(spark, "refs")
-    _drain(refs.dropDuplicates(["fingerprint"]), f"{out}/data", f"{out}/state", "append")
+    _drain(first_refs(refs, late), f"{out}/data", f"{out}/state", "append")
     return spark.read.parquet(f"{out}/data").drop("batch")
 
 
