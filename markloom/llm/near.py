@@ -9,7 +9,7 @@ million.  Pairs that meet are compared in full up to FAR lanes, which similar se
 below 1e-6.
 
 Buckets are never expanded into pairs.  Documents of one bucket name its first document as hub; a document
-is compared with its smallest hub, and what that links is contracted.  The rest is compared in tiles of
+is compared with the hub it meets most often, and what that links is contracted.  The rest is compared in tiles of
 about TILE documents: each pair of tiles that meet in a bucket is one unit of work which compares
 signatures, then full sets of the pairs within FAR lanes, and hands on a spanning set of links.  Tiles whose
 documents all hang on the same hub are not compared again.  A family of copies, however large, spreads over
@@ -227,7 +227,8 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
     sizes = keyed.select("row", "key", F.expr(f"min(row) {over}").alias("hub"), F.expr(f"count(*) {over}").alias("n"))
     met = written(sizes.filter("n > 1").select("key", "row", "hub", (F.col("n") > SMALL).alias("large")), "met")
 
-    family = written(met.groupBy("row").agg(F.min("hub").alias("hub")), "family")
+    often = met.groupBy("row", "hub").agg(F.count("*").alias("n"))
+    family = written(often.groupBy("row").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")), "family")
     parts = family.groupBy("hub").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     spread = family.filter("row <> hub").join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
     heads = spread.select("hub", "part").distinct().select(F.col("hub").alias("row"), "hub", "part")
