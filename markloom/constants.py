@@ -104,3 +104,29 @@ HIDDEN_CHARS = (
 EXPECTED_CHARS = r"\u0020-\u007E\u00B7\u2013\u2014\u2018\u2019\u201C\u201D\u2026\uAC00-\uD7A3\u1100-\u11FF\u3130-\u318F"
 NOISE_CHARS = r"\s.,)(\]\[:;\-–—~∙*※→…"
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩"
+
+# Sentences that users read, with places for values.
+WARN_DUPLICATE = "문항 번호가 중복됩니다: "
+WARN_SECTIONS = "번호 묶음이 {}개입니다 — 절이 나뉜 시험지로 보고 연속성은 묶음 안에서만 검사합니다."
+WARN_GAPS = "{}번째 묶음의 번호가 비었습니다: {}{}"
+WARN_PAGES = (
+    "{}장을 올렸는데 {}문항 중 {}문항만 읽혔습니다 ({}번까지, {}칸 부족). 장이 더 있는지 확인하시고, 다 올리셨다면 "
+    "**{}칸을 놓친 것이니 검수해 주십시오.**"
+)
+WARN_PAGE = "이 시험지는 {}문항인데 {}문항만 읽혔습니다 ({}번까지, {}칸 부족). **뒷면이나 다음 장을 마저 찍어 함께 올리십시오.**"
+WARN_TOTAL = "인쇄된 문항 수 {} ≠ 전사 {} — 밀렸거나 빠졌습니다."
+WARN_KEY = "제시어가 정답표와 다릅니다(밀림 의심): "
+WARN_EMPTY = "제시어가 비어 있는 문항 {}개 — 밀림 검증이 그만큼 약해집니다."
+WARN_PREFIX = "인쇄된 첫 글자와 답이 안 맞습니다(밀림 의심): "
+WARN_LANGUAGE = "출제 방향과 답의 언어가 다릅니다(밀림 의심): "
+WARN_UNJUDGED = (
+    "{}문항은 정답을 알 수 없어 판정하지 않았습니다 ({}번). 지문을 봐야 정답이 나오는 유형입니다 — 그 문항은 사람이 채점하십시오."
+)
+KEY_NEAR = "🔶 정답지를 「{}」로 붙였습니다 — {} 다른 시험의 정답지가 아닌지 확인하십시오."
+KEY_RIVALS = (
+    "정답지 {}가 비슷해 어느 것인지 정하지 못했습니다. 엉뚱한 정답으로 채점하지 않으려고 하나도 안 썼습니다 — "
+    "정답지 화면에서 시험 제목을 답안지와 같게 고쳐 등록하면 채점됩니다."
+)
+ROSTER_HEAD = "{}{} 재시험 명단 ({}명)"
+ROSTER_FOOT = "※ 아직 확정되지 않은 답안지 {}장이 있습니다. 명단이 늘어날 수 있습니다."
+WRONG_HEAD = "{}{} 오답 목록"

@@ -145,3 +145,12 @@ def is_mojibake(c: Column) -> Column:
     sample = F.substring(F.regexp_replace(text_or_empty(c), r"(?U)\s+", ""), 1, 600)
     readable = F.length(F.regexp_replace(sample, r"[^\p{L}\p{N}]", ""))
     return (F.length(sample) >= 40) & (readable < F.length(sample) * F.lit(0.45))
+
+
+def told(sentence: str, *values: Column) -> Column:
+    """A fixed sentence with values in its places; a NULL value makes it NULL."""
+    first, *rest = sentence.split("{}")
+    parts = [F.lit(first)]
+    for value, piece in zip(values, rest, strict=True):
+        parts += [value.cast("string"), F.lit(piece)]
+    return F.concat(*parts)

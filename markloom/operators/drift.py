@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom import constants as K
-from markloom.functions.text import language_mismatch, norm, num_key, prefix_mismatch, text_or_empty, trimmed
+from markloom.functions.text import language_mismatch, norm, num_key, prefix_mismatch, told, trimmed
 from markloom.operators import sequences as S
 from markloom.session import written
 
@@ -98,7 +98,7 @@ def _gap_warnings(gaps: DataFrame, limit: int = 15) -> DataFrame:
     numbers = F.flatten(F.transform("_runs", lambda r: F.sequence(r["gap_from"], F.least(r["gap_to"], r["gap_from"] + limit))))
     shown = F.array_join(F.slice(numbers, 1, limit).cast("array<string>"), ", ")
     more = F.when(F.size(numbers) > limit, F.lit(" …")).otherwise(F.lit(""))
-    text = F.concat(F.col("section").cast("string"), F.lit("번째 묶음의 번호가 비었습니다: "), shown, more)
+    text = told(K.WARN_GAPS, F.col("section"), shown, more)
     return _warn(runs, "gaps", "drift", text, F.col("section"))
 
 
@@ -108,19 +108,10 @@ def _total_warnings(facts: DataFrame, earlier: DataFrame) -> DataFrame:
     total, n = F.col("printed_total"), F.col("n_items")
     off = facts.filter((F.coalesce(total, F.lit(0)) > 0) & (total != n)).join(drifted, "sheet_id", "left")
     partial = F.col("_drifted").isNull() & (n < total)
-    s = lambda c: c.cast("string")
-    short = total - n
-    last = F.coalesce("last_no", n)
-    many = F.concat(
-        s(F.col("page_count")), F.lit("장을 올렸는데 "), s(total), F.lit("문항 중 "), s(n), F.lit("문항만 읽혔습니다 ("), s(last),
-        F.lit("번까지, "), s(short), F.lit("칸 부족). 장이 더 있는지 확인하시고, 다 올리셨다면 **"), s(short),
-        F.lit("칸을 놓친 것이니 검수해 주십시오.**"),
-    )
-    one = F.concat(
-        F.lit("이 시험지는 "), s(total), F.lit("문항인데 "), s(n), F.lit("문항만 읽혔습니다 ("), s(last), F.lit("번까지, "), s(short),
-        F.lit("칸 부족). **뒷면이나 다음 장을 마저 찍어 함께 올리십시오.**"),
-    )
-    wrong = F.concat(F.lit("인쇄된 문항 수 "), s(total), F.lit(" ≠ 전사 "), s(n), F.lit(" — 밀렸거나 빠졌습니다."))
+    short, last = total - n, F.coalesce("last_no", n)
+    many = told(K.WARN_PAGES, F.col("page_count"), total, n, last, short, short)
+    one = told(K.WARN_PAGE, total, n, last, short)
+    wrong = told(K.WARN_TOTAL, total, n)
     text = F.when(partial, F.when(F.col("page_count") > 1, many).otherwise(one)).otherwise(wrong)
     return _warn(off, "total", F.when(partial, F.lit("incomplete")).otherwise(F.lit("drift")), text)
 
@@ -132,9 +123,9 @@ def drift_warnings(items: DataFrame, sheets: DataFrame, key: DataFrame | None =
     """
     # the numbering is narrow, costly to derive and needed by three checks
     sections = written(number_sections(items), "number-sections")
-    dup = _listed(number_duplicates(items), "duplicate", F.col("no"), [F.col("no")], "문항 번호가 중복됩니다: ", 10)
+    dup = _listed(number_duplicates(items), "duplicate", F.col("no"), [F.col("no")], K.WARN_DUPLICATE, 10)
     counted = sections.groupBy("sheet_id").agg(F.max("section").alias("k")).filter("k > 1")
-    sect_text = F.concat(F.lit("번호 묶음이 "), F.col("k").cast("string"), F.lit("개입니다 — 절이 나뉜 시험지로 보고 연속성은 묶음 안에서만 검사합니다."))
+    sect_text = told(K.WARN_SECTIONS, F.col("k"))
     gaps = _gap_warnings(gap_ranges(sections))
     number = num_key(F.col("no"))
     facts = items.groupBy("sheet_id").agg(
@@ -144,17 +135,17 @@ def drift_warnings(items: DataFrame, sheets: DataFrame, key: DataFrame | None =
     )
     facts = facts.join(sheets.select("sheet_id", "printed_total", "page_count"), "sheet_id")
     total = _total_warnings(facts, dup.unionByName(gaps))
-    empty_text = F.concat(F.lit("제시어가 비어 있는 문항 "), F.col("n_empty").cast("string"), F.lit("개 — 밀림 검증이 그만큼 약해집니다."))
+    empty_text = told(K.WARN_EMPTY, F.col("n_empty"))
     parts = [dup, _warn(counted, "sections", "info", sect_text), gaps, total]
     if key is not None:
         bad = key_mismatch(items, key)
-        parts.append(_listed(bad, "key", F.col("no"), [F.col("seq")], "제시어가 정답표와 다릅니다(밀림 의심): ", 15))
+        parts.append(_listed(bad, "key", F.col("no"), [F.col("seq")], K.WARN_KEY, 15))
     parts.append(_warn(facts.filter("n_empty > 0"), "empty_prompt", "info", empty_text))
     prefix = items.filter(prefix_mismatch(F.col("prefix"), F.col("written")))
-    parts.append(_listed(prefix, "prefix", F.col("no"), [F.col("seq")], "인쇄된 첫 글자와 답이 안 맞습니다(밀림 의심): ", 15))
+    parts.append(_listed(prefix, "prefix", F.col("no"), [F.col("seq")], K.WARN_PREFIX, 15))
     tongue = items.withColumn("_lang", language_mismatch(F.col("direction"), F.col("written"))).filter("_lang is not null")
     shown = F.concat(F.col("no"), F.lit("("), F.col("_lang"), F.lit(")"))
-    parts.append(_listed(tongue, "language", shown, [F.col("seq")], "출제 방향과 답의 언어가 다릅니다(밀림 의심): ", 15))
+    parts.append(_listed(tongue, "language", shown, [F.col("seq")], K.WARN_LANGUAGE, 15))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markloom import constants as K
 from markloom.functions import verdicts as V
-from markloom.functions.text import filled, norm, text_or_empty, trimmed
+from markloom.functions.text import filled, norm, text_or_empty, told, trimmed
 from markloom.operators import sequences as S
 
 
@@ -111,26 +111,17 @@ def unjudged_warning(results: DataFrame, order: str = "seq") -> DataFrame:
     flagged = results.filter(V.is_unjudged(F.col("note")))
     counts = flagged.groupBy("sheet_id").agg(F.count("*").alias("_n"))
     listed = S.fold_text(flagged, ["sheet_id"], F.col("no"), [order], "_nos").join(counts, "sheet_id")
-    text = F.concat(
-        F.col("_n").cast("string"), F.lit("문항은 정답을 알 수 없어 판정하지 않았습니다 ("), F.col("_nos"),
-        F.lit("번). 지문을 봐야 정답이 나오는 유형입니다 — 그 문항은 사람이 채점하십시오."),
-    )
+    text = told(K.WARN_UNJUDGED, F.col("_n"), F.col("_nos"))
     return listed.select("sheet_id", "part", F.lit("incomplete").alias("level"), text.alias("text"))
 
 
 def key_match_notes(matches: DataFrame) -> DataFrame:
     """Info rows for keys found by anything but an equal title, and for sheets with rivals."""
     near = matches.filter(F.col("slug").isNotNull() & (F.col("how") != K.HOW_TITLE))
-    near_text = F.concat(
-        F.lit("🔶 정답지를 「"), "how", F.lit("」로 붙였습니다 — "), text_or_empty(F.col("why")), F.lit(" 다른 시험의 정답지가 아닌지 확인하십시오.")
-    )
+    near_text = told(K.KEY_NEAR, F.col("how"), text_or_empty(F.col("why")))
     rivals = matches.filter(F.col("slug").isNull() & (F.coalesce(F.size("ambiguous"), F.lit(0)) > 0))
     names = F.array_join(F.transform("ambiguous", lambda a: F.concat(F.lit("「"), a["title"], F.lit("」"))), ", ")
-    rival_text = F.concat(
-        F.lit("정답지 "), names,
-        F.lit("가 비슷해 어느 것인지 정하지 못했습니다. 엉뚱한 정답으로 채점하지 않으려고 하나도 안 썼습니다 — "
-              "정답지 화면에서 시험 제목을 답안지와 같게 고쳐 등록하면 채점됩니다."),
-    )
+    rival_text = told(K.KEY_RIVALS, names)
     info = F.lit("info").alias("level")
     return near.select("sheet_id", info, near_text.alias("text")).unionByName(rivals.select("sheet_id", info, rival_text.alias("text")))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from markloom import constants as K
 from markloom.functions import verdicts as V
-from markloom.functions.text import filled, text_or_empty, trimmed
+from markloom.functions.text import filled, text_or_empty, told
 from markloom.operators import sequences as S
 from markloom.operators.verdict import with_final
 
@@ -53,10 +53,8 @@ def render_retest_text(sheets: DataFrame, heading: str = "") -> DataFrame:
     counts = days.groupBy("received_on").agg(
         F.count_if(F.col("bucket") == "retest").alias("retest"), F.count_if(F.col("bucket") == "pending").alias("pending")
     )
-    title = F.concat(
-        F.lit(heading), F.date_format("received_on", "yyyy-MM-dd"), F.lit(" 재시험 명단 ("), F.col("retest").cast("string"), F.lit("명)")
-    )
-    footer = F.concat(F.lit("※ 아직 확정되지 않은 답안지 "), F.col("pending").cast("string"), F.lit("장이 있습니다. 명단이 늘어날 수 있습니다."))
+    title = told(K.ROSTER_HEAD, F.lit(heading), F.date_format("received_on", "yyyy-MM-dd"), F.col("retest"))
+    footer = told(K.ROSTER_FOOT, F.col("pending"))
     rows = days.filter("bucket = 'retest'").select(
         "received_on", class_label(F.col("class_name")).alias("class_name"), "sheet_id",
         F.coalesce(filled(F.col("student_name")), F.lit(K.NO_NAME)).alias("name"),
@@ -86,12 +84,12 @@ def render_wrong_text(wrong: DataFrame, sheets: DataFrame, heading: str = "") ->
     )
     titled = F.when(text_or_empty(F.col("title")) != "", F.concat(F.lit(" — "), "title")).otherwise("")
     head_text = F.concat(name, titled, F.lit(" ("), F.col("n").cast("string"), F.lit("개)"))
-    written = F.coalesce(filled(F.col("written")), F.lit("(무응답)"))
+    written = F.coalesce(filled(F.col("written")), F.lit(f"({K.NOTE_BLANK})"))
     answer = F.when(text_or_empty(F.col("expected")) != "", F.concat(F.lit(" (정답: "), "expected", F.lit(")"))).otherwise("")
     item_text = F.concat(F.lit("  "), "no", F.lit(". "), "prompt", F.lit(" → "), written, answer)
     days = sheets.select(F.to_date("created_at").alias("received_on")).distinct()
     calm = days.join(wrong.select("received_on").distinct(), "received_on", "left_anti")
-    day_text = F.concat(F.lit(heading), F.date_format("received_on", "yyyy-MM-dd"), F.lit(" 오답 목록"))
+    day_text = told(K.WRONG_HEAD, F.lit(heading), F.date_format("received_on", "yyyy-MM-dd"))
     none = F.lit(None).cast("bigint")
     return (
         days.select("received_on", none.alias("sheet_id"), F.lit(-2).cast("bigint").alias("seq"), day_text.alias("text"))
