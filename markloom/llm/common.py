@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from markloom.session import written
 
-__all__ = ["SPACE", "body", "components", "free_name", "ranked", "read", "written"]
+__all__ = ["SPACE", "body", "components", "free_name", "numbered", "ranked", "read", "written"]
 
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bits of a row's number that count the rows of a file.
+FILE_ROWS = 40
 
 
 def read(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -29,6 +32,31 @@ def free_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def numbered(docs: DataFrame, name: str, *columns: str | Column) -> DataFrame:
+    """``columns`` (or all) and a number of every row that each later read finds again.
+
+    A row of a Parquet table is numbered by its file's rank among the paths and its place in the file, which
+    do not depend on how a read is split.  Rows of any other input have no such place: they are stored with
+    their number once.
+    """
+    scan = docs._jdf.queryExecution().analyzed()
+    if scan.getClass().getSimpleName() == "LogicalRelation" and len(paths := list(docs._jdf.inputFiles())) > 0:
+        listed = list(scan.relation().location().inputFiles())
+        try:
+            place = docs.metadataColumn("_metadata")
+            path, index, number = (free_name(docs, x) for x in ("path", "index", "number"))
+            placed = docs.select(*(columns or "*"), place["file_path"].alias(path), place["row_index"].alias(index))
+        except AnalysisException:
+            placed = None
+        if placed is not None and len(listed) == len(paths):
+            order = F.row_number().over(Window.orderBy(path)).cast("long")
+            files = written(docs.select(place["file_path"].alias(path)).distinct().select(path, order.alias(number)), "files")
+            # Never null, and known to be: so no join filters it first and all joins can share one exchange.
+            found = F.coalesce(F.shiftleft(number, FILE_ROWS) + F.col(index), F.lit(0).cast("long"))
+            return placed.join(F.broadcast(files), path).withColumn(name, found).drop(path, index, number)
+    return written(docs.select(*(columns or "*"), F.monotonically_increasing_id().alias(name)), "numbered")
+
+
 def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, buckets: int = 64) -> DataFrame:
     """Add the position (from 0) of every row within ``keys``, in an order that depends on ``order`` alone.
 
@@ -36,8 +64,6 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, bucket
     total of at most ``buckets`` counts a key gives each bucket its first position, and rows are numbered
     inside a bucket.  A key that holds most of the rows is so spread over ``buckets`` tasks.
     """
-    from pyspark.sql import Window
-
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     sizes = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

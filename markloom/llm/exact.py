@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import SPACE, body, free_name, written
+from markloom.llm.common import SPACE, body, free_name, numbered, written
 
 LEAST, MOST = 256, 4096
 #: From LEAST characters on, a chunk ends behind the next sentence mark, at the latest after MOST characters.
@@ -26,11 +26,9 @@ CHUNK = rf"(?s).{{{LEAST},{MOST - 1}}}?[.!?;:。！？؟।]|.{{1,{MOST}}}"
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """``(row, doc_id, n_chars, bare, chunks)``: the text without white space and its chunks in order."""
+    """``(row, doc_id, n_chars, bare, chunks)`` of ``row, doc_id, text``: the text without white space and its chunks in order."""
     bare = F.regexp_replace(body(), SPACE, "")
-    return docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col("doc_id"), F.length(body()).alias("n_chars"), bare.alias("bare")
-    ).withColumn("chunks", F.regexp_extract_all("bare", F.lit(CHUNK), F.lit(0)))
+    return docs.select("row", "doc_id", F.length(body()).alias("n_chars"), bare.alias("bare")).withColumn("chunks", F.regexp_extract_all("bare", F.lit(CHUNK), F.lit(0)))
 
 
 def clashes(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
@@ -66,6 +64,11 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash6
     one with the smallest id, then the first.  Groups are counted with partial sums and joined back, a
     join that Spark can split when one group holds much of the table.
     """
+    return _grouped(numbered(docs, "row", "doc_id", "text"), digest)
+
+
+def _grouped(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """``exact_groups`` of rows that have their number, ``row, doc_id, text``."""
     rows = written(recipes(docs, digest).withColumn("code", F.xxhash64("recipe")), "recipes")
     first = F.min(F.struct((-F.col("n_chars")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("row")))
     groups = rows.groupBy("code", "recipe").agg(first.alias("first"), F.count("*").alias("group_size"))
@@ -77,5 +80,6 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = F.xxhash6
 def keep_first(docs: DataFrame) -> DataFrame:
     """The rows that stay, with the input's columns."""
     name = free_name(docs, "row")
-    kept = exact_groups(docs).filter("kept").select(F.col("row").alias(name))
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(kept, name, "left_semi").drop(name)
+    docs = numbered(docs, name)
+    kept = _grouped(docs.select(F.col(name).alias("row"), "doc_id", "text")).filter("kept").select(F.col("row").alias(name))
+    return docs.join(kept, name, "left_semi").drop(name)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from markloom.llm.common import SPACE, body, free_name, written
+from markloom.llm.common import SPACE, body, free_name, numbered, written
 
 WEIGHTS, MOST = (5.0, 2.0, 1.0), 3.0
 BLOCK_WORDS, SHARD_BLOCKS = 64, 65536
@@ -137,8 +137,13 @@ def splitting_tree(quotas: DataFrame, seed: int, shard_blocks: int = SHARD_BLOCK
 
 
 def chosen(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with sizes, source targets, and blocks with ``rank`` and ``times``; the last two as tables."""
-    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", n_words().alias("size")), "sizes")
+    """Rows with sizes, source targets, and blocks with ``rank`` and ``times``; all as tables."""
+    return _chosen(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "source", "text"), block_words, seed)
+
+
+def _chosen(docs: DataFrame, block_words: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``chosen`` of rows that have their number, ``row, doc_id, source, text``, which are read once."""
+    rows = written(docs.select("row", "doc_id", "source", n_words().alias("size")), "sizes")
     goals = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))), "targets")
     buckets = 8 * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = repeated(permuted(blocks_of(rows, block_words), seed, buckets), goals)
@@ -186,13 +191,13 @@ def mix_digest(docs: DataFrame, block_words: int = BLOCK_WORDS, seed: int = 10)
 def drawn(docs: DataFrame, block_words: int, seed: int = 10) -> DataFrame:
     """The mix as rows of the input's columns: one per document and epoch, with the text of the blocks drawn
     in that epoch, white space kept.  Other columns repeat."""
-    _, _, blocks = chosen(docs, block_words, seed)
     row, held = free_name(docs, "row"), free_name(docs, "blocks")
+    keyed = numbered(docs, row)
+    _, _, blocks = _chosen(keyed.select(F.col(row).alias("row"), "doc_id", "source", "text"), block_words, seed)
     parts = shard_draws(blocks, seed).groupBy("row", "epoch").agg(F.sort_array(F.collect_list("block")).alias(held))
     parts = parts.select(F.col("row").alias(row), held)
     one_block = rf"(?:{SPACE.rstrip('+')}*+{WORD}+){{1,{block_words}}}+(?:{SPACE}$)?"
     cut = F.regexp_extract_all(F.col("text"), F.lit(one_block), F.lit(0))
     whole = F.size(held) == F.ceil(n_words() / block_words)
     text = F.when(whole, F.col("text")).otherwise(F.array_join(F.transform(held, lambda b: F.element_at(cut, (b + 1).cast("int"))), ""))
-    keyed = docs.withColumn(row, F.monotonically_increasing_id())
     return keyed.join(parts, row).withColumn("text", text).select(*docs.columns)

@@ -17,8 +17,8 @@ its tiles.  Documents with equal sets are one document from the start.
 
 Defined cases: null texts and texts without words have no set and link to nothing; one word is a set of
 one; repeated rows link to each other; ``component_id`` is the smallest non-null id of the component; rows
-of a component without any id have none; an empty table gives no rows; other columns are ignored.  The
-input must give the same rows in the same order whenever it is read (a table).
+of a component without any id have none; an empty table gives no rows; other columns are ignored.
+Texts are read again for comparison, by numbers that do not depend on how a read is split.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import body, components, free_name, written
+from markloom.llm.common import body, components, free_name, numbered, written
 from markloom.llm.words import joined, mix, text_column, word_hashes
 
 LANES, CHUNKS, FAR = 84, 14, 38
@@ -218,10 +218,10 @@ def _sorted(rows: DataFrame, keys: list[str], *more: Column | str) -> DataFrame:
 
 
 def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> DataFrame:
-    """``(a, b)``: links among the first rows of equal sets that connect all that similarity connects."""
+    """``(a, b)`` from ``docs`` (``row, text``): links among the first rows of equal sets that connect all that similarity connects."""
     firsts = signed.filter("n_shingles > 0").groupBy("n_shingles", "code_a", "code_b").agg(F.min("row").alias("row")).select("row")
     unique = written(signed.select("row", "n_shingles", "sig").join(firsts, "row"), "unique")
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), body().alias("text"))
+    texts = docs.select("row", "text")
     keyed = unique.select("row", "sig").mapInArrow(_bucket_keys, "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
     over = "over (partition by key)"
     sizes = keyed.select("row", "key", F.expr(f"min(row) {over}").alias("hub"), F.expr(f"count(*) {over}").alias("n"))
@@ -272,11 +272,15 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Documents link when their sets of ``k``-word shingles share ``percent`` per cent of their union (at
     least 80: the signature is laid out for that).  ``first`` marks the row that stands for its component.
     """
+    return _grouped(numbered(docs, "row", "doc_id", "text"), k, percent)
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``near_groups`` of rows that have their number, ``row, doc_id, text``."""
     if percent < 80:
         raise ValueError("signatures are laid out for a similarity of 0.8 or more")
-    signed = written(
-        docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).mapInArrow(_sign(k), ROW), "signed"
-    )
+    docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    signed = written(docs.mapInArrow(_sign(k), ROW), "signed")
     linked = components(near_links(docs, signed, k, percent))
     rows = signed.select("row", "doc_id", "n_shingles", "code_a", "code_b")
     sets = rows.filter("n_shingles > 0").groupBy("n_shingles", "code_a", "code_b").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNull(), F.col("row"))).alias("least_row"))
@@ -294,7 +298,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def first_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row of every component, the one with the smallest id; the input's columns."""
-    name, groups = free_name(docs, "row"), written(near_groups(docs, k, percent), "groups")
+    name = free_name(docs, "row")
+    docs = numbered(docs, name)
+    groups = written(_grouped(docs.select(F.col(name).alias("row"), "doc_id", "text"), k, percent), "groups")
     first = groups.groupBy("component", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"))
     rows = first.select(F.col("first.row").alias(name))
-    return docs.withColumn(name, F.monotonically_increasing_id()).join(rows, name, "left_semi").drop(name)
+    return docs.join(rows, name, "left_semi").drop(name)

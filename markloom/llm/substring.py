@@ -12,7 +12,7 @@ cut, so they need no anchors.  The texts are shuffled once; the three joins read
 
 Defined cases: a null text has no words; texts shorter than a window lose nothing; rows with equal ids take
 nothing from each other; a null id counts as larger than any other; an empty table gives no rows; other
-columns are ignored.  The input must give the same rows in the same order whenever it is read (a table).
+columns are ignored.  Texts are read again by numbers that do not depend on how a read is split.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from markloom.llm.common import body, written
+from markloom.llm.common import body, numbered, written
 from markloom.llm.words import joined, mix, text_column, word_blocks
 
 #: Perfect difference sets by their period.
@@ -189,7 +189,7 @@ def _sorted(rows: DataFrame, *order: str | Column) -> DataFrame:
 
 def cut_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text`` of every document; kept words are joined by one space."""
-    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
+    texts = numbered(docs, "row", F.col("doc_id").cast("long").alias("doc_id"), body().alias("text")).select("row", "doc_id", "text")
     same = written(texts.mapInArrow(_codes, "row long, doc_id long, n long, one long, two long"), "codes").withColumn("id", F.coalesce("doc_id", F.lit(LAST))).filter(F.col("n") >= window)
     least = same.groupBy("n", "one", "two").agg(F.min("id").alias("least"))
     copies = written(same.join(least, ["n", "one", "two"]).select("row", (F.col("id") > F.col("least")).alias("whole")), "copies")
