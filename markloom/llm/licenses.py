@@ -3,8 +3,9 @@
 All rolling word k-grams of a text are hashed and joined to the positions of the same k-grams in license
 templates (a table of fixed size, broadcast).  A match votes for the diagonal ``place in text - place in
 template``; votes are counted per text, template and diagonal with partial sums.  Diagonals that lie close
-together at neighbouring places (a word more or less) are merged, and a merged span counts when it covers
-enough of its template's k-grams.  Base phrases are templates that one k-gram covers whole.
+together (a word more or less) form a band, whose lines at neighbouring places are merged; a stray line can
+so widen a span, not split it.  A merged span counts when it covers enough of its template's k-grams, each
+counted once.  Base phrases are templates that one k-gram covers whole.
 
 Words are lower-cased runs ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``; k-grams are compared by 64-bit hash.
 
@@ -55,6 +56,7 @@ def template_rows() -> list[tuple[int, int, int, str, bool, int]]:
         base = number < len(PHRASES)
         k = len(words) if base else GRAM
         grams = joined(words, k).view(np.int64).tolist()
+        assert len(grams) < 64  # the places a span covers are bits of a long
         rows += [(gram, number, at, label, base, len(grams)) for at, gram in enumerate(grams)]
     return rows
 
@@ -93,12 +95,15 @@ def license_spans(docs: DataFrame) -> DataFrame:
     templates = docs.sparkSession.createDataFrame(template_rows(), "gram long, template int, position int, label string, base boolean, grams int")
     votes = grams.join(F.broadcast(templates), "gram").withColumn("diagonal", F.col("start") - F.col("position"))
     keys = ["row", "doc_id", "n_words", "template", "label", "base", "grams"]
-    lines = votes.groupBy(*keys, "diagonal").agg(F.count_distinct("position").alias("votes"), F.min("start").alias("first"), F.max("start").alias("last"))
-    order = Window.partitionBy(*keys).orderBy("first", "diagonal")
-    apart = (F.abs(F.col("diagonal") - F.lag("diagonal").over(order)) > SLIP) | (F.col("first") > F.lag("last").over(order) + GAP) | F.col("base")
-    spans = lines.withColumn("span", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = spans.groupBy(*keys, "span").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"))
-    return merged.withColumn("cover", F.least(F.lit(1.0), F.col("votes") / F.col("grams"))).drop("span", "votes", "grams")
+    lines = votes.groupBy(*keys, "diagonal").agg(F.bit_or(F.expr("shiftleft(1L, position)")).alias("covered"), F.min("start").alias("first"), F.max("start").alias("last"))
+    across = Window.partitionBy(*keys).orderBy("diagonal")
+    apart = (F.col("diagonal") - F.lag("diagonal").over(across) > SLIP) | F.col("base")
+    bands = lines.withColumn("_apart", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("band", F.sum("_apart").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    along = Window.partitionBy(*keys, "band").orderBy("first", "diagonal")
+    beyond = F.col("first") > F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1)) + GAP
+    spans = bands.withColumn("_beyond", F.coalesce(beyond, F.lit(True)).cast("int")).withColumn("span", F.sum("_beyond").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy(*keys, "band", "span").agg(F.bit_or("covered").alias("covered"), F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.withColumn("cover", F.bit_count("covered") / F.col("grams")).drop("band", "span", "covered", "grams")
 
 
 def license_scan(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 import re
 
-from markloom.llm.licenses import license_scan
+from markloom.llm.licenses import NOTICES, license_scan
 from tests.llm.conftest import CLASHING, odd_rows
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -33,5 +33,17 @@ def test_notices_with_changed_words(docs_of):
     assert rows[1].labels == "mit" and rows[1].n_base == 0 and rows[2].labels == "" and rows[3].score == 0
 
 
+def test_notice_with_a_word_more_or_less_anywhere(docs_of):
+    words = dict(NOTICES)["apache"].split()
+    rows = [(i, " ".join([*words[:i], "inserted", *words[i:]])) for i in range(1, len(words))]
+    rows += [(100 + i, " ".join([*words[:i], *words[i + 1 :]])) for i in range(len(words))]
+    found = {r.doc_id: r for r in license_scan(docs_of(rows)).collect()}
+    assert {r.labels for r in found.values()} == {"apache"} and round(found[15].score * 29) == 27
+
+
+def test_a_gram_counts_once(docs_of):
+    assert license_scan(docs_of([(1, "of the license " * 40)])).collect()[0].labels == ""
+
+
 def test_empty_table(docs_of):
     assert license_scan(docs_of([])).collect() == []
