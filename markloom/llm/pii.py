@@ -3,7 +3,9 @@
 Identifiers are first found in the text as it is.  Texts that show a sign of disguise then pass a chain of
 small transducers, each of which rewrites a text and keeps, for every character of its output, the span of
 source characters it came from: look-alike letters, digits and signs become ASCII and zero-width characters
-go; spelled digits in a row become digits; ``(at)``, ``[dot]`` and ``name at host dot tld`` become signs.
+go; spelled digits in a row become digits and a ``plus`` before them a sign; ``(at)`` and ``[dot]`` become
+signs; so do `` dot `` in the host behind an ``@`` and between digits, and `` at `` before a host with a
+disguised dot (before a host with plain dots it is left alone, as in "look at example.com").
 Identifiers found in the rewritten text are mapped back; those that touch no plain span of their kind are
 added.  Texts without such a sign (most) are done after the first step.
 
@@ -55,7 +57,10 @@ _NUMBER = re.compile(rf"(?i)(?<![^\W\d_])(?:(?:{_DIGIT_WORD}|[0-9])[\x20,.-]{{0,
 _ONE_DIGIT = re.compile(rf"(?i){_DIGIT_WORD}")
 _HAS_SPELLED = re.compile(rf"(?i)(?<![^\W\d_])(?:{_DIGIT_WORD})[\x20,.-]{{1,2}}(?:{_DIGIT_WORD}|[0-9])(?![^\W\d_])")
 _BRACKETED = re.compile(r"(?i)\x20?[(\[{<]\x20?(at|dot|@|\.)\x20?[)\]}>]\x20?")
-_SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9])[A-Za-z0-9._%+-]+(\x20at\x20)[A-Za-z0-9-]+(?:\x20dot\x20[A-Za-z0-9-]+)+")
+_PLUS = re.compile(r"(?i)(?<![^\W\d_])(?:plus|más|mas)[\x20-]{1,2}$")
+_SPOKEN = re.compile(r"(?i)(?<![A-Za-z0-9])[A-Za-z0-9._%+-]+(\x20at\x20)([A-Za-z0-9-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]+)+)")
+_HOST = re.compile(r"(?i)(?<=@)[A-Za-z0-9-]+(?:(?:\.|\x20dot\x20)[A-Za-z0-9-]+)+")
+_POINT = re.compile(r"(?i)(?<=[0-9])\x20dot\x20(?=[0-9])")
 _DOT = re.compile(r"(?i)\x20dot\x20")
 _HINT = re.compile(r"(?i)[(\[{<]\x20?(?:at|dot|@|\.)\x20?[)\]}>]|\x20dot\x20")
 
@@ -88,6 +93,8 @@ def spelled_digits(given: Piece) -> Piece:
         if _ONE_DIGIT.search(m[0]):
             at = m.start()
             words = list(re.finditer(rf"(?i){_DIGIT_WORD}|[0-9]", m[0]))
+            if plus := _PLUS.search(given[0], max(at - 7, 0), at):
+                changes.append((plus.start(), at, "+"))
             for k, w in enumerate(words):
                 end = words[k + 1].start() if k + 1 < len(words) else w.end()
                 changes.append((at + w.start(), at + end, SPELLED.get(w[0].lower(), w[0])))
@@ -97,11 +104,13 @@ def spelled_digits(given: Piece) -> Piece:
 def signs(given: Piece) -> Piece:
     sign = {"at": "@", "dot": ".", "@": "@", ".": "."}
     given = _rewritten(given, [(m.start(), m.end(), sign[m[1].lower()]) for m in _BRACKETED.finditer(given[0])])
-    changes = []
-    for m in _SPOKEN.finditer(given[0]):
-        changes.append((*m.span(1), "@"))
-        changes += [(m.start() + d.start(), m.start() + d.end(), ".") for d in _DOT.finditer(m[0])]
-    return _rewritten(given, changes)
+    given = _rewritten(given, [(*m.span(), ".") for m in _POINT.finditer(given[0])])
+    text, starts, ends = given
+    disguised = lambda i: text[i] == "." and ends[i] - starts[i] > 1
+    ats = [m.span(1) for m in _SPOKEN.finditer(text) if _DOT.search(m[2]) or any(map(disguised, range(*m.span(2))))]
+    given = _rewritten(given, [(a, b, "@") for a, b in ats])
+    hosts = [(m.start(), d) for m in _HOST.finditer(given[0]) for d in _DOT.finditer(m[0])]
+    return _rewritten(given, [(at + d.start(), at + d.end(), ".") for at, d in hosts])
 
 
 def _luhn(digits: str) -> bool:

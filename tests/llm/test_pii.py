@@ -55,6 +55,22 @@ def test_disguises(text, kind, shown):
         assert (KINDS.index(kind), shown) in [(k, (before + text)[a:b]) for k, a, b in spans] and set(base) <= set(spans)
 
 
+@pytest.mark.parametrize(("shown", "kind"), [
+    ("jane@example dot com", "email"), ("jane [at] example dot com", "email"), ("jane at example[dot]com", "email"), ("jane at mail.example dot com", "email"),
+    ("jane@mail[.]example dot com", "email"), ("192 dot 168 dot 0 dot 1", "ip"), ("192 dot 168[.]0.1", "ip"),
+    ("plus one five five five one two three four", "phone"), ("Plus four nine 1 five five one two three", "phone"),
+])
+def test_mixed_disguises(shown, kind):
+    for before in ("", "é🙂 or "):
+        text = f"{before}{shown}, ok"
+        assert [(KINDS[k], text[a:b]) for k, a, b in all_spans(text)[1]] == [(kind, shown)]
+
+
+def test_at_before_a_plain_host_is_no_address():
+    for text in ("look at example.com and the (at) sign", "3 dot 14 is near pi", "one plus one two three four"):
+        assert all_spans(text) == ([], [])
+
+
 def test_clean_text_stays_clean():
     for text in ("we met at noon on the dot and left", "one two three", "the Москва дом и сад", "look at this dot", "no one at home"):
         assert all_spans(text) == ([], [])
