@@ -6,8 +6,8 @@ source characters it came from: look-alike letters, digits and signs become ASCI
 go; spelled digits in a row become digits and a ``plus`` before them a sign; ``(at)`` and ``[dot]`` become
 signs; so do `` dot `` in the host behind an ``@`` and between digits, and `` at `` before a host with a
 disguised dot (before a host with plain dots it is left alone, as in "look at example.com").
-Identifiers found in the rewritten text are mapped back; those that touch no plain span of their kind are
-added.  Texts without such a sign (most) are done after the first step.
+Identifiers found in the rewritten text are mapped back; those that do not lie inside a plain span of their
+kind are added.  Texts without such a sign (most) are done after the first step.
 
 Everything happens inside a row and a span never leaves its text, so no shuffle is needed.
 
@@ -152,7 +152,7 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
     more = []
     for kind, a, b in plain_spans(piece[0]):
         start, end = piece[1][a], piece[2][b - 1]
-        if not any(k == kind and start < e and s < end for k, s, e in base + more):
+        if not any(k == kind and s <= start and end <= e for k, s, e in base + more):
             more.append((kind, start, end))
     return base, sorted(base + more)
 

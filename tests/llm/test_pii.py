@@ -66,6 +66,12 @@ def test_mixed_disguises(shown, kind):
         assert [(KINDS[k], text[a:b]) for k, a, b in all_spans(text)[1]] == [(kind, shown)]
 
 
+@pytest.mark.parametrize(("text", "kind", "stump"), [("+1 555 1234 five six", "phone", "+1 555 1234"), ("a@mail.example(dot)com", "email", "a@mail.example")])
+def test_longer_disguised_span_joins_its_plain_part(text, kind, stump):
+    base, spans = all_spans(text)
+    assert [text[a:b] for _, a, b in base] == [stump] and {(KINDS[k], text[a:b]) for k, a, b in spans} == {(kind, stump), (kind, text)}
+
+
 def test_at_before_a_plain_host_is_no_address():
     for text in ("look at example.com and the (at) sign", "3 dot 14 is near pi", "one plus one two three four"):
         assert all_spans(text) == ([], [])
