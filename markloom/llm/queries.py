@@ -16,6 +16,7 @@ from markloom.llm.packing import pack_digest
 from markloom.llm.pii import personal_data
 from markloom.llm.quality import quality
 from markloom.llm.secrets import secret_scan
+from markloom.llm.spelling import spelling_variants
 from markloom.llm.substring import cut_repeats
 from markloom.llm.toxicity import toxicity
 
@@ -68,6 +69,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(read(spark, sf_dir))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op12_spelling_variants": op12_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -111,4 +117,28 @@ ORACLES: dict[str, str] = {
              best as (select *, first_value(doc_id) over (partition by bare order by n desc, doc_id) as keep_id,
                              count(*) over (partition by bare) as group_size from bare)
         select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(bare) as text_sha256 from best""",
+    "op12_spelling_variants": r"""
+        with recursive
+        steps as (select list(list_reduce(range(0, 8), lambda c, i: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, b) order by b) as t
+                  from (select unnest(range(0, 256)) as b)),
+        runs as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents),
+        low as (select doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run, count(*) as c
+                from runs where length(run) >= 7 group by 1, 2),
+        bytes as (select run, c, hex(encode(doc_id || ':' || run)) as x from low),
+        sums as (select run, c, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::bigint),
+                                                lambda s, b: xor(s // 256, t[(xor(s, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) as h
+                 from bytes cross join steps),
+        words as (select case when h % 31 = 0 then run[: h % length(run)] || run[h % length(run) + 2 :] else run end as word, sum(c)::bigint as n
+                  from sums group by 1 having sum(c) >= 2 and length(word) >= 7),
+        places as (select word, n, unnest(range(0, length(word) + 1)) as i from words),
+        holes as (select word, n, word[: i] as a, word[i + 2 :] as b, word[i + 1 : i + 1] as letter from places where i < length(word)),
+        other as (select a.word, b.word as near, b.n as near_n from holes a join holes b on a.a = b.a and a.b = b.b and a.letter <> b.letter),
+        less as (select distinct h.word, h.n, w.word as near, w.n as near_n from holes h join words w on w.word = h.a || h.b),
+        pairs as (select * from other union all select word, near, near_n from less union all select near, word, n from less),
+        best as (select word, count(*) as n_near, first(near order by near_n desc, encode(near)) as near, max(near_n) as near_n from pairs group by 1),
+        forms as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when near_n >= 10 * n then near end as form, case when near_n >= 10 * n then near_n end as form_n
+                  from words w left join best using (word)),
+        up as (select word, word as at from forms union all select u.word, f.form from up u join forms f on f.word = u.at where f.form is not null),
+        roots as (select u.word, u.at as root from up u join forms f on f.word = u.at where f.form is null)
+        select word, form, root, n, n_near, form_n from forms join roots using (word)""",
 }
