@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from markloom.llm.common import read
 from markloom.llm.exact import exact_groups
+from markloom.llm.language import language_digest
 from markloom.llm.licenses import license_scan
 from markloom.llm.mixing import mix_digest
 from markloom.llm.near import near_groups
@@ -70,6 +71,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_digest(read(spark, sf_dir))
 
 
+def op11_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_digest(read(spark, sf_dir))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(read(spark, sf_dir))
 
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_source_mixing": op10_source_mixing,
+    "op11_language_spans": op11_language_spans,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
