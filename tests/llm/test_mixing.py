@@ -1,9 +1,10 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from markloom.llm.mixing import chosen, drawn, mix_digest, shard_draws
+from markloom.llm.mixing import chosen, drawn, hypergeometric, mix_digest, shard_draws, splitting_tree
 from tests.llm.conftest import CLASHING, odd_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,3 +77,67 @@ def test_drawn_keeps_whole_texts_and_columns(docs_of):
     small = drawn(docs, 4).groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n"))
     taken = {r.doc_id: r.taken for r in mix_digest(docs, 4).collect()}
     assert {r.doc_id: r.n for r in small.collect()} == {k: n for k, n in taken.items() if n}
+
+
+def taken_of(docs, **more):
+    return sorted((r.doc_id, r.taken, r.first_shard) for r in mix_digest(docs, 8, shard_blocks=60, **more).collect())
+
+
+def test_splits_partitions_and_a_rewritten_copy_change_nothing(docs_of, spark):
+    rows = [(i, f"w{i} " * (i % 60), f"s{i % 5}") for i in range(700)] + [(5, "same " * 40, "hot")] * 150 + [(6, "x " * 30, None)] * 3
+    docs = docs_of(rows)
+    want = taken_of(docs)
+    assert len({r[2] for r in want} - {None}) > 20
+    copy = docs_of(list(reversed(rows))).repartition(11)
+    texts = sorted(r.text for r in drawn(docs, 8, shard_blocks=60).collect())
+    for name, value in (("spark.sql.files.minPartitionNum", "16"), ("spark.sql.files.minPartitionNum", "1"), ("spark.sql.shuffle.partitions", "3")):
+        before = spark.conf.get(name, None)
+        spark.conf.set(name, value)
+        try:
+            assert taken_of(docs) == want == taken_of(copy)
+            assert sorted(r.text for r in drawn(copy, 8, shard_blocks=60).collect()) == texts
+        finally:
+            spark.conf.set(name, before) if before else spark.conf.unset(name)
+    assert taken_of(docs, seed=11) != want
+
+
+def test_mix_lies_shard_by_shard(docs_of):
+    docs = docs_of([(i, f"w{i} " * 4, f"s{i % 3}") for i in range(600)])
+    mixed = drawn(docs, 8, shard_blocks=60).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    _, _, blocks = chosen(docs, 8)
+    rows = {r.row: r.doc_id for r in chosen(docs, 8)[0].collect()}
+    want = {}
+    for r in shard_draws(blocks, shard_blocks=60).collect():
+        want.setdefault(r.shard, []).append((r.place, rows[r.row]))
+    found = {}
+    for r in mixed.orderBy("at").collect():
+        found.setdefault(r.part, []).append(r.doc_id)
+    shards = [[d for _, d in sorted(x)] for x in want.values()]
+    whole = ["," + ",".join(map(str, x)) + "," for x in found.values()]
+    assert len(shards) > 5 and all(any("," + ",".join(map(str, s)) + "," in w for w in whole) for s in shards)
+
+
+def test_splitting_tree_over_rounds(spark):
+    quotas = spark.createDataFrame([("a", 5000), ("b", 37), (None, 900), ("c", 0)], "source string, quota long")
+    tree = splitting_tree(quotas, 3, 50).collect()
+    shards = -(-5937 // 50)
+    assert shards > 2**4 and {r.shard for r in tree} == set(range(shards))
+    sizes = [sum(r.quota for r in tree if r.shard == k) for k in range(shards)]
+    assert sum(sizes) == 5937 and max(sizes) - min(sizes) <= 7
+    for source, quota in (("a", 5000), ("b", 37), (None, 900)):
+        at = 0
+        for r in sorted((r for r in tree if r.source == source), key=lambda r: r.shard):
+            assert r.first == at
+            at += r.quota
+        assert at == quota
+
+
+def test_large_draws_are_exact():
+    small = [hypergeometric(np.random.default_rng(i), 60, 40, 30) for i in range(3000)]
+    halved = [hypergeometric(np.random.default_rng(i), 60, 40, 30, limit=20) for i in range(3000)]
+    assert abs(np.mean(small) - np.mean(halved)) < 0.2 and abs(np.std(small) - np.std(halved)) < 0.12
+    for good, bad, drawn_ in ((0, 5, 3), (5, 0, 3), (7, 3, 10), (7, 3, 0)):
+        n = hypergeometric(np.random.default_rng(1), good, bad, drawn_, limit=2)
+        assert max(0, drawn_ - bad) <= n <= min(good, drawn_)
+    huge = hypergeometric(np.random.default_rng(2), 10**13, 3 * 10**13, 10**12)
+    assert abs(huge - 25 * 10**10) < 6 * (10**12 * 0.25 * 0.75) ** 0.5

@@ -44,8 +44,8 @@ def resplit(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("run", [
-    exact.keep_first, near.first_of_each, lambda d: near.near_groups(d).select("doc_id", "component_id"), substring.cut_repeats, lambda d: mixing.drawn(d, 16),
-], ids=["keep_first", "first_of_each", "near_groups", "cut_repeats", "drawn"])
+    exact.keep_first, lambda d: exact.exact_groups(d).drop("row"), mixing.mix_digest, near.first_of_each, lambda d: near.near_groups(d).select("doc_id", "component_id"), substring.cut_repeats, lambda d: mixing.drawn(d, 16),
+], ids=["keep_first", "exact_groups", "mix_digest", "first_of_each", "near_groups", "cut_repeats", "drawn"])
 def test_another_split_gives_the_same_rows(spark, resplit, run):
     docs = table(spark)
     want = sorted(map(str, run(docs).collect()))
