@@ -50,6 +50,7 @@ def _pieces(path: str, capacity: int):
                 cols = [batch.column("row").take(own), batch.column("doc_id").take(own), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), binary.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "piece", "start", "length", "ids"])
                 at += len(counts)
+                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -81,12 +82,13 @@ def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) ->
     return taken
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[int, np.ndarray]]:
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
     """``(count, multiplicities)`` covering the demand exactly: a linear programme solved by column
-    generation, rounded down, and first fit for what rounding leaves."""
+    generation until no column improves it, rounded down, and first fit for what rounding leaves."""
     basis = np.diag(capacity // sizes).astype(float)
     amount = demand / np.diag(basis)
-    for _ in range(rounds):
+    met: set[bytes] = set()
+    while True:
         worth = np.linalg.solve(basis.T, np.ones(len(sizes)))
         column = _best_configuration(sizes, worth, capacity)
         if worth @ column <= 1 + 1e-9:
@@ -95,7 +97,12 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds:
         ratio = np.where(step > 1e-12, amount / np.where(step > 1e-12, step, 1), np.inf)
         out = int(np.argmin(ratio))
         amount = np.maximum(amount - ratio[out] * step, 0)
+        if ratio[out] > 1e-9:
+            met.clear()
         amount[out], basis[:, out] = ratio[out], column
+        if (key := basis.tobytes()) in met:
+            break  # steps of no length have come back to where they were
+        met.add(key)
     left, found = demand.astype(np.int64).copy(), []
     for count, column in zip(amount, basis.T.astype(np.int64), strict=True):
         used = column > 0

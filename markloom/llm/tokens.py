@@ -2,7 +2,8 @@
 
 Texts are split at ASCII white space, which the tokenizers used here drop, so ids of a text are the ids of
 its parts in order.  Arrow dictionary-encodes the parts of a block; Latin words are lower-cased and parted
-from trailing punctuation, and words a worker has met before come from a bounded memory.
+from trailing punctuation, and words a worker has met before come from a memory of bounded size: words met
+since it was last half full, and those met before that.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ import pyarrow.compute as pc
 
 #: Letters that lower-casing maps one to one and NFC leaves alone, then punctuation other than an apostrophe.
 SIMPLE = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<rest>[!-&(-/:-@\[-`{-~]*)$"
-REMEMBERED = 600_000
+#: Bytes of either half of the memory of words; what an entry takes besides its letters and ids.
+REMEMBERED, ENTRY = 32 << 20, 200
 #: New words that are encoded in one go, as one text; bytes of text in a block.
-BATCH, BLOCK = 64, 1 << 22
+BATCH, BLOCK = 64, 1 << 21
 
 
 class PartTokenizer:
@@ -27,8 +29,10 @@ class PartTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.held = 0
 
-    def _encode_words(self, words: list[str]) -> None:
+    def _encode_words(self, words: list[str]) -> Iterator[bytes]:
         """Words of letters only: each is one word to the tokenizer, so a joined text tells them apart."""
         for at in range(0, len(words), BATCH):
             some = words[at : at + BATCH]
@@ -36,17 +40,29 @@ class PartTokenizer:
             raw = np.array(coded.ids, "<u4").tobytes()
             ends = {w: i + 1 for i, w in enumerate(coded.word_ids)}
             start = 0
-            for i, word in enumerate(some):
-                self.words[word] = raw[4 * start : 4 * ends[i]]
+            for i in range(len(some)):
+                yield raw[4 * start : 4 * ends[i]]
                 start = ends[i]
 
     def _of_words(self, words: list[str]) -> list[bytes]:
-        new = [w for w in words if w not in self.words]
-        if len(self.words) + len(new) > REMEMBERED:
-            self.words.clear()
-            new = words
-        self._encode_words(new)
-        return [self.words[w] for w in words]
+        new = [w for w in words if w not in self.words and w not in self.before]
+        coded = dict(zip(new, self._encode_words(new), strict=True))
+        out = []
+        for word in words:
+            ids = self.words.get(word)
+            if ids is None:
+                ids = coded.get(word)
+                if ids is None:
+                    ids = self.before[word]
+                out.append(ids)
+                coded[word] = ids
+            else:
+                out.append(ids)
+        self.words.update(coded)
+        self.held += sum(ENTRY + len(w) + len(ids) for w, ids in coded.items())
+        if self.held > REMEMBERED:
+            self.words, self.before, self.held = {}, self.words, 0
+        return out
 
     def _of_others(self, parts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
