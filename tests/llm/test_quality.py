@@ -53,3 +53,27 @@ def test_distance_and_verdict(docs_of):
 
 def test_empty_table(docs_of):
     assert Q.quality(docs_of([])).collect() == []
+
+
+def test_rare_languages_are_judged_by_the_smoothed_reference(docs_of):
+    from pyspark.sql import functions as F
+
+    prose = "the cat and the dog of this house was in a garden by the sea with that bird on it "
+    junk = " ".join(f"qzx{k}## VVK%%" for k in range(200))
+    rows = [(i, " ".join(f"{w} tree{chr(97 + k % 26)}{chr(97 + k // 26)}" for k, w in enumerate((prose * 4).split()))) for i in range(40)] + [(100, junk)]
+    for lang in (None, "rare"):
+        docs = docs_of(rows).withColumn("lang", F.when(F.col("doc_id") == 100, F.lit(lang)).otherwise(F.lit("en")))
+        found = {r.doc_id: r for r in Q.quality(docs).collect()}
+        assert not found[100].kept and found[100].class_distance > 0.25 and found[3].kept
+    parts = {r.doc_id: r for r in Q.features(docs).collect()}
+    en = [sum(x) for x in zip(*(parts[i].classes for i in range(40)), strict=True)]
+    both = [a + b for a, b in zip(en, parts[100].classes, strict=True)]
+    smooth = [a + Q.PRIOR * c / 41 for a, c in zip(parts[100].classes, both, strict=True)]
+    assert abs(found[100].class_distance - distance(parts[100].classes, smooth)) < 1e-9
+
+
+def test_classes_part_all_characters(docs_of):
+    texts = ["aAbB1 ,#\n\té€Ω漢\U0001F600-ÿɏͰ￿", "", "aaa", "\x00\x7f"]
+    for r in Q.features(docs_of(list(enumerate(texts)))).collect():
+        want = [len(re.findall(f"[{c}]", texts[r.doc_id])) for c in Q.CLASSES]
+        assert r.classes == [*want, len(texts[r.doc_id]) - sum(want)]
