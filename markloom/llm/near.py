@@ -1,19 +1,18 @@
 """Near duplicates: multi-index Hamming join of MinHash signatures, confirmed on full shingle sets.
 
-A signature holds LANES = 84 16-bit MinHash values in CHUNKS = 14 chunks of six.  Documents get a key for
-every chunk and left-out lane (84 keys of five lanes), so two signatures meet in some bucket whenever one
-chunk has at most one differing lane.  By pigeonhole that is certain up to a distance of 27 lanes.  Sets
-with a Jaccard similarity of 0.8 differ in a lane with probability 0.2; beyond the certain radius they
-still meet unless all chunks have two differing lanes or more, which leaves 0.345 ** 14, under one in two
-million.  Pairs that meet are compared in full up to FAR lanes, which similar sets pass with probability
-below 1e-6.
-
-Buckets are never expanded into pairs.  Documents of one bucket name its first document as hub; a document
-is compared with the hub it meets most often, and what that links is contracted.  The rest is compared in tiles of
-about TILE documents: each pair of tiles that meet in a bucket is one unit of work which compares
-signatures, then full sets of the pairs within FAR lanes, and hands on a spanning set of links.  Tiles whose
-documents all hang on the same hub are not compared again.  A family of copies, however large, spreads over
-its tiles.  Documents with equal sets are one document from the start.
+A signature holds LANES = 84 16-bit MinHash values in CHUNKS = 21 chunks of four.  Documents get a key for
+every chunk and left-out lane (84 keys of three lanes), so two signatures meet in some bucket whenever one
+chunk has at most one differing lane.  By pigeonhole that is certain up to a distance of 41 lanes.  Pairs that
+meet are compared in full up to FAR lanes, which lies below and which pairs of a Jaccard similarity of 0.8,
+whose lanes differ with probability 0.2, pass with probability above 1 - 1e-6.
+
+Buckets are never expanded into pairs.  Work goes in rounds: each open bucket names a document as hub, every
+document is compared with the hub it meets most often, and what links is one class from then on; a bucket
+whose documents are of one class is closed.  When a round closes less than half of what was open, the rest is
+compared: small buckets by pairs, large ones in tiles of about TILE documents of one class or of none, each
+pair of tiles that meet once, however many buckets they meet in.  Signatures come before texts, and each
+comparison hands on a spanning set of links.  A family of copies, however large, spreads over its tiles.
+Documents with equal sets are one document from the start.
 
 Defined cases: null texts and texts without words have no set and link to nothing; one word is a set of
 one; repeated rows link to each other; ``component_id`` is the smallest non-null id of the component; rows
@@ -23,6 +22,7 @@ Texts are read again for comparison, by numbers that do not depend on how a read
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from markloom.llm.common import body, components, free_name, numbered, written
 from markloom.llm.words import joined, mix, text_column, word_hashes
 
-LANES, CHUNKS, FAR = 84, 14, 38
+LANES, CHUNKS, FAR = 84, 21, 38
 WIDTH, LONGS = LANES // CHUNKS, LANES // 4
 TILE, SMALL = 128, 16
 _RANDOM = np.random.default_rng(80)
@@ -217,53 +217,91 @@ def _sorted(rows: DataFrame, keys: list[str], *more: Column | str) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, *more)
 
 
+def _may_link(pairs: DataFrame, signs: DataFrame, one: str, two: str, percent: int) -> DataFrame:
+    """The pairs whose sizes and signatures allow a link, with both sides' columns of ``signs``."""
+    for side in (one, two):
+        pairs = pairs.join(signs.select(*[F.col(c).alias(side if c == "row" else f"{c}_{side}") for c in signs.columns]), side)
+    sizes = [F.col(f"n_shingles_{side}") for side in (one, two)]
+    return pairs.filter((100 * F.least(*sizes) >= percent * F.greatest(*sizes)) & (lanes_apart(f"sig_{one}", f"sig_{two}") <= FAR))
+
+
+def _hub_links(met: DataFrame, unique: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links of every row with the hub of another class that it meets most often."""
+    often = met.filter("label <> head.label").groupBy("row", F.col("head.row").alias("hub")).agg(F.count("*").alias("n"))
+    picked = often.groupBy("row").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    family = written(_may_link(picked, unique, "row", "hub", percent).select("row", "hub"), "family")
+    parts = family.groupBy("hub").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    spread = family.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("row"), "parts")).select("row", "hub", "part")
+    heads = spread.select("hub", "part").distinct().select(F.col("hub").alias("row"), "hub", "part")
+    ends = spread.union(heads).join(texts.hint("merge"), "row")
+    return written(_sorted(ends, ["hub", "part"], F.col("row") != F.col("hub"), "row").mapInArrow(_against_hub(k, percent), "a long, b long"), "hung")
+
+
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after the classes that ``links`` join have become one."""
+    for side in ("a", "b"):
+        links = links.join(labels.select(F.col("row").alias(side), F.col("label").alias(f"_{side}")), side)
+    joined = components(links.select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct())
+    return written(labels.join(joined.withColumnRenamed("id", "label"), "label", "left").select("row", F.coalesce("component", "label").alias("label")), "labels")
+
+
+def _tile_pairs(many: DataFrame, tiles: DataFrame) -> DataFrame:
+    """``(one, two)``: tiles that meet in a bucket, once; buckets with the same tiles are joined once."""
+    here = many.select("key", "row").join(tiles, "row").groupBy("key", "tile").agg(F.min("hung").alias("hung"), (F.count("*") > 1).alias("several"))
+    here = written(here, "here")
+    hashes = [F.bit_xor(F.xxhash64(F.lit(x), "tile", "several")).alias(f"h{x}") for x in (1, 2)]
+    sets = here.groupBy("key").agg(F.count("*").alias("n"), *hashes).groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
+    here = here.join(sets.select("key"), "key", "left_semi")
+    other = here.select("key", F.col("tile").alias("two"), F.col("hung").alias("hung_two"))
+    apart = (F.col("tile") < F.col("two")) & ((F.col("hung") < 0) | (F.col("hung") != F.col("hung_two")))
+    within = (F.col("tile") == F.col("two")) & (F.col("hung") < 0) & F.col("several")
+    return here.join(other, "key").filter(apart | within).select(F.col("tile").alias("one"), "two").distinct()
+
+
 def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> DataFrame:
     """``(a, b)`` from ``docs`` (``row, text``): links among the first rows of equal sets that connect all that similarity connects."""
     firsts = signed.filter("n_shingles > 0").groupBy("n_shingles", "code_a", "code_b").agg(F.min("row").alias("row")).select("row")
     unique = written(signed.select("row", "n_shingles", "sig").join(firsts, "row"), "unique")
     texts = docs.select("row", "text")
     keyed = unique.select("row", "sig").mapInArrow(_bucket_keys, "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
-    over = "over (partition by key)"
-    sizes = keyed.select("row", "key", F.expr(f"min(row) {over}").alias("hub"), F.expr(f"count(*) {over}").alias("n"))
-    met = written(sizes.filter("n > 1").select("key", "row", "hub", (F.col("n") > SMALL).alias("large")), "met")
-
-    often = met.groupBy("row", "hub").agg(F.count("*").alias("n"))
-    family = written(often.groupBy("row").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub")), "family")
-    parts = family.groupBy("hub").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    spread = family.filter("row <> hub").join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
-    heads = spread.select("hub", "part").distinct().select(F.col("hub").alias("row"), "hub", "part")
-    ends = spread.select("row", "hub", "part").union(heads).join(texts.hint("merge"), "row")
-    hung_links = written(_sorted(ends, ["hub", "part"], F.col("row") != F.col("hub"), "row").mapInArrow(_against_hub(k, percent), "a long, b long"), "hung")
-
-    on_hub = hung_links.select(F.col("b").alias("row"), F.lit(True).alias("on_hub")).union(
-        hung_links.select(F.col("a").alias("row"), F.lit(True)).distinct().join(family.filter("row = hub").select("row"), "row", "left_semi")
-    )
-    placed = written(family.join(on_hub, "row", "left").select("row", "hub", F.when(F.col("on_hub"), F.col("hub")).otherwise(F.lit(-1)).alias("hung")), "placed")
-
-    few = met.filter(~F.col("large")).select("key", "row").join(placed.select("row", "hung"), "row")
-    other = few.select("key", F.col("row").alias("two"), F.col("hung").alias("hung_two"))
-    open_ends = (F.col("row") < F.col("two")) & ((F.col("hung") < 0) | (F.col("hung") != F.col("hung_two")))
-    single = few.join(other, "key").filter(open_ends).select(F.col("row").alias("one"), "two").distinct()
-    signs = unique.join(placed, "row").select("row", "hung", "n_shingles", "sig")
-    one, two = ([F.col(c).alias(f"{c}_{side}" if c != "row" else side) for c in signs.columns] for side in ("one", "two"))
-    single = single.join(signs.select(*one), "one").join(signs.select(*two), "two")
-    single = single.filter((100 * F.least("n_shingles_one", "n_shingles_two") >= percent * F.greatest("n_shingles_one", "n_shingles_two")) & (lanes_apart("sig_one", "sig_two") <= FAR))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    met = written(keyed.join(shared, "key").select("key", "row"), "met")
+    labels = met.select("row", F.col("row").alias("label")).distinct()
+    found, before = unique.select(F.col("row").alias("a"), F.col("row").alias("b")).filter("false"), None
+    for turn in itertools.count():
+        told = met.join(labels, "row")
+        head = F.min_by(F.struct("row", "label"), F.xxhash64(F.lit(turn), "row")).alias("head")
+        heads = told.groupBy("key").agg(head, F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("open")).filter("open").drop("open")
+        met = written(told.join(heads, "key").select("key", "row", "label", "head", "n"), "open")
+        now = met.count()
+        if not now or (before and 2 * now > before):
+            break
+        links = _hub_links(met, unique, texts, k, percent)
+        found, labels, before = found.union(links), _relabelled(labels, links), now
+        met = met.select("key", "row")
+
+    family = met.groupBy("row", F.col("head.row").alias("hub")).agg(F.count("*").alias("n")).groupBy("row").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
+    large = labels.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label", F.col("label").alias("hung"))
+    placed = labels.join(family, "row").join(large, "label", "left").select("row", F.coalesce("hung", "hub").alias("hub"), F.coalesce("hung", F.lit(-1)).alias("hung"))
+    placed = written(placed, "placed")
+    signs = unique.join(placed.select("row", "hung"), "row").select("row", "hung", "n_shingles", "sig")
+
+    few = met.filter(F.col("n") <= SMALL).select("key", "row", "label")
+    other = few.select("key", F.col("row").alias("two"), F.col("label").alias("label_two"))
+    single = few.join(other, "key").filter((F.col("row") < F.col("two")) & (F.col("label") != F.col("label_two"))).select(F.col("row").alias("one"), "two").distinct()
+    single = _may_link(single, signs, "one", "two", percent)
     ends_of = F.inline(F.array(*[F.struct(F.col(side).alias("tile"), F.col(side).alias("row"), *[F.col(f"{c}_{side}").alias(c) for c in signs.columns[1:]]) for side in ("one", "two")]))
     some_single = single.select("one", "two", ends_of)
 
-    many = met.filter("large").select("key", "row")
+    many = met.filter(F.col("n") > SMALL)
     members = many.select("row").distinct().join(placed, "row")
     counts = members.groupBy("hub", "hung").agg(F.ceil(F.count("*") / TILE).alias("parts"))
     tiles = written(members.join(counts, ["hub", "hung"]).select("row", "hung", F.xxhash64("hub", "hung", F.pmod(F.xxhash64("row"), "parts")).alias("tile")), "tiles")
-    here = many.join(tiles, "row").groupBy("key", "tile").agg(F.min("hung").alias("hung"), F.count("*").alias("n"))
-    other = here.select("key", F.col("tile").alias("two"), F.col("hung").alias("hung_two"))
-    open_pair = (F.col("tile") < F.col("two")) & ((F.col("hung") < 0) | (F.col("hung") != F.col("hung_two"))) | (F.col("tile") == F.col("two")) & (F.col("hung") < 0) & (F.col("n") > 1)
-    pairs = here.join(other, "key").filter(open_pair).select(F.col("tile").alias("one"), "two").distinct()
-    sides = pairs.select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
+    sides = _tile_pairs(many, tiles).select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
     work = sides.join(tiles, "tile").join(unique, "row").select("one", "two", "tile", "row", "hung", "n_shingles", "sig")
     some = _sorted(work, ["one", "two"], "row").mapInArrow(_candidates, work.schema)
     compared = _sorted(written(some.union(some_single), "candidates").join(texts.hint("merge"), "row"), ["one", "two"], "row")
-    return hung_links.union(written(compared.mapInArrow(_within_tiles(k, percent), "a long, b long"), "links"))
+    return found.union(written(compared.mapInArrow(_within_tiles(k, percent), "a long, b long"), "links"))
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

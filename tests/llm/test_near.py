@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from markloom.llm.common import components
-from markloom.llm.near import first_of_each, lanes_apart, near_groups
+from markloom.llm.near import CHUNKS, FAR, LANES, LONGS, _bucket_keys, first_of_each, lanes_apart, near_groups
 from tests.llm.conftest import CLASHING, odd_rows
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -86,3 +88,43 @@ def test_lanes_apart(spark):
         rows.append((pack(a), pack(b), sum(x != y for x, y in zip(a, b, strict=True))))
     df = spark.createDataFrame(rows, "one array<long>, two array<long>, n int")
     assert df.filter(lanes_apart("one", "two") != df.n).count() == 0
+
+
+def test_signatures_meet_up_to_far():
+    """The guarantee itself: pairs at every distance up to FAR lanes share a key, wherever the lanes differ."""
+    rng = np.random.default_rng(5)
+    assert FAR <= 2 * CHUNKS - 1
+
+    def keys_of(lanes):
+        flat = pa.array(np.concatenate(lanes).view(np.int64))
+        sig = pa.ListArray.from_arrays(pa.array(np.arange(len(lanes) + 1, dtype=np.int32) * LONGS), flat)
+        [out] = _bucket_keys(iter([pa.RecordBatch.from_arrays([pa.array(range(len(lanes))), sig], ["row", "sig"])]))
+        return [set(x) for x in out.column("keys").to_pylist()]
+
+    width = LANES // CHUNKS
+    for distance in range(FAR + 1):
+        pairs = []
+        for case in range(6):
+            one = rng.integers(0, 1 << 16, LANES).astype(np.uint16)
+            # Half of the cases differ in two lanes of as many chunks as they can, which is the worst.
+            worst = np.concatenate([rng.choice(width, 2, replace=False) + width * c for c in rng.permutation(CHUNKS)])
+            at = worst[:distance] if case % 2 else rng.choice(LANES, distance, replace=False)
+            two = one.copy()
+            two[at] ^= np.uint16(1 + case)
+            pairs += [one, two]
+        keys = keys_of(pairs)
+        assert all(keys[i] & keys[i + 1] for i in range(0, len(keys), 2)), distance
+
+
+def test_many_small_classes_in_one_family(docs_of):
+    """Rounds of hubs, closed buckets and tiles: chains of copies, some of them beyond each other's reach."""
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(100)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.sample(range(100), rng.choice([1, 4, 9, 12])):
+            words[at] = f"n{rng.randint(0, 10**6)}"
+        rows.append((i, " ".join(words)))
+    found = near_groups(docs_of(rows), 2)
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found.collect()) == expected(rows, 2)
