@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom.llm.common import body, components, free_name, numbered, written
-from markloom.llm.words import joined, mix, text_column, word_hashes
+from markloom.llm.words import joined, mix, released, text_column, word_hashes
 
 LANES, CHUNKS, FAR = 84, 21, 38
 WIDTH, LONGS = LANES // CHUNKS, LANES // 4
@@ -234,7 +234,7 @@ def _hub_links(met: DataFrame, unique: DataFrame, texts: DataFrame, k: int, perc
     spread = family.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("row"), "parts")).select("row", "hub", "part")
     heads = spread.select("hub", "part").distinct().select(F.col("hub").alias("row"), "hub", "part")
     ends = spread.union(heads).join(texts.hint("merge"), "row")
-    return written(_sorted(ends, ["hub", "part"], F.col("row") != F.col("hub"), "row").mapInArrow(_against_hub(k, percent), "a long, b long"), "hung")
+    return written(_sorted(ends, ["hub", "part"], F.col("row") != F.col("hub"), "row").mapInArrow(released(_against_hub(k, percent)), "a long, b long"), "hung")
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -263,7 +263,7 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
     firsts = signed.filter("n_shingles > 0").groupBy("n_shingles", "code_a", "code_b").agg(F.min("row").alias("row")).select("row")
     unique = written(signed.select("row", "n_shingles", "sig").join(firsts, "row"), "unique")
     texts = docs.select("row", "text")
-    keyed = unique.select("row", "sig").mapInArrow(_bucket_keys, "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
+    keyed = unique.select("row", "sig").mapInArrow(released(_bucket_keys), "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     met = written(keyed.join(shared, "key").select("key", "row"), "met")
     labels = met.select("row", F.col("row").alias("label")).distinct()
@@ -299,9 +299,9 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
     tiles = written(members.join(counts, ["hub", "hung"]).select("row", "hung", F.xxhash64("hub", "hung", F.pmod(F.xxhash64("row"), "parts")).alias("tile")), "tiles")
     sides = _tile_pairs(many, tiles).select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
     work = sides.join(tiles, "tile").join(unique, "row").select("one", "two", "tile", "row", "hung", "n_shingles", "sig")
-    some = _sorted(work, ["one", "two"], "row").mapInArrow(_candidates, work.schema)
+    some = _sorted(work, ["one", "two"], "row").mapInArrow(released(_candidates), work.schema)
     compared = _sorted(written(some.union(some_single), "candidates").join(texts.hint("merge"), "row"), ["one", "two"], "row")
-    return found.union(written(compared.mapInArrow(_within_tiles(k, percent), "a long, b long"), "links"))
+    return found.union(written(compared.mapInArrow(released(_within_tiles(k, percent)), "a long, b long"), "links"))
 
 
 def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -318,7 +318,7 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     if percent < 80:
         raise ValueError("signatures are laid out for a similarity of 0.8 or more")
     docs = docs.select("row", F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    signed = written(docs.mapInArrow(_sign(k), ROW), "signed")
+    signed = written(docs.mapInArrow(released(_sign(k)), ROW), "signed")
     linked = components(near_links(docs, signed, k, percent))
     rows = signed.select("row", "doc_id", "n_shingles", "code_a", "code_b")
     sets = rows.filter("n_shingles > 0").groupBy("n_shingles", "code_a", "code_b").agg(F.min("row").alias("id"), F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNull(), F.col("row"))).alias("least_row"))

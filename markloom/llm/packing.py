@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from markloom.llm.common import body, ranked, written
 from markloom.llm.tokens import part_tokenizer
-from markloom.llm.words import text_column
+from markloom.llm.words import released, text_column
 
 GROUPS = 48
 PIECES = "row long, doc_id long, piece int, start long, length long, ids binary"
@@ -50,7 +50,6 @@ def _pieces(path: str, capacity: int):
                 cols = [batch.column("row").take(own), batch.column("doc_id").take(own), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), binary.cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "piece", "start", "length", "ids"])
                 at += len(counts)
-                pa.default_memory_pool().release_unused()
 
     return run
 
@@ -59,7 +58,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = 2048) -> DataFrame:
     """Every document's ids (closed by 0), cut into pieces of ``capacity`` ids; ``ids`` are little-endian
     unsigned 32-bit numbers."""
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    return texts.mapInArrow(_pieces(path, capacity), PIECES)
+    return texts.mapInArrow(released(_pieces(path, capacity)), PIECES)
 
 
 def _best_configuration(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:

@@ -12,7 +12,8 @@ fixed size, which scoring tasks get in their closure.  Every whole text is score
 doc_id never enter a score.
 
 Defined cases: null and empty texts get the score of the bias alone, repeated rows equal scores; rows with a
-null id count as held out; without any usable label the score is 0; an empty table gives no rows.
+null id count as held out; an id with both labels is not learnt from; of several texts of one id the first in
+code-point order is; without any usable label the score is 0; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from markloom.llm.common import body, free_name, written
-from markloom.llm.words import mix, text_column, token_blocks
+from markloom.llm.words import mix, released, text_column, token_blocks
 
 BUCKETS, FACTORS = 1 << 18, 4
 SAMPLE, TERMS = 24_000, 2048
@@ -112,18 +113,18 @@ def train(examples: list[np.ndarray], labels: np.ndarray, seed: int = 4) -> dict
 
 def _train_group(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values(["toxic", "order"], kind="stable")
-    model = train([np.asarray(s, np.int64) for s in group["slots"]], group["toxic"].to_numpy(float))
+    model = train([np.asarray(s, np.int32) for s in group["slots"]], group["toxic"].to_numpy(float))
     flat = np.concatenate([model["bias"], model["weights"], model["factors"].ravel()]).astype("<f4")
     return pd.DataFrame({"model": [flat.tobytes()]})
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray] | None:
     """The model of a bounded sample of the labelled rows that are not held out."""
-    usable = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    usable = labels.filter(~held_out() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.min("toxic").cast("int").alias("toxic"), F.max("toxic").alias("most")).filter("toxic = most")
     draw = usable.withColumn("order", F.xxhash64(F.lit(4), "doc_id"))
     part = draw.filter("toxic = 1").orderBy("order", "doc_id").limit(sample // 2).union(draw.filter("toxic = 0").orderBy("order", "doc_id").limit(sample // 2))
-    texts = docs.select("doc_id", body().alias("text")).join(F.broadcast(part.select("doc_id", "toxic")), "doc_id")
-    examples = texts.select("text", "toxic").mapInArrow(_terms, "toxic int, slots array<int>")
+    texts = docs.select("doc_id", body().alias("text")).join(F.broadcast(part.select("doc_id", "toxic")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    examples = texts.select("text", "toxic").mapInArrow(released(_terms), "toxic int, slots array<int>")
     keyed = examples.withColumn("order", F.xxhash64("slots")).withColumn("one", F.lit(1))
     found = written(keyed.groupBy("one").applyInPandas(_train_group, "model binary"), "toxicity").collect()
     if not found:
@@ -132,11 +133,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     return {"bias": flat[:1], "weights": flat[1 : 1 + BUCKETS], "factors": flat[1 + BUCKETS :].reshape(BUCKETS, FACTORS)}
 
 
-def _score(model: dict[str, np.ndarray] | None):
+def _score(model: dict[str, np.ndarray] | None, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores = [np.zeros(0)]
-            for slots, counts in term_sets(batch.columns[-1].cast(pa.large_string())):
+            for slots, counts in term_sets(text_column(batch)):
                 if model is None:
                     scores.append(np.zeros(len(counts)))
                     continue
@@ -144,7 +145,7 @@ def _score(model: dict[str, np.ndarray] | None):
                 text = np.repeat(np.arange(len(counts)), counts)[known]
                 raw, _, _ = _forward(model, slots[known], np.bincount(text, minlength=len(counts)))
                 scores.append(1 / (1 + np.exp(-np.clip(raw, -60, 60))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores), pa.float64())], batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores), pa.float64())], [*batch.schema.names, name])
 
     return run
 
@@ -155,7 +156,7 @@ def with_scores(docs: DataFrame, labels: DataFrame, name: str, sample: int = SAM
     if model is not None:
         model = {k: v.astype(np.float32) for k, v in model.items()}
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.withColumn(name, body()).mapInArrow(_score(model), schema)
+    return docs.mapInArrow(released(_score(model, name)), schema)
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

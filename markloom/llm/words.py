@@ -8,13 +8,14 @@ every machine; work goes block by block, so memory follows the longest text and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+BLOCK, RELEASE_BYTES = 1 << 20, 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -37,6 +38,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def released(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The same work on batches, with freed memory given back to the system between them: workers live on
+    through later stages, and several share an executor's memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        seen, last = 0, 0
+        for out in work(batches):
+            yield out
+            seen += out.nbytes
+            if seen - last > RELEASE_BYTES:
+                last = seen
+                _give_back(trim)
+        _POWERS.clear()
+        _give_back(trim)
+
+    return run
+
+
+def _give_back(trim) -> None:
+    pa.default_memory_pool().release_unused()
+    if trim:
+        trim(0)
+
+
 def joined(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of every run of ``k`` consecutive entries, by their start."""
     n = len(hashes) - k + 1
