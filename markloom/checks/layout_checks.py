@@ -8,6 +8,7 @@ from markloom import constants as K
 from markloom.checks.registry import query
 from markloom.functions import text as T
 from markloom.operators import layout as L
+from markloom.operators import sequence_diff as D
 
 BOX_SQL = "round(min(x), 4) as x, round(min(y), 4) as y, round(max(x + w) - min(x), 4) as w, round(max(y + h) - min(y), 4) as h"
 LINES = """lg as (select *, lag(page) over d as pp, lag(y) over d as py from fx_words window d as (partition by doc_id order by pos)),
@@ -192,33 +193,58 @@ def _(t):
     return L.extraction_rollup(L.extraction_audit(t.sql(f"select * from {UNITS} u")))
 
 
-# --- greedy and sequence jobs: no SQL twin, tested against brute force -----------------------------------
+# --- rules that take things in order: recursive SQL goes one by one ----------------------------------------
 
+NOISE_SQL = "(regexp_matches({c}, '^[\\s.,)(\\]\\[:;\\-–—~∙*※→…]+$') or length(trim({c})) < 1)"
 
-def changed_blocks(t):
-    """Every 20 words of a turn start a change: five old words, every other time with blanks, and eight new ones."""
-    words = F.split("text", " ")
 
-    def token(w, i):
-        line = F.floor(i / 10)
-        return F.struct(
-            (F.floor(i / 800) + 1).cast("int").alias("page"), w.alias("text"), (F.lit(0.05) + (i % 10) * 0.09).alias("x"),
-            (F.lit(0.02) + (line % 80) * 0.012).alias("y"), F.lit(0.07).alias("w"), F.lit(0.01).alias("h"),
-        )
+def fill_sql(blanks: str, tokens: str) -> str:
+    """CTEs that end in ``filled``: blanks take tokens in order."""
+    return f"""
+  wish as (select b.doc_id, b.block, b.page, b.pos as blank_pos, any_value(b.text) as removed, row_number() over (partition by b.doc_id, b.block, b.page order by b.pos) as nth,
+      list(struct_pack(p := t.pos, noise := {NOISE_SQL.format(c="t.text")}, text := t.text, x := t.x, y := t.y, w := t.w, h := t.h) order by abs(t.x - b.x), t.pos) as w
+    from {blanks} b join {tokens} t on t.doc_id = b.doc_id and t.block = b.block and t.page = b.page and abs(t.y - b.y) < 0.02e0 group by 1, 2, 3, 4),
+  fill as (select distinct doc_id, block, page, 0::bigint as nth, []::bigint[] as used, null::bigint as blank_pos, null::varchar as removed, w[1:0][1] as pick from wish where nth = 1
+    union all select doc_id, block, page, nth, case when pick.noise then used else list_append(used, pick.p) end, blank_pos, removed, pick
+      from (select f.doc_id, f.block, f.page, w.nth, f.used, w.blank_pos, w.removed, list_filter(w.w, lambda c: not list_contains(f.used, c.p))[1] as pick
+            from fill f join wish w on w.doc_id = f.doc_id and w.block = f.block and w.page = f.page and w.nth = f.nth + 1) z),
+  filled as (select doc_id, block, blank_pos, pick.p as token_pos, page, trim(pick.text) as answer, removed, pick.x as x, pick.y as y, pick.w as w, pick.h as h
+    from fill where pick is not null and not pick.noise)"""
 
-    tokens = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("doc_id"), F.transform(words, token).alias("key"))
-    last = F.floor((F.size("key") - 1) / 20).cast("int")
-    blocks = tokens.select("doc_id", "key", F.explode(F.sequence(F.lit(0), last)).alias("block")).withColumn("i1", F.col("block") * 20)
-    old = F.transform(
-        F.slice("key", F.col("i1") + 1, 5),
-        lambda x, i: x.withField("text", F.when((i % 3 == 1) & (F.col("block") % 2 == 0), F.lit("____")).otherwise(x["text"])),
-    )
-    return blocks.select("doc_id", "block", "i1", F.col("i1").alias("j1"), old.alias("removed"), F.slice("key", F.col("i1") + 1, 8).alias("added"))
 
+# Every 20 words of a turn start a change: the exam has five old words, every other time with blanks, for eight new ones.
+EXAM = """(select doc_id, cast(blk * 17 + case when k < 5 then k else k - 3 end as int) as pos, page, case when k < 5 and k % 3 = 1 and blk % 2 = 0 then '____' when k < 5 then concat(text, '~') else text end as text, x, y, w, h
+  from (select *, pos % 20 as k, cast(floor(pos / 20.0e0) as bigint) as blk from fx_words) q where k < 5 or k >= 8)"""
+CHANGES = f"""ex as (select * from {EXAM} e), sizes as (select doc_id, count(*) as nk from fx_words group by 1), exams as (select doc_id, count(*) as ne from ex group by 1),
+  met as (select a.doc_id, a.pos as i, b.pos as j from ex a join fx_words b on b.doc_id = a.doc_id and b.text = a.text),
+  runs as (select doc_id, min(i) as si, min(j) as sj, count(*)::int as n from (select *, i - row_number() over (partition by doc_id, j - i order by i) as g from met) m group by doc_id, j - i, g),
+  piece as (select doc_id, 0 as a0, coalesce(ne, 0)::int as a1, 0 as b0, nk::int as b1, null::struct(n int, i int, j int) as m, 0 as k from sizes left join exams using (doc_id)
+    union all select doc_id, case when side.k = 0 then a0 else m.n - m.i end::int, case when side.k = 0 then -m.i else a1 end::int, case when side.k = 0 then b0 else m.n - m.j end::int, case when side.k = 0 then -m.j else b1 end::int, m, side.k
+      from (select p.doc_id, a0, a1, b0, b1, max(struct_pack(n := (least(a1 - si, b1 - sj, n) - greatest(a0 - si, b0 - sj, 0))::int, i := (-si - greatest(a0 - si, b0 - sj, 0))::int, j := (-sj - greatest(a0 - si, b0 - sj, 0))::int)) as m
+            from piece p join runs r on r.doc_id = p.doc_id and least(a1 - si, b1 - sj, n) - greatest(a0 - si, b0 - sj, 0) > 0 group by 1, 2, 3, 4, 5) best cross join (select unnest([0, 1]) as k) side),
+  blocks as (select doc_id, -m.i as i, -m.j as j, m.n as n from piece where m is not null and k = 0 union all select doc_id, ne::int, nk::int, 0 from sizes left join exams using (doc_id)),
+  chain as (select doc_id, coalesce(lag(i + n) over d, 0) as i1, coalesce(i, 0) as i2, coalesce(lag(j + n) over d, 0) as j1, j as j2 from blocks window d as (partition by doc_id order by j, n desc)),
+  changed as (select doc_id, i1::bigint as i1, i2::bigint as i2, j1::bigint as j1, j2::bigint as j2 from chain where j2 > j1)"""
 
-@query("token_diff_answers")
+
+@query("sequence_changes", f"with recursive {CHANGES} select doc_id, i1, i2, j1, j2 from changed")
+def _(t):
+    return D.sequence_changes(t.sql(f"select * from {EXAM} e"), t.words)
+
+
+@query("token_diff_answers", f"""with recursive {CHANGES},
+  gone as (select c.doc_id, c.j1 as block, e.* exclude (doc_id) from changed c join ex e on e.doc_id = c.doc_id and e.pos >= i1 and e.pos < i2),
+  added as (select c.doc_id, c.j1 as block, e.* exclude (doc_id) from changed c join fx_words e on e.doc_id = c.doc_id and e.pos >= j1 and e.pos < j2),
+  blanks as (select * from gone where regexp_matches(text, '_{{2,}}')), {fill_sql("blanks", "added")},
+  rest as (select * from added a where not exists (select 1 from filled f where f.doc_id = a.doc_id and f.block = a.block)),
+  lg as (select *, lag(page) over d as pp, lag(y) over d as py from rest window d as (partition by doc_id, block order by pos)),
+  ln as (select *, cast(sum(case when pp is null or page <> pp or abs(y - py) > 0.008e0 then 1 else 0 end) over (partition by doc_id, block order by pos) as bigint) as line from lg),
+  texts as (select doc_id, block, string_agg(text, ' ' order by pos) as removed from gone group by 1, 2)
+  select doc_id, block, blank_pos as place, 0::bigint as part, page, answer, removed, true as from_blank, x, y, w, h from filled
+  union all select l.doc_id, l.block, line, 0::bigint, min(page), trim(string_agg(text, ' ' order by pos)), trim(coalesce(any_value(removed), '')), false, {BOX_SQL}
+    from ln l left join texts g on g.doc_id = l.doc_id and g.block = l.block group by 1, 2, 3 having count(*) filter (where not {NOISE_SQL.format(c="text")}) > 0""")
 def _(t):
-    return L.token_diff_answers(changed_blocks(t))
+    return L.token_diff_answers(t.sql(f"select * from {EXAM} e"), t.words)
 
 
 @query("answers_per_page", f"""with sp as (select * from {SPANS} s where color >= 15790320 and not regexp_matches(trim(text), '^[\\s.,)(\\]\\[:;\\-–—~∙*※→…/]+$')), {GROUPS},
@@ -227,19 +253,25 @@ def _(t):
     return L.answers_per_page(L.hidden_span_answers(t.sql(f"select * from {SPANS} s"), t.sql(f"select * from {SIZES} z")))
 
 
-@query("nearest_blank_fill")
+BLANKS = "(select doc_id, cast(floor(pos / 25.0e0) as int) as block, page, pos, '____' as text, x, y, w, h from fx_words where pos % 7 = 3)"
+SHIFTED = "(select doc_id, cast(floor(pos / 25.0e0) as int) as block, page, pos, text, x + 0.031e0 * (pos % 3) as x, y, w, h from fx_words where pos % 3 <> 1)"
+
+
+@query("nearest_blank_fill", f"with recursive bl as (select * from {BLANKS} b), tk as (select * from {SHIFTED} s), {fill_sql('bl', 'tk')} select * from filled")
 def _(t):
-    placed = t.words.withColumn("block", F.floor(F.col("pos") / 25).cast("int"))
-    shift = F.col("x") + 0.031 * (F.col("pos") % 3)
-    blanks = placed.filter("pos % 7 = 3").withColumn("text", F.lit("____"))
-    tokens = placed.filter("pos % 3 <> 1").withColumn("x", shift)
-    return L.nearest_blank_fill(blanks, tokens)
+    return L.nearest_blank_fill(t.sql(f"select * from {BLANKS} b"), t.sql(f"select * from {SHIFTED} s"))
+
+
+HALF = "(select doc_id, page, pos, round(x + 0.0017e0 * (pos % 5), 4) as x, round(y + 0.0023e0 * (pos % 3), 4) as y, w, h from fx_words where pos % 2 = 0)"
+DOUBLED = f"(select * from {HALF} a union all select doc_id, page, pos + 100000, round(x + 0.002e0, 4), round(y + 0.003e0, 4), w, h from {HALF} b)"
 
 
-@query("dedupe_regions")
+@query("dedupe_regions", f"""with recursive one as (select doc_id, page, y, x, min_by(struct_pack(pos, w, h), pos) as r from {DOUBLED} d group by 1, 2, 3, 4),
+  nth as (select *, row_number() over (partition by doc_id, page order by y, x) as k from one),
+  kept as (select distinct doc_id, page, 0::bigint as k, []::struct(y double, x double)[] as held, false as stays, null::double as y, null::double as x, null::struct(pos int, w double, h double) as r from nth
+    union all select doc_id, page, k, case when free then list_append(held, struct_pack(y, x)) else held end, free, y, x, r
+      from (select n.*, list_filter(p.held, lambda c: n.y - c.y < 0.004e0) as held, len(list_filter(p.held, lambda c: abs(n.y - c.y) < 0.004e0 and abs(n.x - c.x) < 0.004e0)) = 0 as free
+            from kept p join nth n on n.doc_id = p.doc_id and n.page = p.page and n.k = p.k + 1) z)
+  select doc_id, page, r.pos as pos, x, y, r.w as w, r.h as h from kept where stays""")
 def _(t):
-    lines = t.words.filter("pos % 2 = 0").select(
-        "doc_id", "page", "pos", F.round(F.col("x") + 0.0017 * (F.col("pos") % 5), 4).alias("x"), F.round(F.col("y") + 0.0023 * (F.col("pos") % 3), 4).alias("y"), "w", "h"
-    )
-    double = lines.withColumn("pos", F.col("pos") + 100000).withColumns({"x": F.round(F.col("x") + 0.002, 4), "y": F.round(F.col("y") + 0.003, 4)})
-    return L.dedupe_regions(lines.unionByName(double))
+    return L.dedupe_regions(t.sql(f"select * from {DOUBLED} d"))

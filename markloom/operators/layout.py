@@ -1,23 +1,18 @@
 """Answers and regions from document layout tables.
 
 Coordinates are page fractions. A page is a bounded area and coordinates carry four digits, so
-copies are merged by position first; what is left of a page is then cut at empty vertical bands
-wherever a greedy rule has to see neighbours together.
+copies are merged by position first; rules that take things in order then go in rounds over neighbours.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom import constants as K
 from markloom.functions import files as FF
 from markloom.functions.text import is_mojibake, is_noise, text_or_empty, trimmed
+from markloom.operators import sequence_diff as D
 from markloom.operators import sequences as S
 from markloom.session import written
 
@@ -125,45 +120,34 @@ def layout_regions(words: DataFrame, lines: DataFrame) -> DataFrame:
     )
 
 
-def _islands(df: DataFrame, keys: list[str], order: list[str], tol: float) -> DataFrame:
-    """Add island: pieces of a page separated by an empty band of at least tol in y."""
-    bucket = F.floor(F.col("y") * 50)
-    lagged = S.lag_within(df, keys, order, bucket, "y", "_above")
-    starts = F.coalesce(F.col("y") - F.col("_above") >= tol, F.lit(False)).cast("int")
-    return S.running_sum(lagged.withColumn("_gap", starts), keys, order, bucket, F.col("_gap"), "island").drop("_above", "_gap")
-
-
-def _keep_apart(tol: float, piece: list[str]):
-    """Stream rows sorted by piece, y and x; only kept rows within tol above the current one are held."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, deque()
-        for pdf in batches:
-            mask = np.zeros(len(pdf), dtype=bool)
-            for i, (*ident, y, x) in enumerate(zip(*[pdf[c] for c in piece], pdf["y"], pdf["x"])):
-                if ident != current:
-                    current, kept = ident, deque()
-                while kept and y - kept[0][0] >= tol:
-                    kept.popleft()
-                if all(abs(x - kx) >= tol for _, kx in kept):
-                    kept.append((y, x))
-                    mask[i] = True
-            yield pdf[mask]
-
-    return run
-
-
 def dedupe_regions(regions: DataFrame, tol: float = 0.004) -> DataFrame:
     """Drop a region within tol (both axes) of one already kept, in reading order.
 
-    Equal positions merge map-side; then each page is cut at empty bands and the greedy pass runs per piece.
+    Equal positions merge map-side.  Neighbours are joined over a grid of cells of tol; a cell holds a bounded
+    number of positions of four digits.  Then, in rounds, a region without an open neighbour before it is kept
+    and drops its neighbours after it, which is the rule in reading order wherever regions don't touch.
     """
-    keys = ["doc_id", "page"]
-    same = regions.groupBy(*keys, "y", "x").agg(F.min_by(F.struct(*regions.columns), "pos").alias("_r")).select("_r.*")
-    placed = _islands(same, keys, ["y", "x"], tol)
-    piece = [*keys, "island"]
-    ordered = placed.repartition(*piece).sortWithinPartitions(*piece, "y", "x")
-    return ordered.mapInPandas(_keep_apart(tol, piece), placed.schema).select(*regions.columns)
+    page = ["doc_id", "page"]
+    spot = [*page, "y", "x"]
+    same = written(regions.groupBy(*spot).agg(F.min_by(F.struct(*regions.columns), "pos").alias("_r")).select("_r.*"), "spots")
+    cell = lambda c: F.floor(F.col(c) / tol)
+    around = F.explode(F.array(*[F.struct((cell("y") + i).alias("_cy"), (cell("x") + j).alias("_cx")) for i in (-1, 0) for j in (-1, 0, 1)]))
+    after = same.select(*page, F.col("y").alias("ly"), F.col("x").alias("lx"), around.alias("_c")).select(*page, "ly", "lx", "_c.*")
+    before = same.select(*page, "y", "x", cell("y").alias("_cy"), cell("x").alias("_cx"))
+    close = (F.abs(F.col("ly") - F.col("y")) < tol) & (F.abs(F.col("lx") - F.col("x")) < tol)
+    earlier = (F.col("y") < F.col("ly")) | ((F.col("y") == F.col("ly")) & (F.col("x") < F.col("lx")))
+    touching = written(after.join(before, [*page, "_cy", "_cx"]).filter(close & earlier).select(*spot, "ly", "lx"), "touching")
+    later = [*page, "ly", "lx"]
+    dropped = []
+    while not touching.isEmpty():
+        waiting = touching.select(*page, F.col("ly").alias("y"), F.col("lx").alias("x")).distinct()
+        gone = written(touching.join(waiting, spot, "left_anti").select(*later).distinct(), "dropped")
+        as_first = gone.select(*page, F.col("ly").alias("y"), F.col("lx").alias("x"))
+        dropped.append(as_first)
+        touching = written(touching.join(gone, later, "left_anti").join(as_first, spot, "left_anti"), "touching")
+    for gone in dropped:
+        same = same.join(gone, spot, "left_anti")
+    return same.select(*regions.columns)
 
 
 def number_region_match(numbers: DataFrame, regions: DataFrame) -> DataFrame:
@@ -187,109 +171,58 @@ def number_region_match(numbers: DataFrame, regions: DataFrame) -> DataFrame:
     return regions.join(answer, [*page, "y", "x"], "left")
 
 
-def _take_nearest(is_blank, pos, x, y, noise, tol: float) -> list[tuple[int, int]]:
-    """Blanks of one piece, in order, take the free token closest in x; a noise token is never used up."""
-    order = np.argsort(pos, kind="stable")
-    tokens = order[~is_blank[order]]
-    xs, ys, free = x[tokens], y[tokens], np.ones(len(tokens), dtype=bool)
-    pairs = []
-    for b in order[is_blank[order]]:
-        near = free & (np.abs(ys - y[b]) < tol)
-        if not near.any():
-            continue
-        i = int(np.argmin(np.where(near, np.abs(xs - x[b]), np.inf)))
-        if not noise[tokens[i]]:
-            free[i] = False
-            pairs.append((pos[b], pos[tokens[i]]))
-    return pairs
-
-
-def _fill_pieces(tol: float, piece: list[str]):
-    """Stream rows sorted by piece; one piece is held at a time."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-            rows = []
-            arrays = [pdf[c].to_numpy() for c in ("is_blank", "pos", "x", "y", "noise")]
-            changed = np.zeros(len(pdf), dtype=bool)
-            for c in piece:
-                v = pdf[c].to_numpy()
-                changed[1:] |= v[1:] != v[:-1]
-            starts = [0, *np.flatnonzero(changed), len(pdf)]
-            docs, blocks = pdf["doc_id"].to_numpy(), pdf["block"].to_numpy()
-            for lo, hi in zip(starts, starts[1:]):
-                part = [a[lo:hi] for a in arrays]
-                rows += [(docs[lo], blocks[lo], *pair) for pair in _take_nearest(*part, tol)]
-            return pd.DataFrame(rows, columns=["doc_id", "block", "blank_pos", "token_pos"])
-
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            # the last piece of a batch may go on in the next one
-            last = np.ones(len(pdf), dtype=bool)
-            for c in piece:
-                last &= (pdf[c] == pdf[c].iloc[-1]).to_numpy()
-            split = int(np.argmax(last))
-            if held and not (pdf[piece].iloc[0].tolist() == held[-1][piece].iloc[-1].tolist()):
-                yield solve(pd.concat(held))
-                held = []
-            if split:
-                yield solve(pd.concat([*held, pdf.iloc[:split]]))
-                held = []
-            held.append(pdf.iloc[split:])
-        if held:
-            yield solve(pd.concat(held))
-
-    return run
-
-
 def nearest_blank_fill(blanks: DataFrame, tokens: DataFrame, tol: float = 0.02) -> DataFrame:
     """Pair every blank with the unused token closest in x among those within tol in y, blanks in order.
 
-    Both tables: (doc_id, block, page, pos, text, x, y, w, h). Taking tokens is order-dependent, but
-    only inside a piece of a page bounded by empty bands of at least tol.
+    Both tables: (doc_id, block, page, pos, text, x, y, w, h).  In rounds, every blank asks the nearest token
+    that has not refused it, and a token keeps the first blank of those that ask.  As all tokens prefer blanks
+    in one order, this ends with what the blanks would take one after the other.  A noise token refuses
+    nobody and fills nothing.
     """
-    cols = ["doc_id", "block", "page", "pos", "x", "y"]
-    left = blanks.select(*cols, F.lit(True).alias("is_blank"), F.lit(False).alias("noise"))
-    right = tokens.select(*cols, F.lit(False).alias("is_blank"), is_noise(F.col("text")).alias("noise"))
-    placed = _islands(left.unionByName(right), ["doc_id", "block", "page"], ["y", "is_blank", "pos"], tol)
-    doc_type, block_type, pos_type = (placed.schema[c].dataType.simpleString() for c in ("doc_id", "block", "pos"))
-    schema = f"doc_id {doc_type}, block {block_type}, blank_pos {pos_type}, token_pos {pos_type}"
-    piece = ["doc_id", "block", "page", "island"]
-    ordered = placed.repartition(*piece).sortWithinPartitions(*piece)
-    pairs = ordered.mapInPandas(_fill_pieces(tol, piece), schema)
+    page = ["doc_id", "block", "page"]
+    line = F.floor(F.col("y") / tol)
+    left = blanks.select(*page, F.col("pos").alias("blank_pos"), F.col("x").alias("_bx"), F.col("y").alias("_by"), F.explode(F.array(line - 1, line, line + 1)).alias("_line"))
+    right = tokens.select(*page, F.col("pos").alias("token_pos"), "x", "y", is_noise(F.col("text")).alias("noise"), line.alias("_line"))
+    near = left.join(right, [*page, "_line"]).filter(F.abs(F.col("y") - F.col("_by")) < tol)
+    choice = F.row_number().over(Window.partitionBy(*page, "blank_pos").orderBy(F.abs(F.col("x") - F.col("_bx")), "token_pos"))
+    wishes = written(near.select(*page, "blank_pos", "token_pos", "noise", choice.alias("nth")), "wishes")
+    turn = wishes.filter("nth = 1").select(*page, "blank_pos", "nth")
+    while True:
+        asked = turn.join(wishes, [*page, "blank_pos", "nth"])
+        first = F.min("blank_pos").over(Window.partitionBy(*page, "token_pos"))
+        asked = written(asked.withColumn("refused", ~F.col("noise") & (F.col("blank_pos") > first)), "asked")
+        if asked.filter("refused").isEmpty():
+            break
+        turn = asked.select(*page, "blank_pos", (F.col("nth") + F.col("refused").cast("int")).alias("nth"))
+    pairs = asked.filter("not noise").select("doc_id", "block", "blank_pos", "token_pos")
     filled = tokens.select("doc_id", "block", F.col("pos").alias("token_pos"), "page", "text", *BOX)
     shown = blanks.select("doc_id", "block", F.col("pos").alias("blank_pos"), F.col("text").alias("removed"))
     joined = pairs.join(filled, ["doc_id", "block", "token_pos"]).join(shown, ["doc_id", "block", "blank_pos"])
     return joined.withColumn("answer", trimmed(F.col("text"))).drop("text")
 
 
-def token_diff_answers(blocks: DataFrame) -> DataFrame:
+def token_diff_answers(exam: DataFrame, key: DataFrame, large: int = D.LARGE) -> DataFrame:
     """Answers in the stretches where a key differs from its exam.
 
-    ``blocks``: (doc_id, block, i1, j1, removed, added), the tokens struct<page, text, x, y, w, h> on both
-    sides of every change and where they start; the comparison itself is another program's work.
-    A block with blanks pairs each blank with the token at its place; any other block (or one
-    without a single pair) is cut into lines. Columns: doc_id, block, place, part, page, answer,
-    removed, from_blank and the box.
+    Both tables: (doc_id, pos, page, text, x, y, w, h), positions dense from 0.  They are compared token by
+    token (``sequence_diff``).  A changed block whose exam side has blanks pairs each blank with the token at
+    its place; any other block (or one without a single pair) is cut into lines.  Columns: doc_id, block
+    (where it starts in the key), place, part, page, answer, removed, from_blank and the box.
     """
     ids = ["doc_id", "block"]
-
-    def tokens(df: DataFrame, side: str, start: str) -> DataFrame:
-        rows = df.select(*ids, F.col(start).alias("_s"), F.posexplode(side).alias("_i", "_t"))
-        return rows.select(*ids, (F.col("_s") + F.col("_i")).alias("pos"), "_t.*")
-
-    blanked = blocks.filter(F.exists("removed", lambda w: w["text"].rlike("_{2,}")))
-    blanks = tokens(blanked, "removed", "i1").filter(F.col("text").rlike("_{2,}"))
-    pairs = written(nearest_blank_fill(blanks, tokens(blanked, "added", "j1")), "blank-pairs")
+    blocks = written(D.sequence_changes(exam, key, large=large), "changes")
+    removed = written(D.tokens_of(blocks, exam, "i1", "i2"), "removed")
+    added = written(D.tokens_of(blocks, key, "j1", "j2"), "added")
+    blanks = removed.filter(F.col("text").rlike("_{2,}"))
+    pairs = written(nearest_blank_fill(blanks, added.join(blanks.select(*ids).distinct(), ids, "left_semi")), "blank-pairs")
     paired = pairs.select(*ids, F.col("blank_pos").alias("place"), F.lit(0).cast("bigint").alias("part"), "page", "answer", "removed", F.lit(True).alias("from_blank"), *BOX)
-    rest = blocks.join(pairs.select(*ids).distinct(), ids, "left_anti")
-    lines = tokens_to_lines(tokens(rest, "added", "j1"), ids).filter("n_words > 0")
+    done = pairs.select(*ids).distinct()
+    lines = tokens_to_lines(added.join(done, ids, "left_anti"), ids).filter("n_words > 0")
     # the words a block replaces belong to one document row
-    gone = rest.select(*ids, trimmed(F.array_join("removed.text", " ")).alias("removed"))
-    split = lines.join(gone, ids).select(
-        *ids, F.col("line").cast("int").alias("place"), "part", "page", F.col("text").alias("answer"), "removed", F.lit(False).alias("from_blank"), *BOX
+    words = removed.join(done, ids, "left_anti").groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_w"))
+    gone = words.select(*ids, trimmed(F.array_join(F.transform("_w", lambda w: w["text"]), " ")).alias("removed"))
+    split = lines.join(gone, ids, "left").select(
+        *ids, F.col("line").cast("long").alias("place"), "part", "page", F.col("text").alias("answer"), F.coalesce("removed", F.lit("")).alias("removed"), F.lit(False).alias("from_blank"), *BOX
     )
     return paired.unionByName(split)
 

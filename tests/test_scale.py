@@ -1,13 +1,14 @@
 """Ordered operators with tiny buckets, long lists, and greedy jobs against brute force."""
 
+import difflib
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from markloom.checks.layout_checks import changed_blocks
-from markloom.checks.views import Tables
-from markloom.operators import layout, matching, reference, sequences
+from markloom.checks import all_queries
+from markloom.operators import layout, matching, reference, sequence_diff, sequences
 
 SF = "/root/testdata/sf0.001"
 
@@ -80,13 +81,69 @@ def test_every_blank_gets_the_nearest_free_token(spark):
             assert by_pos[got[b[3]]][1:3] == b[1:3] and gaps[got[b[3]]] == min(gaps.values())
 
 
-def test_changed_blocks_give_blanks_or_lines(spark):
-    blocks = changed_blocks(Tables(spark, SF))
-    rows = layout.token_diff_answers(blocks).collect()
-    added = {(r.doc_id, r.block): [w.text for w in r.added] for r in blocks.collect()}
-    assert all(r.answer.strip() and set(r.answer.split()) <= set(" ".join(added[r.doc_id, r.block]).split()) for r in rows)
-    blanked = {(r.doc_id, r.block) for r in rows if r.from_blank}
-    assert blanked and not blanked & {(r.doc_id, r.block) for r in rows if not r.from_blank}
+def opcodes(a, b):
+    """The rule in plain recursion, by the standard library."""
+    return [c[1:] for c in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if c[0] != "equal" and c[4] > c[3]]
+
+
+def edited(rng, words, n, kinds):
+    words = list(words)
+    for _ in range(n):
+        at = rng.randrange(len(words) + 1)
+        words[at : at + rng.randint(0, 3)] = [f"w{rng.randrange(kinds)}" for _ in range(rng.randint(0, 4))]
+    if n > 3:  # a moved stretch
+        at, to = rng.randrange(len(words) + 1), rng.randrange(len(words) + 1)
+        part = words[at : at + 15]
+        del words[at : at + 15]
+        words[to:to] = part
+    return words
+
+
+@pytest.mark.parametrize("pairs", [2_000_000, 30])
+def test_matching_blocks_against_plain_recursion(monkeypatch, pairs):
+    monkeypatch.setattr(sequence_diff, "_FEW_PAIRS", pairs)
+    for seed in range(300):
+        rng = random.Random(seed)
+        kinds = rng.choice([2, 5, 30])
+        a = [f"w{rng.randrange(kinds)}" for _ in range(rng.randint(0, 60))]
+        b = edited(rng, a, rng.randint(0, 8), kinds) if seed % 2 else [f"w{rng.randrange(kinds)}" for _ in range(rng.randint(0, 60))]
+        assert sequence_diff.changes(a, b) == opcodes(a, b)
+
+
+@pytest.mark.parametrize("large", [0, 10**9])
+def test_documents_cut_at_certain_runs_give_the_same_changes(spark, large):
+    exam, key, want = [], [], set()
+    for doc in range(40):
+        rng = random.Random(doc)
+        kinds = rng.choice([3, 20, 500])
+        a = [f"w{rng.randrange(kinds)}" for _ in range(rng.choice([0, 5, 60, 300]))]
+        if doc % 5 == 0:
+            a += a[:40]  # repeated stretches are not certain
+        b = edited(rng, a, rng.randint(0, 12), kinds)
+        exam += [(doc, i, t) for i, t in enumerate(a)]
+        key += [(doc, i, t) for i, t in enumerate(b)]
+        want |= {(doc, *c) for c in opcodes(a, b)}
+    exam, key = (spark.createDataFrame(x, "doc_id int, pos int, text string") for x in (exam, key))
+    # buckets of 16 positions: every document spans several
+    found = sequence_diff.sequence_changes(exam, key, gram=4, large=large, size=16)
+    assert {tuple(r) for r in found.collect()} == want
+    if not large:
+        assert sequence_diff.certain_runs(exam, key, 4, 16).count() > 30
+
+
+def test_a_long_document_is_many_tasks_work(spark):
+    n = 60_000
+    word = F.concat(F.lit("w"), F.pmod(F.xxhash64("id"), F.lit(5000)))
+    key = spark.range(n).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("pos"), word.alias("text"))
+    exam = key.withColumn("text", F.when(F.col("pos") % 20 == 7, F.lit("____")).otherwise(F.col("text")))
+    found = sequence_diff.sequence_changes(exam, key)
+    assert {tuple(r) for r in found.collect()} == {(1, i, i + 1, i, i + 1) for i in range(7, n, 20)}
+    assert sequence_diff.certain_runs(exam, key).agg(F.sum("n")).first()[0] > 0.9 * n
+
+
+def test_rules_in_rounds_need_no_python(spark):
+    for name in ("dedupe_regions", "nearest_blank_fill"):
+        assert "Python" not in all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_similarity_join_finds_every_pair_above_the_floor(spark):
