@@ -87,24 +87,21 @@ def title_similarity_join(sheets: DataFrame, keys: DataFrame, floor: float = TIT
 
 
 def _prompt_sets(items: DataFrame, ident: str) -> DataFrame:
-    """Distinct filled prompts per owner with the owner's set size."""
-    sets = written(items.select(ident, norm(F.col("prompt")).alias("prompt")).filter("prompt <> ''").distinct(), "prompt-sets")
-    sizes = sets.groupBy(ident).agg(F.count("*").alias("size"))
-    return S.join_null_safe(sets, sizes, [ident])
+    """Distinct filled prompts per owner."""
+    return written(items.select(ident, norm(F.col("prompt")).alias("prompt")).filter("prompt <> ''").distinct(), "prompt-sets")
 
 
-def _one_per_set(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sets of one representative sheet per distinct prompt set, sheet_id -> representative).
+def _sums(*columns: str) -> list[Column]:
+    """Number and two independent 64-bit hash sums of a set's members; they combine map-side in any order."""
+    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
+    return [F.count("*").alias("_n"), total(*columns).alias("_h1"), total(F.lit(7), *columns).alias("_h2")]
 
-    A class that sat one exam shares one prompt set and is compared once. Sets are told apart by
-    size and two independent 64-bit hash sums, which combine map-side in any order.
-    """
-    h = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
-    marked = sets.groupBy("sheet_id").agg(F.count("*").alias("_n"), h("prompt").alias("_h1"), h(F.lit(7), "prompt").alias("_h2"))
-    sig = ["_n", "_h1", "_h2"]
-    members = marked.join(marked.groupBy(*sig).agg(F.min("sheet_id").alias("rep")), sig).select("sheet_id", "rep")
-    heads = members.filter("sheet_id = rep").select("sheet_id")
-    return sets.join(heads, "sheet_id", "left_semi"), members
+
+def _members(sets: DataFrame, ident: str, value: str, rep: str) -> DataFrame:
+    """(ident, rep, size): ``rep`` is the same for owners of equal sets, which are told apart by their sums."""
+    same = ["_n", "_h1", "_h2"]
+    marked = written(sets.groupBy(ident).agg(*_sums(value)), "set-sums")
+    return written(marked.join(marked.groupBy(*same).agg(F.min(ident).alias(rep)), same).select(ident, rep, F.col("_n").alias("size")), "members")
 
 
 def _rare_prompts(sets: DataFrame, ident: str, floor: float) -> DataFrame:
@@ -119,31 +116,34 @@ def _rare_prompts(sets: DataFrame, ident: str, floor: float) -> DataFrame:
 def prompt_overlap_join(sheet_items: DataFrame, key_items: DataFrame, floor: float = PROMPT_FLOOR, common: int = 64) -> DataFrame:
     """(sheet_id, slug, hits, ratio) where shared distinct prompts cover at least ``floor`` of the smaller set.
 
-    Prompts in at most ``common`` keys are joined and counted directly, which grows linearly with
-    the sheets. Frequent prompts are only looked up for pairs that can still reach the floor; sets
-    made mostly of frequent prompts get their candidates from their rarest prompts instead. Every
-    qualifying pair is found whatever ``common`` is.
+    Sheets with one set of prompts (a class that sat one exam) are compared once.  Prompts that stand in the
+    same keys are one token class: a sheet has a class with the number of its prompts in it, and the keys of a
+    class are joined once, however many prompts it has.  Classes of at most ``common`` keys are joined and
+    their weights added, which grows linearly with the sheets.  More frequent prompts are only looked up for
+    pairs that can still reach the floor; sets made mostly of such prompts get their candidates from their
+    rarest prompts instead.  Every qualifying pair is found whatever ``common`` is.
     """
-    every = _prompt_sets(sheet_items, "sheet_id")
-    unique, members = _one_per_set(every)
-    b0 = _prompt_sets(key_items, "slug")
-    freq = b0.groupBy("prompt").agg(F.count("*").alias("freq"))
+    sheet_sets, key_sets = _prompt_sets(sheet_items, "sheet_id"), _prompt_sets(key_items, "slug")
+    members, owners = _members(sheet_sets, "sheet_id", "prompt", "rep"), key_sets.groupBy("slug").agg(F.count("*").alias("size"))
+    heads = members.filter("sheet_id = rep").select("sheet_id", "size")
+    classes = _members(key_sets, "prompt", "slug", "class").select("prompt", "class", F.col("size").alias("freq"))
     # prompts of no key cannot be shared, but they count in the set's size
-    a = written(unique.join(freq, "prompt"), "sheet-prompts")
-    b = written(b0.join(freq, "prompt"), "key-prompts")
+    a = written(sheet_sets.join(heads, "sheet_id").join(classes, "prompt"), "sheet-prompts")
+    b = written(key_sets.join(owners, "slug").join(classes, "prompt"), "key-prompts")
     hot = F.col("freq") > common
+    pair = ["sheet_id", "slug"]
 
     def sizes(df: DataFrame, ident: str, side: str) -> DataFrame:
         return df.groupBy(ident).agg(F.first("size").alias(f"size_{side}"), F.count_if(hot).alias(f"hot_{side}"))
 
     size_a, size_b = sizes(a, "sheet_id", "a"), sizes(b, "slug", "b")
-    pair = ["sheet_id", "slug"]
-    rare = a.filter(~hot).select("sheet_id", "prompt").join(b.filter(~hot).select("slug", "prompt"), "prompt")
-    direct = rare.groupBy(*pair).agg(F.count("*").alias("rare"))
+    held = a.filter(~hot).groupBy("sheet_id", "class").agg(F.count("*").alias("weight"))
+    posted = b.filter(~hot & (F.col("prompt") == F.col("class"))).select("class", "slug")
+    direct = held.join(posted, "class").groupBy(*pair).agg(F.sum("weight").alias("rare"))
 
-    mostly = lambda ident: F.count_if(hot) >= F.first("size") * F.lit(floor)
-    hot_a = a.groupBy("sheet_id").agg(mostly("sheet_id").alias("_m")).filter("_m").select("sheet_id")
-    hot_b = b.groupBy("slug").agg(mostly("slug").alias("_m")).filter("_m").select("slug")
+    mostly = F.count_if(hot) >= F.first("size") * F.lit(floor)
+    hot_a = a.groupBy("sheet_id").agg(mostly.alias("_m")).filter("_m").select("sheet_id")
+    hot_b = b.groupBy("slug").agg(mostly.alias("_m")).filter("_m").select("slug")
     first_a = _rare_prompts(a.join(hot_a, "sheet_id", "left_semi"), "sheet_id", floor)
     first_b = _rare_prompts(b.join(hot_b, "slug", "left_semi"), "slug", floor)
     from_a = first_a.join(b.select("slug", "prompt", F.col("size").alias("_s")), "prompt").filter("size <= _s").select(*pair)
@@ -153,14 +153,11 @@ def prompt_overlap_join(sheet_items: DataFrame, key_items: DataFrame, floor: flo
     sized = found.join(size_a, "sheet_id").join(size_b, "slug")
     smaller = F.least("size_a", "size_b")
     reach = F.col("rare") + F.least("hot_a", "hot_b")
-    open_pairs = sized.filter(reach >= smaller * F.lit(floor) - F.lit(1e-9))
+    open_pairs = written(sized.filter(reach >= smaller * F.lit(floor) - F.lit(1e-9)), "open-pairs")
     needs = (F.col("hot_a") > 0) & (F.col("hot_b") > 0)
-    asked = open_pairs.filter(needs).select(*pair)
-    extra = (
-        asked.join(a.filter(hot).select("sheet_id", "prompt"), "sheet_id")
-        .join(b.filter(hot).select("slug", "prompt"), ["slug", "prompt"])
-        .groupBy(*pair).agg(F.count("*").alias("more"))
-    )
+    held = a.filter(hot).groupBy("sheet_id", "class").agg(F.count("*").alias("weight"))
+    posted = b.filter(hot & (F.col("prompt") == F.col("class"))).select("class", "slug")
+    extra = open_pairs.filter(needs).select(*pair).join(held, "sheet_id").join(posted, ["slug", "class"]).groupBy(*pair).agg(F.sum("weight").alias("more"))
     hits = F.col("rare") + F.coalesce("more", F.lit(0))
     done = open_pairs.join(extra, pair, "left").withColumn("hits", hits).withColumn("ratio", hits.cast("double") / smaller)
     kept = done.filter(F.col("ratio") >= floor).select(F.col("sheet_id").alias("rep"), "slug", "hits", "ratio")

@@ -176,3 +176,21 @@ def test_prompt_overlap_is_whole_whatever_counts_as_common(spark):
     for common in (0, 4, 20, 64):
         got = {(r.sheet_id, r.slug): r.hits for r in matching.prompt_overlap_join(si, ki, common=common).collect()}
         assert got == want
+
+
+def test_prompts_of_the_same_keys_are_joined_as_one(spark):
+    """Twelve keys share 200 prompts: one class of weight 200, so 12 postings instead of 2400."""
+    shared = [(f"k{k}", f"p{i}") for k in range(12) for i in range(200)] + [(f"k{k}", f"own{k}-{i}") for k in range(12) for i in range(20)]
+    sheets = [(s, f"p{i}") for s in range(5) for i in range(200) if (i + s) % 9] + [(s, f"own{s}-{i}") for s in range(5) for i in range(20)]
+    si, ki = spark.createDataFrame(sheets, "sheet_id long, prompt string"), spark.createDataFrame(shared, "slug string, prompt string")
+    want = {}
+    for s in range(5):
+        own = {p for x, p in sheets if x == s}
+        for k in range(12):
+            key = {p for x, p in shared if x == f"k{k}"}
+            if len(own & key) / min(len(own), len(key)) >= matching.PROMPT_FLOOR:
+                want[s, f"k{k}"] = len(own & key)
+    for common in (4, 64):
+        assert {(r.sheet_id, r.slug): r.hits for r in matching.prompt_overlap_join(si, ki, common=common).collect()} == want
+    sets = matching._prompt_sets(ki, "slug")
+    assert matching._members(sets, "prompt", "slug", "class").select("class").distinct().count() == 13
