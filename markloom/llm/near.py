@@ -1,16 +1,17 @@
 """Near duplicates: multi-index Hamming join of MinHash signatures, confirmed on full shingle sets.
 
-A signature holds LANES = 84 16-bit MinHash values in CHUNKS = 21 chunks of four.  Documents get a key for
-every chunk and left-out lane (84 keys of three lanes), so two signatures meet in some bucket whenever one
-chunk has at most one differing lane.  By pigeonhole that is certain up to a distance of 41 lanes.  Pairs that
-meet are compared in full up to FAR lanes, which lies below and which pairs of a Jaccard similarity of 0.8,
-whose lanes differ with probability 0.2, pass with probability above 1 - 1e-6.
+A signature holds LANES = 100 16-bit MinHash values in CHUNKS = 20 chunks of five.  Documents get a key for
+every chunk and left-out lane (100 keys of four lanes), so two signatures meet in some bucket whenever one
+chunk has at most one differing lane.  By pigeonhole that is certain up to FAR = 39 lanes, and pairs that meet
+are compared in full up to there.  Lanes of a pair with a Jaccard similarity of 0.8 differ with probability
+0.2, so it lies beyond with a probability of about 3e-6.
 
 Buckets are never expanded into pairs.  Work goes in rounds: each open bucket names a document as hub, every
 document is compared with the hub it meets most often, and what links is one class from then on; a bucket
-whose documents are of one class is closed.  When a round closes less than half of what was open, the rest is
-compared: small buckets by pairs, large ones in tiles of about TILE documents of one class or of none, each
-pair of tiles that meet once, however many buckets they meet in.  Signatures come before texts, and each
+whose documents are of one class is closed.  When a round closes less than a fifth of what was open, the rest is
+compared: small buckets by pairs, large ones in tiles of about TILE documents of one large class, or of small
+classes that have the largest class they meet in common; each pair of tiles that meet once, however many
+buckets they meet in.  Signatures come before texts, and each
 comparison hands on a spanning set of links.  A family of copies, however large, spreads over its tiles.
 Documents with equal sets are one document from the start.
 
@@ -27,15 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.llm.common import body, components, free_name, numbered, written
 from markloom.llm.words import joined, mix, released, text_column, word_hashes
 
-LANES, CHUNKS, FAR = 84, 21, 38
+LANES, CHUNKS, FAR = 100, 20, 39
 WIDTH, LONGS = LANES // CHUNKS, LANES // 4
-TILE, SMALL = 128, 16
+TILE, PART, SMALL = 512, 128, 16
 _RANDOM = np.random.default_rng(80)
 _TIMES = _RANDOM.integers(1, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(1, 1 << 63, LANES, dtype=np.uint64)
@@ -227,10 +228,10 @@ def _may_link(pairs: DataFrame, signs: DataFrame, one: str, two: str, percent: i
 
 def _hub_links(met: DataFrame, unique: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Links of every row with the hub of another class that it meets most often."""
-    often = met.filter("label <> head.label").groupBy("row", F.col("head.row").alias("hub")).agg(F.count("*").alias("n"))
+    often = met.filter("label <> hub_label").groupBy("row", "hub").agg(F.count("*").alias("n"))
     picked = often.groupBy("row").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
     family = written(_may_link(picked, unique, "row", "hub", percent).select("row", "hub"), "family")
-    parts = family.groupBy("hub").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    parts = family.groupBy("hub").agg(F.ceil(F.count("*") / PART).alias("parts"))
     spread = family.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("row"), "parts")).select("row", "hub", "part")
     heads = spread.select("hub", "part").distinct().select(F.col("hub").alias("row"), "hub", "part")
     ends = spread.union(heads).join(texts.hint("merge"), "row")
@@ -246,15 +247,16 @@ def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(many: DataFrame, tiles: DataFrame) -> DataFrame:
-    """``(one, two)``: tiles that meet in a bucket, once; buckets with the same tiles are joined once."""
-    here = many.select("key", "row").join(tiles, "row").groupBy("key", "tile").agg(F.min("hung").alias("hung"), (F.count("*") > 1).alias("several"))
+    """``(one, two)``: tiles that meet in a bucket, once; buckets with the same tiles are joined once.  ``whole``
+    is the class of a tile that has one."""
+    here = many.select("key", "row").join(tiles, "row").groupBy("key", "tile").agg(F.min("whole").alias("whole"), (F.count("*") > 1).alias("several"))
     here = written(here, "here")
     hashes = [F.bit_xor(F.xxhash64(F.lit(x), "tile", "several")).alias(f"h{x}") for x in (1, 2)]
     sets = here.groupBy("key").agg(F.count("*").alias("n"), *hashes).groupBy("n", "h1", "h2").agg(F.min("key").alias("key"))
     here = here.join(sets.select("key"), "key", "left_semi")
-    other = here.select("key", F.col("tile").alias("two"), F.col("hung").alias("hung_two"))
-    apart = (F.col("tile") < F.col("two")) & ((F.col("hung") < 0) | (F.col("hung") != F.col("hung_two")))
-    within = (F.col("tile") == F.col("two")) & (F.col("hung") < 0) & F.col("several")
+    other = here.select("key", F.col("tile").alias("two"), F.col("whole").alias("whole_two"))
+    apart = (F.col("tile") < F.col("two")) & ((F.col("whole") < 0) | (F.col("whole") != F.col("whole_two")))
+    within = (F.col("tile") == F.col("two")) & (F.col("whole") < 0) & F.col("several")
     return here.join(other, "key").filter(apart | within).select(F.col("tile").alias("one"), "two").distinct()
 
 
@@ -264,26 +266,28 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
     unique = written(signed.select("row", "n_shingles", "sig").join(firsts, "row"), "unique")
     texts = docs.select("row", "text")
     keyed = unique.select("row", "sig").mapInArrow(released(_bucket_keys), "row long, keys array<long>").select("row", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    met = written(keyed.join(shared, "key").select("key", "row"), "met")
-    labels = met.select("row", F.col("row").alias("label")).distinct()
+    over = Window.partitionBy("key")
+    met = keyed.select("key", "row", F.min("row").over(over).alias("hub"), F.count("*").over(over).alias("n")).filter("n > 1")
+    met = written(met.select("key", "row", F.col("row").alias("label"), "hub", F.col("hub").alias("hub_label"), "n"), "met")
+    labels = met.select("row", "label").distinct()
     found, before = unique.select(F.col("row").alias("a"), F.col("row").alias("b")).filter("false"), None
-    for turn in itertools.count():
-        told = met.join(labels, "row")
-        head = F.min_by(F.struct("row", "label"), F.xxhash64(F.lit(turn), "row")).alias("head")
-        heads = told.groupBy("key").agg(head, F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("open")).filter("open").drop("open")
-        met = written(told.join(heads, "key").select("key", "row", "label", "head", "n"), "open")
+    for turn in itertools.count(1):
         now = met.count()
-        if not now or (before and 2 * now > before):
+        if not now or (before and 5 * now > 4 * before):
             break
         links = _hub_links(met, unique, texts, k, percent)
         found, labels, before = found.union(links), _relabelled(labels, links), now
-        met = met.select("key", "row")
-
-    family = met.groupBy("row", F.col("head.row").alias("hub")).agg(F.count("*").alias("n")).groupBy("row").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("hub"))
-    large = labels.groupBy("label").agg(F.count("*").alias("n")).filter("n > 1").select("label", F.col("label").alias("hung"))
-    placed = labels.join(family, "row").join(large, "label", "left").select("row", F.coalesce("hung", "hub").alias("hub"), F.coalesce("hung", F.lit(-1)).alias("hung"))
-    placed = written(placed, "placed")
+        told = met.select("key", "row").join(labels, "row")
+        head = F.min_by(F.struct("row", "label"), F.xxhash64(F.lit(turn), "row")).alias("head")
+        heads = told.groupBy("key").agg(head, F.count("*").alias("n"), (F.min("label") < F.max("label")).alias("open")).filter("open")
+        met = written(told.join(heads, "key").select("key", "row", "label", F.col("head.row").alias("hub"), F.col("head.label").alias("hub_label"), "n"), "met")
+
+    classes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    told = met.join(classes, "label")
+    mains = told.groupBy("key").agg(F.max(F.struct("size", "label")).alias("main"))
+    family = told.join(mains, "key").groupBy("row", "label", "size").agg(F.max("main")["label"].alias("main"))
+    pure = (F.col("size") >= TILE).alias("pure")
+    placed = written(family.select("row", pure, F.when(pure, F.col("label")).otherwise(F.col("main")).alias("hub"), F.when(F.col("size") > 1, F.col("label")).otherwise(F.lit(-1)).alias("hung")), "placed")
     signs = unique.join(placed.select("row", "hung"), "row").select("row", "hung", "n_shingles", "sig")
 
     few = met.filter(F.col("n") <= SMALL).select("key", "row", "label")
@@ -295,8 +299,9 @@ def near_links(docs: DataFrame, signed: DataFrame, k: int, percent: int) -> Data
 
     many = met.filter(F.col("n") > SMALL)
     members = many.select("row").distinct().join(placed, "row")
-    counts = members.groupBy("hub", "hung").agg(F.ceil(F.count("*") / TILE).alias("parts"))
-    tiles = written(members.join(counts, ["hub", "hung"]).select("row", "hung", F.xxhash64("hub", "hung", F.pmod(F.xxhash64("row"), "parts")).alias("tile")), "tiles")
+    counts = members.groupBy("hub", "pure").agg(F.ceil(F.count("*") / TILE).alias("parts"))
+    tile = F.xxhash64("hub", "pure", F.pmod(F.xxhash64("row"), "parts")).alias("tile")
+    tiles = written(members.join(counts, ["hub", "pure"]).select("row", "hung", F.when(F.col("pure"), F.col("hung")).otherwise(F.lit(-1)).alias("whole"), tile), "tiles")
     sides = _tile_pairs(many, tiles).select("one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"))
     work = sides.join(tiles, "tile").join(unique, "row").select("one", "two", "tile", "row", "hung", "n_shingles", "sig")
     some = _sorted(work, ["one", "two"], "row").mapInArrow(released(_candidates), work.schema)

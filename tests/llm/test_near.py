@@ -93,7 +93,7 @@ def test_lanes_apart(spark):
 def test_signatures_meet_up_to_far():
     """The guarantee itself: pairs at every distance up to FAR lanes share a key, wherever the lanes differ."""
     rng = np.random.default_rng(5)
-    assert FAR <= 2 * CHUNKS - 1
+    assert FAR <= 2 * CHUNKS - 1 and LANES % CHUNKS == 0
 
     def keys_of(lanes):
         flat = pa.array(np.concatenate(lanes).view(np.int64))
