@@ -63,7 +63,7 @@ def pair_consecutive(files: DataFrame) -> DataFrame:
 
     ``files``: (folder, name, red). An odd last file comes out with state 'leftover'.
     """
-    placed = S.position(files, ["folder"], ["name"], F.substring("name", 1, 3), "_pos")
+    placed = S.ranked_position(files, ["folder"], ["name"], "_pos")
     grouped = placed.withColumn("pair_no", F.floor(F.col("_pos") / 2))
     # each pair has at most two files; the first one wins the 'before' role on equal red
     pair = grouped.groupBy("folder", "pair_no").agg(

@@ -13,12 +13,7 @@ from markloom.operators import sequences as S
 def natural_order(df: DataFrame, keys: list[str], no: str = "no", out: str = "ord") -> DataFrame:
     """One-based place of each number: numerically first, then by its text."""
     keyed = df.withColumn("num_key", num_key(F.col(no)))
-    bucket = F.struct(F.floor(F.col("num_key") / S.SEQ_BUCKET), F.substring(F.col(no), 1, 3))
-    # the text prefix only splits numbers without digits; equal numbers share their leading digits
-    bucket = F.when(F.col("num_key") == K.NO_NUMBER, bucket).otherwise(
-        F.struct(F.floor(F.col("num_key") / S.SEQ_BUCKET), F.lit(""))
-    )
-    placed = S.position(keyed, keys, ["num_key", no], bucket, out)
+    placed = S.ranked_position(keyed, keys, ["num_key", no], out)
     return placed.withColumn(out, F.col(out) + 1)
 
 

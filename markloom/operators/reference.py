@@ -57,7 +57,7 @@ def apply_reference(items: DataFrame, ref: DataFrame) -> DataFrame:
 def ref_fingerprint(items: DataFrame, sheets: DataFrame) -> DataFrame:
     """(sheet_id, fingerprint): normalised title and all numbers in order; none without title or items."""
     titled = sheets.select("sheet_id", norm(F.col("title")).alias("_title")).filter("_title <> ''")
-    parts = S.fold_text(items, ["sheet_id"], trimmed(F.col("no")), ["seq"], "_text", sep=",")
+    parts = S.fold_text(items, ["sheet_id"], trimmed(F.col("no")), ["seq"], "_text", sep=",", hot=True)
     listed = parts.groupBy("sheet_id").agg(F.sort_array(F.collect_list(F.struct("part", "_text"))).alias("_parts"))
     numbers = F.array_join(F.transform("_parts", lambda p: p["_text"]), ",")
     return titled.join(listed, "sheet_id").select("sheet_id", F.concat_ws("|", "_title", numbers).alias("fingerprint"))
@@ -110,7 +110,7 @@ def unjudged_warning(results: DataFrame, order: str = "seq") -> DataFrame:
     """(sheet_id, part, level, text) naming the items nobody could judge."""
     flagged = results.filter(V.is_unjudged(F.col("note")))
     counts = flagged.groupBy("sheet_id").agg(F.count("*").alias("_n"))
-    listed = S.fold_text(flagged, ["sheet_id"], F.col("no"), [order], "_nos").join(counts, "sheet_id")
+    listed = S.fold_text(flagged, ["sheet_id"], F.col("no"), [order], "_nos", hot=True).join(counts, "sheet_id")
     text = told(K.WARN_UNJUDGED, F.col("_n"), F.col("_nos"))
     return listed.select("sheet_id", "part", F.lit("incomplete").alias("level"), text.alias("text"))
 

@@ -59,7 +59,7 @@ def render_retest_text(sheets: DataFrame, heading: str = "") -> DataFrame:
         "received_on", class_label(F.col("class_name")).alias("class_name"), "sheet_id",
         F.coalesce(filled(F.col("student_name")), F.lit(K.NO_NAME)).alias("name"),
     )
-    names = S.fold_text(rows, ["received_on", "class_name"], F.col("name"), ["name", "sheet_id"], "text")
+    names = S.fold_text(rows, ["received_on", "class_name"], F.col("name"), ["name", "sheet_id"], "text", hot=True)
 
     def line(df: DataFrame, block: int, text: Column) -> DataFrame:
         return df.select("received_on", F.lit(block).alias("block"), F.lit("").alias("class_name"), F.lit(0).cast("bigint").alias("part"), text.alias("text"))

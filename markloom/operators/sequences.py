@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from markloom.session import written
+
 _BUCKET = "_bucket"
 SEQ_BUCKET = 4096  # rows of one key per window task when the order column is a dense position
 LIST_WIDTH = 10000  # values of one part of a folded list
@@ -62,6 +64,21 @@ def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: C
     return running_sum(df, keys, order, bucket, F.lit(1), out).withColumn(out, F.col(out) - 1)
 
 
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_range") -> DataFrame:
+    """The rows, stored, with the number of their stretch.
+
+    Stretches hold successive rows of ``keys`` and ``order`` and about equally many each: Spark samples the
+    boundaries, so neither a frequent key nor a frequent beginning of names fills one.  Equal rows share a
+    stretch.  The number is an order-preserving bucket for ``position`` and its kin.
+    """
+    return written(df.repartitionByRange(*keys, *order).withColumn(out, F.spark_partition_id()), "ranged")
+
+
+def ranked_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "seq") -> DataFrame:
+    """Zero-based position of every row inside its key, in any order of columns without ties."""
+    return position(ranged(df, keys, order), keys, order, F.col("_range"), out).drop("_range")
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """First k rows per key. Spark keeps only k rows per key and map task before the shuffle."""
     ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
@@ -80,16 +97,22 @@ def short_list(
     return folded.select(*keys, F.concat(shown, more).alias(out))
 
 
-def fold_text(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[str], out: str, sep: str = ", ", width: int = LIST_WIDTH) -> DataFrame:
+def fold_text(
+    df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[str], out: str, sep: str = ", ", width: int = LIST_WIDTH, hot: bool = False
+) -> DataFrame:
     """Join the values of a key, in order, into texts of at most ``width`` values each.
 
     Columns: keys, part, out.  Every key is cut the same way: ``part`` is the position of a value
     divided by ``width``, from 0, so the parts of a key joined in order are its whole text and no
-    single value grows without bound.
+    single value grows without bound.  ``hot`` is for keys that may hold much of the table: values get
+    their positions in sampled ranges, and no task sees more of a key than one range or one part.
     """
     marks = [f"_o{i}" for i in range(len(order))]
     slim = df.select(*keys, *[F.col(c).alias(m) for c, m in zip(order, marks)], value.alias("_value"))
-    at = F.row_number().over(Window.partitionBy(*keys).orderBy(*marks, "_value")) - 1
-    parts = slim.withColumn("_at", at).withColumn("part", F.floor(F.col("_at") / width).cast("bigint"))
+    if hot:
+        placed = ranked_position(slim, keys, [*marks, "_value"], "_at")
+    else:
+        placed = slim.withColumn("_at", F.row_number().over(Window.partitionBy(*keys).orderBy(*marks, "_value")) - 1)
+    parts = placed.withColumn("part", F.floor(F.col("_at") / width).cast("bigint"))
     folded = parts.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("_at", "_value"))).alias("_all"))
     return folded.select(*keys, "part", F.array_join(F.transform("_all", lambda x: x["_value"]), sep).alias(out))

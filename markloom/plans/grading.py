@@ -44,14 +44,11 @@ def grade(headers: DataFrame, page_items: DataFrame, judgements: DataFrame) -> G
 def place_items(merged: DataFrame) -> DataFrame:
     """Give merged items their seq: number order over several pages, the given order on a single one.
 
-    Order and bucket are the same columns for both, so one ordered pass serves all sheets.
+    The order is the same columns for both, so one ordered pass serves all sheets.
     """
-    from markloom import constants as K
     from markloom.operators import sequences as S
 
     many = F.col("n_parts") > 1
     first = F.when(many, F.col("num_key")).otherwise(F.col("pos").cast("bigint"))
     keyed = merged.withColumn("_first", first).withColumn("_second", F.when(many, F.col("no")).otherwise(F.lit("")))
-    spread = F.when(F.col("_first") == K.NO_NUMBER, F.substring("_second", 1, 3)).otherwise(F.lit(""))
-    bucket = F.struct(F.floor(F.col("_first") / S.SEQ_BUCKET), spread)
-    return S.position(keyed, ["sheet_id"], ["_first", "_second"], bucket, "seq").drop("_first", "_second", "num_key", "n_parts", "page", "pos")
+    return S.ranked_position(keyed, ["sheet_id"], ["_first", "_second"], "seq").drop("_first", "_second", "num_key", "n_parts", "page", "pos")

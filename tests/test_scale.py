@@ -194,3 +194,20 @@ def test_prompts_of_the_same_keys_are_joined_as_one(spark):
         assert {(r.sheet_id, r.slug): r.hits for r in matching.prompt_overlap_join(si, ki, common=common).collect()} == want
     sets = matching._prompt_sets(ki, "slug")
     assert matching._members(sets, "prompt", "slug", "class").select("class").distinct().count() == 13
+
+
+def test_a_frequent_beginning_spreads_over_ranges(spark):
+    files = spark.range(20_000).select(F.lit("cam").alias("folder"), F.format_string("IMG_20260101_%06d.jpg", F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("int")).alias("name"), F.col("id"))
+    files = files.dropDuplicates(["name"])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would be one range
+    sizes = [r["count"] for r in sequences.ranged(files, ["folder"], ["name"]).groupBy("_range").count().collect()]
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 3 and max(sizes) < 0.5 * sum(sizes)
+    placed = sequences.ranked_position(files, ["folder"], ["name"], "at").orderBy("at").collect()
+    assert [r.at for r in placed] == list(range(len(placed))) and [r.name for r in placed] == sorted(r.name for r in placed)
+
+
+def test_hot_fold_gives_the_same_parts(spark):
+    rows = spark.range(30_000).select((F.col("id") % 7 == 0).cast("int").alias("k"), (F.col("id") * 7919 % 30_000).alias("o"), F.concat(F.lit("v"), "id").alias("v"))
+    one, two = (sequences.fold_text(rows, ["k"], F.col("v"), ["o"], "t", width=1000, hot=hot) for hot in (True, False))
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty() and one.count() == 31
