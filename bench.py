@@ -17,7 +17,7 @@ HEADLINE = (
     "sheet_verdict", "recount_verdict", "progress_summary", "review_stats", "wrong_items", "unjudged_by_exam", "overturn_rate",
     "number_sections", "drift_warnings", "merge_pages", "apply_reference", "build_reference", "run_diff_items", "trial_summary",
     "teacher_mark_compare", "phase_gate", "usage_by_staff", "usage_by_hour", "token_stage_split", "call_cost", "cost_levers",
-    "exact_title_match", "title_similarity_join", "ocr_report", "replace_children",
+    "exact_title_match", "title_similarity_join", "prompt_overlap_join", "match_answer_key", "ocr_report", "replace_children",
     "dq_constraint_violations", "tokens_to_lines", "token_diff_answers", "word_count",
 )
 
@@ -42,7 +42,7 @@ def main() -> None:
         return time.perf_counter() - start
 
     seconds: dict[str, float] = {}
-    store(spark, sf_dir, ("items", "sheets", "trials", "trial_runs", "usage", "calls"))
+    store(spark, sf_dir, ("items", "sheets", "trials", "trial_runs", "usage", "calls", "exams", "exam_items"))
     once("usage_by_hour")
     for name in names:
         seconds[name] = round(statistics.median(once(name) for _ in range(runs)), 3)
