@@ -21,6 +21,11 @@ def kst_hour(ts: Column) -> Column:
     return F.hour(kst(ts)).cast("int")
 
 
+def day_column(moment: str) -> str:
+    """Name of the partition column of a table stored by the day of ``moment``."""
+    return f"{moment}_day"
+
+
 def on_day(ts: Column, day: str, until: str | None = None) -> Column:
     """Half-open day range, so that the filter reaches the scan as a plain range."""
     start = F.lit(day).cast("date").cast("timestamp_ntz")

@@ -8,21 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from markloom import constants as K
-from markloom.functions.clock import key_days_left, on_day
+from markloom.functions.clock import day_column, key_days_left, on_day
 from markloom.operators import sequences as S
 
 
+def during(df: DataFrame, moment: str, start: str, until: str | None = None) -> DataFrame:
+    """Rows of a day, or of a range of days.
+
+    Of a table stored by ``write_by_day`` only the folders of these days are listed and read; its day column
+    is left out of the rows.
+    """
+    rows = df.filter(F.col(moment).isNotNull() & on_day(F.col(moment), start, until))
+    day = day_column(moment)
+    if day not in df.columns:
+        return rows
+    return rows.filter(F.col(day).between(F.lit(start).cast("date"), F.lit(until or start).cast("date"))).drop(day)
+
+
 def scan_day(df: DataFrame, day: str, until: str | None = None) -> DataFrame:
     """Rows created on a day (or day range), newest first."""
-    return df.filter(on_day(F.col("created_at"), day, until)).orderBy(F.col("created_at").desc(), F.col("sheet_id").desc())
+    return during(df, "created_at", day, until).orderBy(F.col("created_at").desc(), F.col("sheet_id").desc())
 
 
 def scan_graded_between(sheets: DataFrame, start: str, end: str) -> DataFrame:
-    return sheets.filter(F.col("graded_at").isNotNull() & on_day(F.col("graded_at"), start, end))
+    return during(sheets, "graded_at", start, end)
 
 
 def scan_usage_between(events: DataFrame, start: str, end: str) -> DataFrame:
-    return events.filter(on_day(F.col("created_at"), start, end))
+    return during(events, "created_at", start, end)
 
 
 def items_for_sheets(items: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.functions import files as FF
+from markloom.functions.clock import day_column
 
+DAY_FILES = 8  # tasks that may share a day
 PRIVATE = ("student", "student_name", "path", "before", "after", "crop", "received_by")
 
 
@@ -18,6 +20,15 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     writer.parquet(path)
 
 
+def write_by_day(df: DataFrame, path: str, moment: str = "created_at") -> None:
+    """Parquet in one folder per day of ``moment``; days that ``df`` has are replaced, others stay.
+
+    Rows are dealt by day and by a salt, so a busy day is several files and a quiet one is few.
+    """
+    salted = df.withColumn(day_column(moment), F.to_date(moment)).repartition(day_column(moment), F.pmod(F.xxhash64(moment), F.lit(DAY_FILES)))
+    write_table(salted, path, [day_column(moment)])
+
+
 def write_bucketed(df: DataFrame, table: str, key: str = "sheet_id", buckets: int = 200) -> None:
     """Managed table bucketed and sorted by key, so that joins and groupings on it need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -8,7 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from markloom.checks import all_queries
-from markloom.operators import layout, matching, reference, sequence_diff, sequences
+from markloom.operators import layout, lifecycle, matching, reference, sequence_diff, sequences
+from markloom.session import scratch_path
+from markloom.sources import writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -211,3 +213,22 @@ def test_hot_fold_gives_the_same_parts(spark):
     rows = spark.range(30_000).select((F.col("id") % 7 == 0).cast("int").alias("k"), (F.col("id") * 7919 % 30_000).alias("o"), F.concat(F.lit("v"), "id").alias("v"))
     one, two = (sequences.fold_text(rows, ["k"], F.col("v"), ["o"], "t", width=1000, hot=hot) for hot in (True, False))
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty() and one.count() == 31
+
+
+def test_days_are_pruned(spark):
+    path = scratch_path(spark, "by-day")
+    moments = spark.range(4000).select(F.col("id").alias("sheet_id"), F.when(F.col("id") % 50 > 0, F.timestamp_seconds(F.col("id") * 2500)).alias("created_at"))
+    writers.write_by_day(moments, path)
+    stored = spark.read.parquet(path)
+    for found, plain in (
+        (lifecycle.scan_day(stored, "1970-02-03"), lifecycle.scan_day(moments, "1970-02-03")),
+        (lifecycle.scan_usage_between(stored, "1970-03-01", "1970-03-04"), lifecycle.scan_usage_between(moments, "1970-03-01", "1970-03-04")),
+    ):
+        assert found.columns == plain.columns and sorted(found.collect()) == sorted(plain.collect()) and plain.count() > 20
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(created_at_day" in plan
+    one = lifecycle.scan_usage_between(stored, "1970-02-03", "1970-02-03")
+    one.collect()
+    leaves = one._jdf.queryExecution().executedPlan().collectLeaves()
+    files = max(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numFiles"))
+    assert files <= writers.DAY_FILES < len(stored.inputFiles()) / 10
