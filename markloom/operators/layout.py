@@ -6,6 +6,8 @@ copies are merged by position first; rules that take things in order then go in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from markloom.functions import files as FF
 from markloom.functions.text import is_mojibake, is_noise, text_or_empty, trimmed
 from markloom.operators import sequence_diff as D
 from markloom.operators import sequences as S
-from markloom.session import written
+from markloom.session import shuffled, written
 
 BOX = ("x", "y", "w", "h")
 HEADER, FOOTER = 0.10, 0.97
@@ -136,17 +138,17 @@ def dedupe_regions(regions: DataFrame, tol: float = 0.004) -> DataFrame:
     before = same.select(*page, "y", "x", cell("y").alias("_cy"), cell("x").alias("_cx"))
     close = (F.abs(F.col("ly") - F.col("y")) < tol) & (F.abs(F.col("lx") - F.col("x")) < tol)
     earlier = (F.col("y") < F.col("ly")) | ((F.col("y") == F.col("ly")) & (F.col("x") < F.col("lx")))
-    touching = written(after.join(before, [*page, "_cy", "_cx"]).filter(close & earlier).select(*spot, "ly", "lx"), "touching")
+    touching = written(after.join(shuffled(before), [*page, "_cy", "_cx"]).filter(close & earlier).select(*spot, "ly", "lx"), "touching")
     later = [*page, "ly", "lx"]
     dropped = []
     while not touching.isEmpty():
         waiting = touching.select(*page, F.col("ly").alias("y"), F.col("lx").alias("x")).distinct()
-        gone = written(touching.join(waiting, spot, "left_anti").select(*later).distinct(), "dropped")
+        gone = written(touching.join(shuffled(waiting), spot, "left_anti").select(*later).distinct(), "dropped")
         as_first = gone.select(*page, F.col("ly").alias("y"), F.col("lx").alias("x"))
         dropped.append(as_first)
-        touching = written(touching.join(gone, later, "left_anti").join(as_first, spot, "left_anti"), "touching")
-    for gone in dropped:
-        same = same.join(gone, spot, "left_anti")
+        touching = written(touching.join(shuffled(gone), later, "left_anti").join(shuffled(as_first), spot, "left_anti"), "touching")
+    if dropped:
+        same = same.join(shuffled(reduce(DataFrame.unionAll, dropped)), spot, "left_anti")
     return same.select(*regions.columns)
 
 

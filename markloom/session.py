@@ -57,3 +57,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """The same rows, joined by a shuffle of both sides.
+
+    Spark judges a stored table by the size of its files.  Positions and ids compress so well there that tables
+    of millions of rows would be collected on the driver for a broadcast.
+    """
+    return df.hint("merge")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from markloom.checks import all_queries
 from markloom.operators import layout, lifecycle, matching, reference, sequence_diff, sequences
-from markloom.session import scratch_path
+from markloom.session import scratch_path, written
 from markloom.sources import writers
 
 SF = "/root/testdata/sf0.001"
@@ -148,6 +148,26 @@ def test_rules_in_rounds_need_no_python(spark):
         assert "Python" not in all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
+def stored_plans(monkeypatch, module):
+    """Plans of the tables that a module stores on its way."""
+    plans = []
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(module, "written", noted)
+    return plans
+
+
+def test_rounds_over_regions_broadcast_nothing(spark, monkeypatch):
+    """Positions look small in files: Spark would collect all of them on the driver."""
+    plans = stored_plans(monkeypatch, layout)
+    out = all_queries()["dedupe_regions"](spark, SF)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
 def test_similarity_join_finds_every_pair_above_the_floor(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
