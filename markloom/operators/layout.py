@@ -48,7 +48,7 @@ def tokens_to_lines(tokens: DataFrame, keys: list[str], tol: float = 0.008) -> D
         lines, [*keys, "line"], F.min("page").alias("page"), F.count("*").alias("n_tokens"), F.count_if(~is_noise(F.col("text"))).alias("n_words")
     )
     texts = S.fold_text(lines, [*keys, "line"], F.col("text"), ["pos"], "text", sep=" ")
-    return boxes.join(texts, [*keys, "line"]).withColumn("text", trimmed(F.col("text")))
+    return boxes.join(shuffled(texts), [*keys, "line"]).withColumn("text", trimmed(F.col("text")))
 
 
 def merge_adjacent_spans(spans: DataFrame, gap: float = 1.0) -> DataFrame:
@@ -66,7 +66,7 @@ def merge_adjacent_spans(spans: DataFrame, gap: float = 1.0) -> DataFrame:
         F.min_by("x0", "pos").alias("x0"), F.min("y0").alias("y0"), F.max_by("x1", "pos").alias("x1"), F.max("y1").alias("y1")
     )
     texts = S.fold_text(grouped, group, F.col("text"), ["pos"], "text", sep="")
-    return boxes.join(texts, group)
+    return boxes.join(shuffled(texts), group)
 
 
 def _plain_noise(c: Column) -> Column:
@@ -185,12 +185,12 @@ def nearest_blank_fill(blanks: DataFrame, tokens: DataFrame, tol: float = 0.02)
     line = F.floor(F.col("y") / tol)
     left = blanks.select(*page, F.col("pos").alias("blank_pos"), F.col("x").alias("_bx"), F.col("y").alias("_by"), F.explode(F.array(line - 1, line, line + 1)).alias("_line"))
     right = tokens.select(*page, F.col("pos").alias("token_pos"), "x", "y", is_noise(F.col("text")).alias("noise"), line.alias("_line"))
-    near = left.join(right, [*page, "_line"]).filter(F.abs(F.col("y") - F.col("_by")) < tol)
+    near = left.join(shuffled(right), [*page, "_line"]).filter(F.abs(F.col("y") - F.col("_by")) < tol)
     choice = F.row_number().over(Window.partitionBy(*page, "blank_pos").orderBy(F.abs(F.col("x") - F.col("_bx")), "token_pos"))
     wishes = written(near.select(*page, "blank_pos", "token_pos", "noise", choice.alias("nth")), "wishes")
     turn = wishes.filter("nth = 1").select(*page, "blank_pos", "nth")
     while True:
-        asked = turn.join(wishes, [*page, "blank_pos", "nth"])
+        asked = turn.join(shuffled(wishes), [*page, "blank_pos", "nth"])
         first = F.min("blank_pos").over(Window.partitionBy(*page, "token_pos"))
         asked = written(asked.withColumn("refused", ~F.col("noise") & (F.col("blank_pos") > first)), "asked")
         if asked.filter("refused").isEmpty():
@@ -199,7 +199,7 @@ def nearest_blank_fill(blanks: DataFrame, tokens: DataFrame, tol: float = 0.02)
     pairs = asked.filter("not noise").select("doc_id", "block", "blank_pos", "token_pos")
     filled = tokens.select("doc_id", "block", F.col("pos").alias("token_pos"), "page", "text", *BOX)
     shown = blanks.select("doc_id", "block", F.col("pos").alias("blank_pos"), F.col("text").alias("removed"))
-    joined = pairs.join(filled, ["doc_id", "block", "token_pos"]).join(shown, ["doc_id", "block", "blank_pos"])
+    joined = pairs.join(shuffled(filled), ["doc_id", "block", "token_pos"]).join(shuffled(shown), ["doc_id", "block", "blank_pos"])
     return joined.withColumn("answer", trimmed(F.col("text"))).drop("text")
 
 
@@ -216,14 +216,14 @@ def token_diff_answers(exam: DataFrame, key: DataFrame, large: int = D.LARGE) ->
     removed = written(D.tokens_of(blocks, exam, "i1", "i2"), "removed")
     added = written(D.tokens_of(blocks, key, "j1", "j2"), "added")
     blanks = removed.filter(F.col("text").rlike("_{2,}"))
-    pairs = written(nearest_blank_fill(blanks, added.join(blanks.select(*ids).distinct(), ids, "left_semi")), "blank-pairs")
+    pairs = written(nearest_blank_fill(blanks, added.join(shuffled(blanks.select(*ids).distinct()), ids, "left_semi")), "blank-pairs")
     paired = pairs.select(*ids, F.col("blank_pos").alias("place"), F.lit(0).cast("bigint").alias("part"), "page", "answer", "removed", F.lit(True).alias("from_blank"), *BOX)
-    done = pairs.select(*ids).distinct()
+    done = shuffled(pairs.select(*ids).distinct())
     lines = tokens_to_lines(added.join(done, ids, "left_anti"), ids).filter("n_words > 0")
     # the words a block replaces belong to one document row
     words = removed.join(done, ids, "left_anti").groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_w"))
     gone = words.select(*ids, trimmed(F.array_join(F.transform("_w", lambda w: w["text"]), " ")).alias("removed"))
-    split = lines.join(gone, ids, "left").select(
+    split = lines.join(shuffled(gone), ids, "left").select(
         *ids, F.col("line").cast("long").alias("place"), "part", "page", F.col("text").alias("answer"), F.coalesce("removed", F.lit("")).alias("removed"), F.lit(False).alias("from_blank"), *BOX
     )
     return paired.unionByName(split)

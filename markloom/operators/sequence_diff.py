@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from markloom.operators import sequences as S
-from markloom.session import written
+from markloom.session import shuffled, written
 
 GRAM, BUCKET, LARGE = 8, 8192, 4_000
 _FEW_PAIRS = 2_000_000
@@ -47,7 +47,7 @@ def certain_runs(exam: DataFrame, key: DataFrame, gram: int = GRAM, size: int =
     """``(doc_id, i, j, n)`` of runs that the rule is sure to take whole."""
     same = ["doc_id", "gram", "check"]
     there = _grams(key, gram, size).groupBy(*same).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
-    met = written(_grams(exam, gram, size).join(there, same).select("doc_id", "pos", "first", "last"), "met")
+    met = written(_grams(exam, gram, size).join(shuffled(there), same).select("doc_id", "pos", "first", "last"), "met")
     diagonal = F.when(F.col("first") == F.col("last"), F.col("first") - F.col("pos"))
     # Farthest place on the other side of all stretches in the buckets before and after, beyond the halo.
     tops = _bucketed(met, gram, size).groupBy("doc_id", "bucket").agg(
@@ -64,7 +64,7 @@ def certain_runs(exam: DataFrame, key: DataFrame, gram: int = GRAM, size: int =
         F.least(near(-1, "inner_first"), F.min("all_first").over(order.rowsBetween(2, Window.unboundedFollowing))).alias("after"),
     )
     rows = Window.partitionBy("doc_id", "bucket").orderBy("pos")
-    wide = S.join_null_safe(_bucketed(met, gram, size), carried, ["doc_id", "bucket"]).withColumn("d", diagonal)
+    wide = S.join_null_safe(_bucketed(met, gram, size), shuffled(carried), ["doc_id", "bucket"]).withColumn("d", diagonal)
     around = rows.rangeBetween(-(gram - 1), gram - 1)
     lower = F.greatest("before", F.max("last").over(rows.rangeBetween(Window.unboundedPreceding, -gram)))
     upper = F.least("after", F.min("first").over(rows.rangeBetween(gram, Window.unboundedFollowing)))
@@ -82,11 +82,11 @@ def certain_runs(exam: DataFrame, key: DataFrame, gram: int = GRAM, size: int =
 def _pieces(tokens: DataFrame, runs: DataFrame, start: str, size: int) -> DataFrame:
     """Tokens outside the runs, with the number of runs before them."""
     marks = runs.select("doc_id", F.col(start).alias("pos"), "n")
-    marked = tokens.select("doc_id", "pos", "text").join(marks, ["doc_id", "pos"], "left")
+    marked = tokens.select("doc_id", "pos", "text").join(shuffled(marks), ["doc_id", "pos"], "left")
     bucket = F.floor(F.col("pos") / size)
     numbered = S.running_sum(marked, ["doc_id"], ["pos"], bucket, F.col("n").isNotNull().cast("int"), "piece")
     inside = runs.select("doc_id", F.explode(F.sequence(start, F.col(start) + F.col("n") - 1)).alias("pos"))
-    return numbered.drop("n").join(inside, ["doc_id", "pos"], "left_anti")
+    return numbered.drop("n").join(shuffled(inside), ["doc_id", "pos"], "left_anti")
 
 
 def _windows(codes: np.ndarray, n: int, top: int) -> np.ndarray:
@@ -215,7 +215,7 @@ def sequence_changes(exam: DataFrame, key: DataFrame, gram: int = GRAM, large: i
     starts = S.position(ends, ["doc_id"], ["i"], F.floor(F.col("i") / size), "piece").select("doc_id", (F.col("piece") + 1).alias("piece"), "i0", "j0")
     sides = [df.select("doc_id", "piece", F.lit(k).alias("side"), "pos", "text") for k in (0, 1) for df in (rest[k], cut[k])]
     whole = sides[0].unionAll(sides[1]).unionAll(sides[2]).unionAll(sides[3])
-    placed = S.join_null_safe(whole, starts, ["doc_id", "piece"]).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("i0", "j0")})
+    placed = S.join_null_safe(whole, shuffled(starts), ["doc_id", "piece"]).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("i0", "j0")})
     sorted_ = placed.repartition("doc_id", "piece").sortWithinPartitions("doc_id", "piece", "side", "pos")
     return sorted_.mapInArrow(_compare, BLOCKS.format(exam.schema["doc_id"].dataType.simpleString()))
 
@@ -223,5 +223,5 @@ def sequence_changes(exam: DataFrame, key: DataFrame, gram: int = GRAM, large: i
 def tokens_of(blocks: DataFrame, tokens: DataFrame, start: str, end: str) -> DataFrame:
     """The tokens of the stretch ``start`` to ``end`` of every block, with the block's number ``block``."""
     spots = blocks.filter(F.col(start) < F.col(end)).select("doc_id", F.col("j1").alias("block"), F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias("pos"))
-    return spots.join(tokens, ["doc_id", "pos"])
+    return spots.join(shuffled(tokens), ["doc_id", "pos"])
 

@@ -1,8 +1,8 @@
 """Ordered operators that stay distributed when one key holds a large share of the rows.
 
 A plain ``lag`` or running sum partitions by the key alone, so a hot key lands in one task.  Here
-the key is cut into order-preserving buckets: the window runs inside (key, bucket), one summary row
-per bucket carries what the next bucket needs, and the two are joined on the same partitioning.
+the key is cut into order-preserving buckets: the window runs inside (key, bucket), and one summary row
+per bucket carries what the next bucket needs and is read in front of that bucket's rows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from markloom.session import written
 
 _BUCKET = "_bucket"
 SEQ_BUCKET = 4096  # rows of one key per window task when the order column is a dense position
+LARGE_KEY = 1 << 20  # rows of one key that one window task takes as they are
 LIST_WIDTH = 10000  # values of one part of a folded list
 
 
@@ -33,35 +34,59 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def _with_marks(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows behind the one mark of their bucket (``_row`` 0), which brings what the buckets before it leave.
+
+    A mark travels with the rows in the shuffle of their window, so nothing is joined back.
+    """
+    return rows.withColumn("_row", F.lit(1)).unionByName(marks.withColumn("_row", F.lit(0)), allowMissingColumns=True)
+
+
 def lag_within(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: str, out: str) -> DataFrame:
     """Previous value of ``value`` inside each key, in ``order``."""
     wide = df.withColumn(_BUCKET, bucket)
     part = [*keys, _BUCKET]
-    window = Window.partitionBy(*part).orderBy(*order)
     last = wide.groupBy(*part).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_last"))
-    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(_BUCKET))).drop("_last")
-    ranked = wide.withColumn(out, F.lag(value).over(window)).withColumn("_first", F.row_number().over(window) == 1)
-    joined = join_null_safe(ranked, carried, part)
-    return joined.withColumn(out, F.when(F.col("_first"), F.col("_carry.v")).otherwise(F.col(out))).drop(
-        "_first", "_carry", _BUCKET
-    )
+    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy(_BUCKET))).filter("_carry is not null")
+    marked = _with_marks(wide, carried.select(*part, F.col("_carry.v").alias(value)))
+    window = Window.partitionBy(*part).orderBy("_row", *order)
+    return marked.withColumn(out, F.lag(value).over(window)).filter("_row = 1").drop("_row", _BUCKET)
 
 
-def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str) -> DataFrame:
-    """Inclusive running total of ``value`` inside each key. ``order`` must have no ties."""
+def running_sum(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, value: Column, out: str, uncut: bool = False
+) -> DataFrame:
+    """Inclusive running total of ``value`` inside each key. ``order`` must have no ties.
+
+    ``uncut``: a row without bucket has its whole key with it (see ``cut_large``).
+    """
     wide = df.withColumn(_BUCKET, bucket).withColumn("_v", value.cast("bigint"))
     part = [*keys, _BUCKET]
-    window = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = wide.groupBy(*part).agg(F.sum("_v").alias("_total"))
+    totals = (wide.filter(F.col(_BUCKET).isNotNull()) if uncut else wide).groupBy(*part).agg(F.sum("_v").alias("_total"))
     before = Window.partitionBy(*keys).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_offset", F.sum("_total").over(before)).drop("_total")
-    joined = join_null_safe(wide.withColumn(out, F.sum("_v").over(window)), offsets, part)
-    return joined.withColumn(out, F.col(out) + F.coalesce(F.col("_offset"), F.lit(0))).drop("_v", "_offset", _BUCKET)
+    offsets = totals.withColumn("_v", F.sum("_total").over(before)).drop("_total").filter("_v is not null")
+    window = Window.partitionBy(*part).orderBy("_row", *order).rowsBetween(Window.unboundedPreceding, 0)
+    return _with_marks(wide, offsets).withColumn(out, F.sum("_v").over(window)).filter("_row = 1").drop("_v", "_row", _BUCKET)
 
 
-def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str = "seq") -> DataFrame:
-    """Zero-based position of every row inside its key."""
-    return running_sum(df, keys, order, bucket, F.lit(1), out).withColumn(out, F.col(out) - 1)
+def cut_large(df: DataFrame, keys: Sequence[str], bucket: Column, large: int = LARGE_KEY, out: str = "_cut") -> DataFrame:
+    """Add the bucket of every row whose key has more than ``large`` rows; other keys stay in one piece (NULL).
+
+    Keys are counted first, which combines map-side.  At most one row in ``large`` gives a large key, so their
+    list is broadcast.
+    """
+    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > large)
+    marked = df.join(F.broadcast(counted.select(*keys, F.lit(True).alias("_large"))), list(keys), "left")
+    return marked.withColumn(out, F.when(F.col("_large"), bucket)).drop("_large")
+
+
+def position(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, out: str = "seq", large: int | None = None) -> DataFrame:
+    """Zero-based position of every row inside its key; with ``large``, only keys of more rows are cut into buckets."""
+    if large is None:
+        return running_sum(df, keys, order, bucket, F.lit(1), out).withColumn(out, F.col(out) - 1)
+    cut = cut_large(df, keys, bucket, large)
+    placed = running_sum(cut, keys, order, F.col("_cut"), F.lit(1), out, uncut=True)
+    return placed.withColumn(out, F.col(out) - 1).drop("_cut")
 
 
 def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_range") -> DataFrame:

@@ -168,6 +168,36 @@ def test_rounds_over_regions_broadcast_nothing(spark, monkeypatch):
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
 
 
+def test_answers_from_a_key_broadcast_no_tokens(spark, monkeypatch):
+    plans = stored_plans(monkeypatch, layout)
+    out = all_queries()["token_diff_answers"](spark, SF)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    # the first plan, the comparison, broadcasts its list of long documents
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans[1:])
+
+
+def test_sums_over_buckets_are_not_joined_back(spark):
+    """A null-safe join of the buckets' sums would shuffle all rows once more."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = spark.range(3000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"), (F.col("id") % 5).alias("v"))
+    bucket = F.floor(F.col("o") / 100)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (
+        sequences.running_sum(rows, ["k"], ["o"], bucket, F.col("v"), "s"), sequences.lag_within(rows, ["k"], ["o"], bucket, "v", "p"),
+    )]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any("Join" in p for p in plans)
+
+
+@pytest.mark.parametrize("large", [10, 10_000])
+def test_only_large_keys_are_cut(spark, large):
+    rows = spark.range(4000).select(F.when(F.col("id") % 2 > 0, 7).when(F.col("id") > 20, F.col("id") % 400).alias("k"), (F.col("id") * 7919 % 4000).alias("o"))
+    want = rows.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("o")) - 1).withColumn("at", F.col("at").cast("bigint"))
+    got = sequences.position(rows, ["k"], ["o"], F.floor(F.col("o") / 16), "at", large=large)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    cut = sequences.cut_large(rows, ["k"], F.floor(F.col("o") / 16), large).filter("_cut is not null")
+    assert {r.k for r in cut.select("k").distinct().collect()} >= ({7} if large == 10 else set()) and (large == 10 or cut.isEmpty())
+
+
 def test_similarity_join_finds_every_pair_above_the_floor(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(1, 4)))
