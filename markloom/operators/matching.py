@@ -92,16 +92,23 @@ def _prompt_sets(items: DataFrame, ident: str) -> DataFrame:
 
 
 def _sums(*columns: str) -> list[Column]:
-    """Number and two independent 64-bit hash sums of a set's members; they combine map-side in any order."""
-    total = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(20,0)"))
-    return [F.count("*").alias("_n"), total(*columns).alias("_h1"), total(F.lit(7), *columns).alias("_h2")]
+    """Number and two independent 64-bit hashes of a group's rows, summed by halves; they combine map-side in any order."""
+    out = [F.count("*").alias("_n")]
+    for k, h in enumerate((F.xxhash64(*columns), F.xxhash64(F.lit(7), *columns))):
+        out += [F.sum(h.bitwiseAND(0xFFFFFFFF)).alias(f"_l{k}"), F.sum(F.shiftrightunsigned(h, 32)).alias(f"_u{k}")]
+    return out
+
+
+_SAME = ["_n", "_l0", "_u0", "_l1", "_u1"]
 
 
 def _members(sets: DataFrame, ident: str, value: str, rep: str) -> DataFrame:
-    """(ident, rep, size): ``rep`` is the same for owners of equal sets, which are told apart by their sums."""
-    same = ["_n", "_h1", "_h2"]
+    """(ident, rep, size): ``rep`` is the same for owners of equal sets, which are told apart by their sums.
+
+    Rows that come more than once count as often, so ``sets`` may also be lists: then ``size`` is their length.
+    """
     marked = written(sets.groupBy(ident).agg(*_sums(value)), "set-sums")
-    return written(marked.join(marked.groupBy(*same).agg(F.min(ident).alias(rep)), same).select(ident, rep, F.col("_n").alias("size")), "members")
+    return written(marked.join(marked.groupBy(*_SAME).agg(F.min(ident).alias(rep)), _SAME).select(ident, rep, F.col("_n").alias("size")), "members")
 
 
 def _rare_prompts(sets: DataFrame, ident: str, floor: float) -> DataFrame:
@@ -116,14 +123,19 @@ def _rare_prompts(sets: DataFrame, ident: str, floor: float) -> DataFrame:
 def prompt_overlap_join(sheet_items: DataFrame, key_items: DataFrame, floor: float = PROMPT_FLOOR, common: int = 64) -> DataFrame:
     """(sheet_id, slug, hits, ratio) where shared distinct prompts cover at least ``floor`` of the smaller set.
 
-    Sheets with one set of prompts (a class that sat one exam) are compared once.  Prompts that stand in the
+    Sheets with one list of prompts (a class that sat one exam) are one from the start: their prompts are summed
+    up where they lie, and only one sheet's leave their tasks.  Lists of one set are compared once.  Prompts that stand in the
     same keys are one token class: a sheet has a class with the number of its prompts in it, and the keys of a
     class are joined once, however many prompts it has.  Classes of at most ``common`` keys are joined and
     their weights added, which grows linearly with the sheets.  More frequent prompts are only looked up for
     pairs that can still reach the floor; sets made mostly of such prompts get their candidates from their
     rarest prompts instead.  Every qualifying pair is found whatever ``common`` is.
     """
-    sheet_sets, key_sets = _prompt_sets(sheet_items, "sheet_id"), _prompt_sets(key_items, "slug")
+    twins = _members(sheet_items, "sheet_id", "prompt", "twin")
+    first = twins.filter("sheet_id = twin").select("sheet_id")
+    # stored as they are: otherwise Spark normalises the prompts of all sheets before it drops those of the twins
+    own = written(sheet_items.select("sheet_id", "prompt").join(first, "sheet_id", "left_semi").distinct(), "own-prompts")
+    sheet_sets, key_sets = _prompt_sets(own, "sheet_id"), _prompt_sets(key_items, "slug")
     members, owners = _members(sheet_sets, "sheet_id", "prompt", "rep"), key_sets.groupBy("slug").agg(F.count("*").alias("size"))
     heads = members.filter("sheet_id = rep").select("sheet_id", "size")
     classes = _members(key_sets, "prompt", "slug", "class").select("prompt", "class", F.col("size").alias("freq"))
@@ -161,7 +173,8 @@ def prompt_overlap_join(sheet_items: DataFrame, key_items: DataFrame, floor: flo
     hits = F.col("rare") + F.coalesce("more", F.lit(0))
     done = open_pairs.join(extra, pair, "left").withColumn("hits", hits).withColumn("ratio", hits.cast("double") / smaller)
     kept = done.filter(F.col("ratio") >= floor).select(F.col("sheet_id").alias("rep"), "slug", "hits", "ratio")
-    return members.join(kept, "rep").select("sheet_id", "slug", "hits", "ratio")
+    alike = twins.select("sheet_id", "twin").join(members.select(F.col("sheet_id").alias("twin"), "rep"), "twin")
+    return alike.join(kept, "rep").select("sheet_id", "slug", "hits", "ratio")
 
 
 def top2_margin(scored: DataFrame, keys: list[str], score: str, ident: str = "slug") -> DataFrame:

@@ -248,6 +248,22 @@ def test_prompts_of_the_same_keys_are_joined_as_one(spark):
     assert matching._members(sets, "prompt", "slug", "class").select("class").distinct().count() == 13
 
 
+def test_sheets_with_one_list_store_one_sheets_prompts(spark, monkeypatch):
+    stored = []
+
+    def noted(df, label):
+        out = written(df, label)
+        stored.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(matching, "written", noted)
+    sheets = [(s, f"P{i} ") for s in range(40) for i in range(30)] + [(s, f"P{i}") for s in range(40, 50) for i in (*range(30), 3)]
+    si, ki = spark.createDataFrame(sheets, "sheet_id long, prompt string"), spark.createDataFrame([("k", f"p{i}") for i in range(25)], "slug string, prompt string")
+    found = {tuple(r) for r in matching.prompt_overlap_join(si, ki).collect()}
+    assert found == {(s, "k", 25, 1.0) for s in range(50)}
+    assert max(n for label, n in stored if label == "prompt-sets") == 60  # two lists, one set
+
+
 def test_a_frequent_beginning_spreads_over_ranges(spark):
     files = spark.range(20_000).select(F.lit("cam").alias("folder"), F.format_string("IMG_20260101_%06d.jpg", F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("int")).alias("name"), F.col("id"))
     files = files.dropDuplicates(["name"])
