@@ -17,6 +17,7 @@ from markloom.session import written
 _BUCKET = "_bucket"
 SEQ_BUCKET = 4096  # rows of one key per window task when the order column is a dense position
 LARGE_KEY = 1 << 20  # rows of one key that one window task takes as they are
+HASHES = 4096  # hash classes of keys that are counted before the keys themselves
 LIST_WIDTH = 10000  # values of one part of a folded list
 
 
@@ -69,14 +70,24 @@ def running_sum(
     return _with_marks(wide, offsets).withColumn(out, F.sum("_v").over(window)).filter("_row = 1").drop("_v", "_row", _BUCKET)
 
 
+def large_keys(df: DataFrame, keys: Sequence[str], large: int = LARGE_KEY) -> DataFrame:
+    """Keys with more than ``large`` rows.
+
+    Hash classes of keys are counted first, which combines map-side to a few thousand rows a task, then the keys
+    of classes that have so many rows: none in most tables, so their keys are not shuffled for it.
+    """
+    named = df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(HASHES)).alias("_class"))
+    full = named.groupBy("_class").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > large)
+    suspects = named.join(F.broadcast(full.select("_class")), "_class", "left_semi")
+    return suspects.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > large).select(*keys)
+
+
 def cut_large(df: DataFrame, keys: Sequence[str], bucket: Column, large: int = LARGE_KEY, out: str = "_cut") -> DataFrame:
     """Add the bucket of every row whose key has more than ``large`` rows; other keys stay in one piece (NULL).
 
-    Keys are counted first, which combines map-side.  At most one row in ``large`` gives a large key, so their
-    list is broadcast.
+    At most one row in ``large`` gives a large key, so their list is broadcast.
     """
-    counted = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > large)
-    marked = df.join(F.broadcast(counted.select(*keys, F.lit(True).alias("_large"))), list(keys), "left")
+    marked = df.join(F.broadcast(large_keys(df, keys, large).withColumn("_large", F.lit(True))), list(keys), "left")
     return marked.withColumn(out, F.when(F.col("_large"), bucket)).drop("_large")
 
 
@@ -99,9 +110,19 @@ def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str =
     return written(df.repartitionByRange(*keys, *order).withColumn(out, F.spark_partition_id()), "ranged")
 
 
-def ranked_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "seq") -> DataFrame:
-    """Zero-based position of every row inside its key, in any order of columns without ties."""
-    return position(ranged(df, keys, order), keys, order, F.col("_range"), out).drop("_range")
+def ranked_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "seq", large: int = LARGE_KEY) -> DataFrame:
+    """Zero-based position of every row inside its key, in any order of columns without ties.
+
+    Keys of more than ``large`` rows get their positions in sampled ranges, the others in one window each.
+    """
+    rows = written(df, "ranked")
+    hot = written(large_keys(rows, keys, large), "large-keys")
+    place = lambda some: some.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1)
+    if hot.isEmpty():
+        return place(rows)
+    hot = F.broadcast(hot)
+    many = ranged(join_null_safe(rows, hot, keys, "left_semi"), keys, order)
+    return place(join_null_safe(rows, hot, keys, "left_anti")).unionByName(position(many, keys, order, F.col("_range"), out).drop("_range"))
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from markloom.checks import all_queries
-from markloom.operators import layout, lifecycle, matching, reference, sequence_diff, sequences
+from markloom.operators import layout, lifecycle, matching, reference, sequence_diff, sequences, trials
 from markloom.session import scratch_path, written
 from markloom.sources import writers
 
@@ -298,3 +298,36 @@ def test_days_are_pruned(spark):
     leaves = one._jdf.queryExecution().executedPlan().collectLeaves()
     files = max(leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size()) if leaves.apply(i).metrics().contains("numFiles"))
     assert files <= writers.DAY_FILES < len(stored.inputFiles()) / 10
+
+
+def test_only_large_keys_go_through_ranges(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(sequences, "written", lambda df, label: (stored.append(label), written(df, label))[1])
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 > 0, 7).when(F.col("id") > 40, F.col("id") % 400).alias("k"), (F.col("id") * 7919 % 6000).alias("o"))
+    want = rows.withColumn("at", F.row_number().over(Window.partitionBy("k").orderBy("o")).cast("bigint") - 1)
+    for large in (10_000, 1000, 10):
+        got = sequences.ranked_position(rows, ["k"], ["o"], "at", large)
+        assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+        assert ("ranged" in stored) == (large < 10_000)
+    assert {r.k for r in sequences.large_keys(rows, ["k"], 1000).collect()} == {7}
+
+
+def test_queries_read_the_line_items_once(spark):
+    for name in ("run_variance", "unstable_items", "sheet_run_diff", "apply_reference", "teacher_mark_compare", "reading_preservation"):
+        assert "lineitem.parquet" not in all_queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString(), name
+
+
+def test_runs_of_a_sheet_against_the_comparison_of_each(spark):
+    rng = random.Random(3)
+    row = lambda *keys: (*keys, rng.randrange(9), rng.choice(["1", "2", "3", "4", None]), rng.choice(["a", " A", "b"]), rng.choice([True, False, None]))
+    base = spark.createDataFrame([row(s) for s in range(12) for _ in range(rng.randint(1, 6))], "sheet_id int, seq int, no string, written string, correct boolean")
+    mine = spark.createDataFrame([row(s * 2 + k, s) for s in range(14) for k in (0, 1) for _ in range(rng.randint(0, 6))], "trial_id int, sheet_id int, seq int, no string, written string, correct boolean")
+    # one reading a number, so that the last one is certain
+    base, mine = base.dropDuplicates(["sheet_id", "no"]).localCheckpoint(), mine.dropDuplicates(["trial_id", "sheet_id", "no"]).localCheckpoint()
+    runs = spark.range(28).selectExpr("cast(id as int) as trial_id", "cast(id div 2 as int) as sheet_id", "if(id % 3 = 0, 'pass', 'fail') as verdict").filter("trial_id % 7 <> 5")
+    bases = base.groupBy("sheet_id").agg(F.count("*").alias("n")).selectExpr("sheet_id", "n", "'pass' as verdict", "true as near_boundary", "1 as margin")
+    keys = ("trial_id", "sheet_id")
+    theirs = base.join(runs.select(*keys), "sheet_id")
+    want = trials.sheet_run_diff(trials.run_diff_items(theirs, mine.join(runs, [*keys], "left_semi"), keys), bases, runs, keys)
+    got = trials.runs_diff(base, mine, bases, runs).select(*want.columns)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 21
