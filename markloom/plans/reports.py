@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.operators import costs, trials, usage
+from markloom.session import written
 
 
 def compare_models(
@@ -17,12 +18,11 @@ def compare_models(
     output_tokens, error, created_at); ``trial_items``: (trial_id, sheet_id, seq, no, written, correct).
     """
     dims = [*trials.CONDITION]
-    base = trials.bench_base_runs(items, sheets, calls, default_model)
-    runs = trials.latest_trial(trial_runs).filter("error is null")
+    # one row a sheet and one a run, each read three times below
+    base = written(trials.bench_base_runs(items, sheets, calls, default_model), "base-runs")
+    runs = written(trials.latest_trial(trial_runs).filter("error is null"), "runs")
     keys = ("trial_id", "sheet_id")
-    mine = trial_items.join(runs.select(*keys), [*keys], "left_semi")
-    theirs = items.join(runs.select(*keys), "sheet_id")
-    per_sheet = trials.sheet_run_diff(trials.run_diff_items(theirs, mine, keys), base, runs, keys)
+    per_sheet = trials.runs_diff(items, trial_items, base, runs)
     names = {"cost_usd": "cost", "latency_ms": "ms", "input_tokens": "in", "output_tokens": "out"}
     left = base.select("sheet_id", *[F.col(c).alias(f"base_{n}") for c, n in names.items()])
     right = runs.select(*keys, *dims, *[F.col(c).alias(f"trial_{n}") for c, n in names.items()])
