@@ -16,6 +16,8 @@ from markloom import constants as K
 _WS = K.WHITESPACE
 # ASCII and precomposed Hangul are unchanged by compatibility composition.
 _STABLE = r"^[\x00-\x7F가-힣]*$"
+# printed ASCII with single spaces inside: only its letters' case can change
+_CLEAN = r"^\z|^[!-~]++(?: [!-~]++)*+\z"
 _PY_WS = re.sub(r"\\u([0-9A-F]{4})", lambda m: chr(int(m.group(1), 16)), _WS)
 _PY_EDGES = re.compile(f"^[{_PY_WS}]+|[{_PY_WS}]+$")
 _PY_RUNS = re.compile(f"[{_PY_WS}\u200b]+")
@@ -47,7 +49,7 @@ def norm_nfkc(s: pd.Series) -> pd.Series:
         flat = _PY_EDGES.sub("", unicodedata.normalize("NFKC", v)).lower()
         return _PY_RUNS.sub(" ", flat)
 
-    return s.map(one, na_action="ignore")
+    return s if s.isna().all() else s.map(one, na_action="ignore")
 
 
 def composed(c: Column) -> Column:
@@ -62,7 +64,7 @@ def norm(c: Column) -> Column:
     s = text_or_empty(c)
     stable = s.rlike(_STABLE)
     plain = F.regexp_replace(F.lower(trimmed(s)), f"[{_WS}]+", " ")
-    return F.when(stable, plain).otherwise(norm_nfkc(F.when(~stable, s)))
+    return F.when(s.rlike(_CLEAN), F.lower(s)).when(stable, plain).otherwise(norm_nfkc(F.when(~stable, s)))
 
 
 def has_hangul(c: Column) -> Column:

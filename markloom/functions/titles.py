@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from markloom import constants as K
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often it is named (inside a lambda: for every element)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def letter_pairs(normed: Column) -> Column:
     """Distinct character pairs with spaces removed; a single character stands for itself."""
-    t = F.regexp_replace(normed, f"[{K.WHITESPACE}]+", "")
-    size = F.length(t)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(size > 0, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    def pairs(t: Column) -> Column:
+        size = F.length(t)
+        each = F.transform(F.sequence(F.lit(1), F.greatest(size - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
+        return F.when(size > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+
+    return once(F.regexp_replace(normed, f"[{K.WHITESPACE}]+", ""), pairs)
 
 
 def title_numbers(normed: Column) -> Column:
@@ -24,9 +34,12 @@ def title_numbers(normed: Column) -> Column:
 
 
 def dice(a: Column, b: Column) -> Column:
-    sizes = F.size(a) + F.size(b)
-    hit = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * hit / sizes).otherwise(F.lit(0.0))
+    def share(both: Column) -> Column:
+        x, y = both["a"], both["b"]
+        hit = F.size(F.array_intersect(x, y))
+        return F.when((F.size(x) > 0) & (F.size(y) > 0), 2.0 * hit / (F.size(x) + F.size(y))).otherwise(F.lit(0.0))
+
+    return once(F.struct(a.alias("a"), b.alias("b")), share)
 
 
 def jaccard(a: Column, b: Column) -> Column:

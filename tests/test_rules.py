@@ -1,5 +1,8 @@
 """Known cases of the grading rules."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,3 +319,17 @@ def test_words_for_money(one):
 def test_describe_hours(spark):
     text_ = usage.describe_hours(usage.hours_table(spark).withColumn("k", F.lit(1)), ["k"]).first().text
     assert text_ == "월·화·수·목·금·토 13:00~23:00"
+
+
+def test_letter_pairs_strip_a_title_once(one):
+    """Without a binding the title is stripped again for every pair."""
+    pairs = titles.letter_pairs(F.lit("ab  a b"))
+    assert one(pairs, titles.letter_pairs(F.lit(" x ")), titles.letter_pairs(F.lit(None).cast("string"))) == (["ab", "ba"], ["x"], [])
+    assert str(titles.dice(pairs, titles.letter_pairs(F.lit("abc")))).count("regexp_replace") == 2
+    assert one(titles.dice(pairs, titles.letter_pairs(F.lit("abc")))) == 0.5
+
+
+@pytest.mark.parametrize("raw", ["Ab c", "Ab  c", " Ab", "Ab ", "A\tb", "", " ", "Ab\n", "Éa", "ﬁ x", "\x7fA", "가 나"])
+def test_clean_text_is_normalised_like_any_other(one, raw):
+    want = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", raw).strip().lower())
+    assert one(text.norm(F.lit(raw))) == want
