@@ -59,6 +59,18 @@ def composed(c: Column) -> Column:
     return F.when(stable, s).otherwise(nfkc(F.when(~stable, s)))
 
 
+def is_stable(c: Column) -> Column:
+    """Text that compatibility composition leaves as it is, or none."""
+    return text_or_empty(c).rlike(_STABLE)
+
+
+def norm_stable(c: Column) -> Column:
+    """``norm`` of stable text, without Python."""
+    s = text_or_empty(c)
+    plain = F.regexp_replace(F.lower(trimmed(s)), f"[{_WS}]+", " ")
+    return F.when(s.rlike(_CLEAN), F.lower(s)).otherwise(plain)
+
+
 def norm(c: Column) -> Column:
     """NFKC, trim, lower case, runs of spaces to one space. Spelling is never touched."""
     s = text_or_empty(c)

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from markloom.checks import all_queries
-from markloom.operators import layout, lifecycle, matching, reference, sequence_diff, sequences, trials
+from markloom.operators import drift, layout, lifecycle, matching, reference, sequence_diff, sequences, trials
 from markloom.session import scratch_path, written
 from markloom.sources import writers
 
@@ -331,3 +331,25 @@ def test_runs_of_a_sheet_against_the_comparison_of_each(spark):
     want = trials.sheet_run_diff(trials.run_diff_items(theirs, mine.join(runs, [*keys], "left_semi"), keys), bases, runs, keys)
     got = trials.runs_diff(base, mine, bases, runs).select(*want.columns)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 21
+
+
+def test_drift_warnings_shuffle_the_items_once(spark):
+    rng = random.Random(5)
+    no = lambda: rng.choice(["1", "2", " 2", "3", "7", "12", "30", "x", None])
+    row = lambda sheet, seq: (sheet, seq, no(), rng.choice(["a", " A", "ａ", "", None]), rng.choice(["ko2en", "en2ko"]), rng.choice(["", "b"]), rng.choice(["ab", "", "제안", "bc"]))
+    rows = [row(s, i) for s in range(9) for i in range(60 if s == 4 else rng.randint(1, 9))]
+    items = spark.createDataFrame(rows, "sheet_id long, seq long, no string, prompt string, direction string, prefix string, written string")
+    items = written(items, "items")
+    key = items.filter("seq % 3 < 2").selectExpr("sheet_id", "no", "if(seq % 2 = 0, upper(prompt), 'z') as prompt", "seq as pos")
+    sheets = spark.range(8).selectExpr("id as sheet_id", "cast(id % 3 * 4 as int) as printed_total", "cast(1 + id % 2 as int) as page_count")
+    for some in (key, None):
+        got = drift.drift_warnings(items, sheets, some)
+        for large in (20, 0):  # one sheet, then all of them by their numbers and positions
+            other = drift.drift_warnings(items, sheets, some, large=large)
+            assert got.exceptAll(other).isEmpty() and other.exceptAll(got).isEmpty()
+    assert {r.check_no for r in drift.drift_warnings(items, sheets, key).collect()} == set(range(1, 9))
+    plain = lambda df: df.withColumn("prompt", F.translate("prompt", "ａＡ", "aA"))
+    plain(items).write.parquet(path := scratch_path(spark, "plain"))
+    plan = drift.drift_warnings(spark.read.parquet(path), sheets, plain(key))._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange") <= 2  # items with their key, and sheets
