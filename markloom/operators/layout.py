@@ -22,6 +22,15 @@ BOX = ("x", "y", "w", "h")
 HEADER, FOOTER = 0.10, 0.97
 
 
+def _spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows over all shuffle partitions.
+
+    Positions compress so well that Spark, which judges shuffled data by its bytes, would put millions of them into one
+    task; a read gives a task as many as a row group holds.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def bbox_union(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
     """Smallest box around each group, four digits."""
     x0, y0 = F.min("x"), F.min("y")
@@ -117,7 +126,7 @@ def layout_regions(words: DataFrame, lines: DataFrame) -> DataFrame:
     choices = words.filter(text_or_empty(F.col("text")) != "").withColumn("index", circled.cast("int")).filter("index > 0")
     return (
         blanks.select(F.lit("underscore").alias("kind"), *base, none)
-        .unionByName(dedupe_regions(rules).select(F.lit("rule").alias("kind"), *base, none))
+        .unionByName(dedupe_regions(rules.select("doc_id", "page", "pos", *BOX)).select(F.lit("rule").alias("kind"), *base, none))
         .unionByName(choices.select(F.lit("choice").alias("kind"), *base, "index"))
     )
 
@@ -125,20 +134,25 @@ def layout_regions(words: DataFrame, lines: DataFrame) -> DataFrame:
 def dedupe_regions(regions: DataFrame, tol: float = 0.004) -> DataFrame:
     """Drop a region within tol (both axes) of one already kept, in reading order.
 
-    Equal positions merge map-side.  Neighbours are joined over a grid of cells of tol; a cell holds a bounded
+    Equal positions merge first, those of one position in several tasks.  Neighbours are joined over a grid of cells of tol; a cell holds a bounded
     number of positions of four digits.  Then, in rounds, a region without an open neighbour before it is kept
     and drops its neighbours after it, which is the rule in reading order wherever regions don't touch.
     """
     page = ["doc_id", "page"]
     spot = [*page, "y", "x"]
-    same = written(regions.groupBy(*spot).agg(F.min_by(F.struct(*regions.columns), "pos").alias("_r")).select("_r.*"), "spots")
+    # column by column, as numbers are merged in place where a struct would be sorted; all of them take the same row
+    rest = [c for c in regions.columns if c not in spot]
+    least = lambda df, keys: _spread(df, *keys).groupBy(*keys).agg(*[F.min_by(c, "pos").alias(c) for c in rest])
+    salted = regions.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(16)))
+    same = written(least(least(salted, [*spot, "_salt"]), spot), "spots")
     cell = lambda c: F.floor(F.col(c) / tol)
     around = F.explode(F.array(*[F.struct((cell("y") + i).alias("_cy"), (cell("x") + j).alias("_cx")) for i in (-1, 0) for j in (-1, 0, 1)]))
     after = same.select(*page, F.col("y").alias("ly"), F.col("x").alias("lx"), around.alias("_c")).select(*page, "ly", "lx", "_c.*")
     before = same.select(*page, "y", "x", cell("y").alias("_cy"), cell("x").alias("_cx"))
     close = (F.abs(F.col("ly") - F.col("y")) < tol) & (F.abs(F.col("lx") - F.col("x")) < tol)
     earlier = (F.col("y") < F.col("ly")) | ((F.col("y") == F.col("ly")) & (F.col("x") < F.col("lx")))
-    touching = written(after.join(shuffled(before), [*page, "_cy", "_cx"]).filter(close & earlier).select(*spot, "ly", "lx"), "touching")
+    grid = [*page, "_cy", "_cx"]
+    touching = written(_spread(after, *grid).join(shuffled(_spread(before, *grid)), grid).filter(close & earlier).select(*spot, "ly", "lx"), "touching")
     later = [*page, "ly", "lx"]
     dropped = []
     while not touching.isEmpty():

@@ -353,3 +353,17 @@ def test_drift_warnings_shuffle_the_items_once(spark):
     plan = drift.drift_warnings(spark.read.parquet(path), sheets, plain(key))._jdf.queryExecution().executedPlan().toString()
     plan = plan[: plan.index("Initial Plan")] if "Initial Plan" in plan else plan
     assert plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange") <= 2  # items with their key, and sheets
+
+
+def test_region_rows_are_spread_and_narrow(spark):
+    spots = spark.range(40_000).selectExpr("id % 50 as doc_id", "1 as page", "id div 50 % 400 as pos", "id div 50 % 20 / 20.0d as x", "id div 1000 % 20 / 20.0d as y", "id % 3 / 10.0d as w", "0.01d as h").coalesce(1)
+    rows = []
+    count = lambda df, label: (rows.append((label, df.rdd.getNumPartitions())), written(df, label))[1]
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(layout, "written", count)
+        kept = layout.dedupe_regions(spots)
+    want = spots.groupBy("doc_id", "page", "y", "x").agg(F.min("pos").alias("pos"))
+    assert kept.select(*want.columns).exceptAll(want).isEmpty() and kept.count() == want.count()
+    pairs = spots.select("doc_id", "page", "y", "x", "pos", "w", "h")
+    assert kept.select(*pairs.columns).exceptAll(pairs).isEmpty()
+    assert dict(rows)["touching"] >= 8  # not one task, however few bytes they take
