@@ -10,17 +10,19 @@ from pyspark.sql import functions as F
 from markloom import constants as K
 from markloom.functions import verdicts as V
 from markloom.functions.text import filled
+from markloom.operators import sequences as S
 from markloom.operators.verdict import decide
 
 
 def mark_items(results: DataFrame, marks: DataFrame) -> DataFrame:
     """Per number: on the sheet, wrong for us, marked by the teacher. Marks naming no item stay apart."""
-    wrong = ~F.coalesce(F.col("correct"), F.lit(False))
-    ours = results.groupBy("sheet_id", "no").agg(F.bool_or(wrong).alias("ours"), F.lit(True).alias("known"))
-    theirs = marks.select("sheet_id", filled(F.col("mark_no")).alias("no")).filter("no is not null").distinct().withColumn("theirs", F.lit(True))
-    joined = ours.join(theirs, ["sheet_id", "no"], "full_outer")
-    flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
-    return joined.select("sheet_id", "no", flag("known"), flag("ours"), flag("theirs"))
+    no = F.lit(False)
+    wrong = ~F.coalesce(F.col("correct"), no)
+    ours = results.select("sheet_id", "no", F.lit(True).alias("known"), wrong.alias("ours"), no.alias("theirs"))
+    theirs = marks.select("sheet_id", filled(F.col("mark_no")).alias("no"), no.alias("known"), no.alias("ours"), F.lit(True).alias("theirs")).filter("no is not null")
+    # rows without a sheet never match
+    both = S.spread(ours.unionByName(theirs), "sheet_id", "no").withColumn("_side", F.when(F.col("sheet_id").isNull(), F.col("known")))
+    return both.groupBy("sheet_id", "no", "_side").agg(*[F.bool_or(c).alias(c) for c in ("known", "ours", "theirs")]).drop("_side")
 
 
 def unmatched_marks(results: DataFrame, marks: DataFrame) -> DataFrame:

@@ -22,15 +22,6 @@ BOX = ("x", "y", "w", "h")
 HEADER, FOOTER = 0.10, 0.97
 
 
-def _spread(df: DataFrame, *columns: str) -> DataFrame:
-    """The rows over all shuffle partitions.
-
-    Positions compress so well that Spark, which judges shuffled data by its bytes, would put millions of them into one
-    task; a read gives a task as many as a row group holds.
-    """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
-
-
 def bbox_union(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
     """Smallest box around each group, four digits."""
     x0, y0 = F.min("x"), F.min("y")
@@ -142,7 +133,7 @@ def dedupe_regions(regions: DataFrame, tol: float = 0.004) -> DataFrame:
     spot = [*page, "y", "x"]
     # column by column, as numbers are merged in place where a struct would be sorted; all of them take the same row
     rest = [c for c in regions.columns if c not in spot]
-    least = lambda df, keys: _spread(df, *keys).groupBy(*keys).agg(*[F.min_by(c, "pos").alias(c) for c in rest])
+    least = lambda df, keys: S.spread(df, *keys).groupBy(*keys).agg(*[F.min_by(c, "pos").alias(c) for c in rest])
     salted = regions.withColumn("_salt", F.pmod(F.xxhash64("pos"), F.lit(16)))
     same = written(least(least(salted, [*spot, "_salt"]), spot), "spots")
     cell = lambda c: F.floor(F.col(c) / tol)
@@ -152,7 +143,7 @@ def dedupe_regions(regions: DataFrame, tol: float = 0.004) -> DataFrame:
     close = (F.abs(F.col("ly") - F.col("y")) < tol) & (F.abs(F.col("lx") - F.col("x")) < tol)
     earlier = (F.col("y") < F.col("ly")) | ((F.col("y") == F.col("ly")) & (F.col("x") < F.col("lx")))
     grid = [*page, "_cy", "_cx"]
-    touching = written(_spread(after, *grid).join(shuffled(_spread(before, *grid)), grid).filter(close & earlier).select(*spot, "ly", "lx"), "touching")
+    touching = written(S.spread(after, *grid).join(shuffled(S.spread(before, *grid)), grid).filter(close & earlier).select(*spot, "ly", "lx"), "touching")
     later = [*page, "ly", "lx"]
     dropped = []
     while not touching.isEmpty():

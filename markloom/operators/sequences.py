@@ -25,6 +25,15 @@ def seq_bucket(seq: str, size: int = SEQ_BUCKET) -> Column:
     return F.floor(F.col(seq) / size)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows over all shuffle partitions.
+
+    Positions and ids compress so well that Spark, which judges shuffled data by its bytes, would put millions of them into one
+    task; a read of a stored table does so too.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join on equal-or-both-null keys, keeping the left key columns."""
     renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])

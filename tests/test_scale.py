@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from markloom.checks import all_queries
-from markloom.operators import drift, layout, lifecycle, matching, reference, sequence_diff, sequences, trials
+from markloom.operators import agreement, drift, layout, lifecycle, matching, reference, sequence_diff, sequences, trials
 from markloom.session import scratch_path, written
 from markloom.sources import writers
 
@@ -367,3 +367,16 @@ def test_region_rows_are_spread_and_narrow(spark):
     pairs = spots.select("doc_id", "page", "y", "x", "pos", "w", "h")
     assert kept.select(*pairs.columns).exceptAll(pairs).isEmpty()
     assert dict(rows)["touching"] >= 8  # not one task, however few bytes they take
+
+
+def test_marks_meet_items_without_a_join(spark):
+    results = spark.createDataFrame([(1, "1", True), (1, "1", False), (1, "2", None), (1, "3", True), (1, None, True), (None, "1", True)], "sheet_id long, no string, correct boolean")
+    marks = spark.createDataFrame([(1, " 3 "), (1, "3"), (1, "9"), (1, " "), (2, "1"), (None, "1")], "sheet_id long, mark_no string")
+    pairs = agreement.mark_items(results, marks)
+    got = sorted((tuple(r) for r in pairs.collect()), key=str)
+    assert got == sorted([
+        (1, "1", True, True, False), (1, "2", True, True, False), (1, "3", True, False, True), (1, None, True, False, False),
+        (1, "9", False, False, True), (2, "1", False, False, True), (None, "1", True, False, False), (None, "1", False, False, True),
+    ], key=str)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "REPARTITION_BY_NUM" in plan
