@@ -125,8 +125,8 @@ def layout_regions(words: DataFrame, lines: DataFrame) -> DataFrame:
 def dedupe_regions(regions: DataFrame, tol: float = 0.004) -> DataFrame:
     """Drop a region within tol (both axes) of one already kept, in reading order.
 
-    Equal positions merge first, those of one position in several tasks.  Neighbours are joined over a grid of cells of tol; a cell holds a bounded
-    number of positions of four digits.  Then, in rounds, a region without an open neighbour before it is kept
+    Equal positions merge first, those of one position in several tasks.  Neighbours are joined over a grid of cells
+    of tol; a cell holds a bounded number of positions of four digits.  Then, in rounds, a region without an open neighbour before it is kept
     and drops its neighbours after it, which is the rule in reading order wherever regions don't touch.
     """
     page = ["doc_id", "page"]
