@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from markloom.operators import costs, trials, usage
-from markloom.session import written
 
 
 def compare_models(
@@ -17,16 +16,12 @@ def compare_models(
     ``trial_runs``: (trial_id, sheet_id, model, effort, variant, edge, verdict, cost_usd, latency_ms, input_tokens,
     output_tokens, error, created_at); ``trial_items``: (trial_id, sheet_id, seq, no, written, correct).
     """
-    dims = [*trials.CONDITION]
-    # one row a sheet and one a run, each read three times below
-    base = written(trials.bench_base_runs(items, sheets, calls, default_model), "base-runs")
-    runs = written(trials.latest_trial(trial_runs).filter("error is null"), "runs")
-    keys = ("trial_id", "sheet_id")
-    per_sheet = trials.runs_diff(items, trial_items, base, runs)
     names = {"cost_usd": "cost", "latency_ms": "ms", "input_tokens": "in", "output_tokens": "out"}
-    left = base.select("sheet_id", *[F.col(c).alias(f"base_{n}") for c, n in names.items()])
-    right = runs.select(*keys, *dims, *[F.col(c).alias(f"trial_{n}") for c, n in names.items()])
-    return trials.trial_summary(per_sheet.join(left, "sheet_id").join(right, [*keys]), dims)
+    base = trials.bench_base_runs(items, sheets, calls, default_model)
+    runs = trials.latest_trial(trial_runs).filter("error is null")
+    left = base.select("sheet_id", "n", "verdict", "near_boundary", "margin", *[F.col(c).alias(f"base_{n}") for c, n in names.items()])
+    right = runs.select("trial_id", "sheet_id", "verdict", *trials.CONDITION, *[F.col(c).alias(f"trial_{n}") for c, n in names.items()])
+    return trials.trial_summary(trials.runs_diff(items, trial_items, left, right), [*trials.CONDITION])
 
 
 def usage_report(events: DataFrame, hours: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

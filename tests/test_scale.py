@@ -333,6 +333,18 @@ def test_runs_of_a_sheet_against_the_comparison_of_each(spark):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 21
 
 
+def test_runs_and_sheets_are_joined_once_and_not_collected(spark):
+    """Stored base runs and runs look small in files: Spark would collect all of them on the driver."""
+    base = spark.range(400).selectExpr("id div 8 as sheet_id", "id % 8 as seq", "string(id % 8) as no", "'a' as written", "id % 3 = 0 as correct")
+    runs = written(spark.range(100).selectExpr("id as trial_id", "id div 2 as sheet_id", "'pass' as verdict", "id as trial_cost"), "runs")
+    bases = written(base.groupBy("sheet_id").agg(F.count("*").alias("n")).selectExpr("*", "'pass' as verdict", "true as near_boundary", "1 as margin", "sheet_id as base_cost"), "base-runs")
+    got = trials.runs_diff(base, runs.select("trial_id", "sheet_id").join(base, "sheet_id").localCheckpoint(), bases, runs)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 3
+    assert "REPARTITION_BY_NUM" in plan  # readings of all runs do not share a few tasks
+    assert {(r.trial_cost, r.base_cost, r.n, r.agree, r.only_base) for r in got.collect()} == {(i, i // 2, 8, 8, 0) for i in range(100)}
+
+
 def test_drift_warnings_shuffle_the_items_once(spark):
     rng = random.Random(5)
     no = lambda: rng.choice(["1", "2", " 2", "3", "7", "12", "30", "x", None])
