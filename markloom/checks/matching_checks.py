@@ -78,7 +78,9 @@ OVERLAP = """
 
 @query("prompt_overlap_join", f"with {OVERLAP} select sheet_id, slug, hits, round(ratio, 6) as ratio from overlap where ratio >= 0.7e0 - 0.15e0")
 def _(t):
-    return M.prompt_overlap_join(t.exam_items, t.key_items).withColumn("ratio", F.round("ratio", 6))
+    t.keep_exams()
+    lists, items = t.exam_lists
+    return M.prompt_overlap_join(items, t.key_items, lists=lists).withColumn("ratio", F.round("ratio", 6))
 
 
 @query("top2_margin", f"""with {SCORED}, r as (select *, row_number() over (partition by title order by score desc, slug) as rn,
@@ -120,7 +122,9 @@ MATCH = f"""{SCORED}, {OVERLAP},
 
 
 def matched(t):
-    return M.match_answer_key(t.exams, t.exam_items, t.keys, t.key_items)
+    t.keep_exams()
+    lists, items = t.exam_lists
+    return M.match_answer_key(t.exams, items, t.keys, t.key_items, lists)
 
 
 @query("match_answer_key", "with " + MATCH)

@@ -16,7 +16,7 @@ from markloom.functions import titles as T
 from markloom.functions.money import round2
 from markloom.functions.text import norm
 from markloom.operators import sequences as S
-from markloom.session import written
+from markloom.session import shuffled, written
 
 TITLE_FLOOR = K.TITLE_MIN - K.TITLE_MARGIN
 PROMPT_FLOOR = K.PROMPT_MIN - K.PROMPT_MARGIN
@@ -120,61 +120,82 @@ def _rare_prompts(sets: DataFrame, ident: str, floor: float) -> DataFrame:
     return ranked.filter(F.col("_pos") < keep).select(ident, "prompt", F.col("size"))
 
 
-def prompt_overlap_join(sheet_items: DataFrame, key_items: DataFrame, floor: float = PROMPT_FLOOR, common: int = 64) -> DataFrame:
+def prompt_lists(sheet_items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sheet_id, list) and (list, prompt): sheets with one list of prompts (a class that sat one exam) are one from the start.
+
+    Their prompts are summed up where they lie, and only one sheet's leave their tasks.
+    """
+    twins = _members(sheet_items, "sheet_id", "prompt", "twin")
+    first = twins.filter("sheet_id = twin").select("sheet_id")
+    # not normalised yet: otherwise Spark normalises the prompts of all sheets before it drops those of the twins
+    own = sheet_items.select("sheet_id", "prompt").join(first, "sheet_id", "left_semi")
+    return twins.select("sheet_id", F.col("twin").alias("list")), own.withColumnRenamed("sheet_id", "list")
+
+
+def prompt_overlap_join(
+    sheet_items: DataFrame, key_items: DataFrame, floor: float = PROMPT_FLOOR, common: int = 64, lists: DataFrame | None = None
+) -> DataFrame:
     """(sheet_id, slug, hits, ratio) where shared distinct prompts cover at least ``floor`` of the smaller set.
 
-    Sheets with one list of prompts (a class that sat one exam) are one from the start: their prompts are summed
-    up where they lie, and only one sheet's leave their tasks.  Lists of one set are compared once.  Prompts that stand in the
-    same keys are one token class: a sheet has a class with the number of its prompts in it, and the keys of a
+    ``lists``: (sheet_id, list), where it is known beforehand which sheets have one list of prompts; ``sheet_items`` is
+    then (list, prompt), so no list is spelled out for each of its sheets.  Otherwise it is (sheet_id, prompt).
+    """
+    if lists is None:
+        lists, sheet_items = prompt_lists(sheet_items)
+    found = list_overlap_join(sheet_items, key_items, floor, common)
+    return shuffled(lists.select("sheet_id", "list")).join(found, "list").select("sheet_id", "slug", "hits", "ratio")
+
+
+def list_overlap_join(list_items: DataFrame, key_items: DataFrame, floor: float = PROMPT_FLOOR, common: int = 64) -> DataFrame:
+    """(list, slug, hits, ratio) where shared distinct prompts cover at least ``floor`` of the smaller set.
+
+    Lists of one set are compared once.  Prompts that stand in the
+    same keys are one token class: a list has a class with the number of its prompts in it, and the keys of a
     class are joined once, however many prompts it has.  Classes of at most ``common`` keys are joined and
-    their weights added, which grows linearly with the sheets.  More frequent prompts are only looked up for
+    their weights added, which grows linearly with the lists.  More frequent prompts are only looked up for
     pairs that can still reach the floor; sets made mostly of such prompts get their candidates from their
     rarest prompts instead.  Every qualifying pair is found whatever ``common`` is.
     """
-    twins = _members(sheet_items, "sheet_id", "prompt", "twin")
-    first = twins.filter("sheet_id = twin").select("sheet_id")
-    # stored as they are: otherwise Spark normalises the prompts of all sheets before it drops those of the twins
-    own = written(sheet_items.select("sheet_id", "prompt").join(first, "sheet_id", "left_semi").distinct(), "own-prompts")
-    sheet_sets, key_sets = _prompt_sets(own, "sheet_id"), _prompt_sets(key_items, "slug")
-    members, owners = _members(sheet_sets, "sheet_id", "prompt", "rep"), key_sets.groupBy("slug").agg(F.count("*").alias("size"))
-    heads = members.filter("sheet_id = rep").select("sheet_id", "size")
+    own = written(list_items.select("list", "prompt").distinct(), "own-prompts")
+    list_sets, key_sets = _prompt_sets(own, "list"), _prompt_sets(key_items, "slug")
+    members, owners = _members(list_sets, "list", "prompt", "rep"), key_sets.groupBy("slug").agg(F.count("*").alias("size"))
+    heads = members.filter("list = rep").select("list", "size")
     classes = _members(key_sets, "prompt", "slug", "class").select("prompt", "class", F.col("size").alias("freq"))
     # prompts of no key cannot be shared, but they count in the set's size
-    a = written(sheet_sets.join(heads, "sheet_id").join(classes, "prompt"), "sheet-prompts")
+    a = written(list_sets.join(heads, "list").join(classes, "prompt"), "list-prompts")
     b = written(key_sets.join(owners, "slug").join(classes, "prompt"), "key-prompts")
     hot = F.col("freq") > common
-    pair = ["sheet_id", "slug"]
+    pair = ["list", "slug"]
 
     def sizes(df: DataFrame, ident: str, side: str) -> DataFrame:
         return df.groupBy(ident).agg(F.first("size").alias(f"size_{side}"), F.count_if(hot).alias(f"hot_{side}"))
 
-    size_a, size_b = sizes(a, "sheet_id", "a"), sizes(b, "slug", "b")
-    held = a.filter(~hot).groupBy("sheet_id", "class").agg(F.count("*").alias("weight"))
+    size_a, size_b = sizes(a, "list", "a"), sizes(b, "slug", "b")
+    held = a.filter(~hot).groupBy("list", "class").agg(F.count("*").alias("weight"))
     posted = b.filter(~hot & (F.col("prompt") == F.col("class"))).select("class", "slug")
     direct = held.join(posted, "class").groupBy(*pair).agg(F.sum("weight").alias("rare"))
 
     mostly = F.count_if(hot) >= F.first("size") * F.lit(floor)
-    hot_a = a.groupBy("sheet_id").agg(mostly.alias("_m")).filter("_m").select("sheet_id")
+    hot_a = a.groupBy("list").agg(mostly.alias("_m")).filter("_m").select("list")
     hot_b = b.groupBy("slug").agg(mostly.alias("_m")).filter("_m").select("slug")
-    first_a = _rare_prompts(a.join(hot_a, "sheet_id", "left_semi"), "sheet_id", floor)
+    first_a = _rare_prompts(a.join(hot_a, "list", "left_semi"), "list", floor)
     first_b = _rare_prompts(b.join(hot_b, "slug", "left_semi"), "slug", floor)
     from_a = first_a.join(b.select("slug", "prompt", F.col("size").alias("_s")), "prompt").filter("size <= _s").select(*pair)
-    from_b = first_b.join(a.select("sheet_id", "prompt", F.col("size").alias("_s")), "prompt").filter("size < _s").select(*pair)
+    from_b = first_b.join(a.select("list", "prompt", F.col("size").alias("_s")), "prompt").filter("size < _s").select(*pair)
     loose = from_a.unionAll(from_b).distinct().withColumn("rare", F.lit(0).cast("bigint"))
     found = direct.unionAll(loose).groupBy(*pair).agg(F.max("rare").alias("rare"))
-    sized = found.join(size_a, "sheet_id").join(size_b, "slug")
+    sized = found.join(size_a, "list").join(size_b, "slug")
     smaller = F.least("size_a", "size_b")
     reach = F.col("rare") + F.least("hot_a", "hot_b")
     open_pairs = written(sized.filter(reach >= smaller * F.lit(floor) - F.lit(1e-9)), "open-pairs")
     needs = (F.col("hot_a") > 0) & (F.col("hot_b") > 0)
-    held = a.filter(hot).groupBy("sheet_id", "class").agg(F.count("*").alias("weight"))
+    held = a.filter(hot).groupBy("list", "class").agg(F.count("*").alias("weight"))
     posted = b.filter(hot & (F.col("prompt") == F.col("class"))).select("class", "slug")
-    extra = open_pairs.filter(needs).select(*pair).join(held, "sheet_id").join(posted, ["slug", "class"]).groupBy(*pair).agg(F.sum("weight").alias("more"))
+    extra = open_pairs.filter(needs).select(*pair).join(held, "list").join(posted, ["slug", "class"]).groupBy(*pair).agg(F.sum("weight").alias("more"))
     hits = F.col("rare") + F.coalesce("more", F.lit(0))
     done = open_pairs.join(extra, pair, "left").withColumn("hits", hits).withColumn("ratio", hits.cast("double") / smaller)
-    kept = done.filter(F.col("ratio") >= floor).select(F.col("sheet_id").alias("rep"), "slug", "hits", "ratio")
-    alike = twins.select("sheet_id", "twin").join(members.select(F.col("sheet_id").alias("twin"), "rep"), "twin")
-    return alike.join(kept, "rep").select("sheet_id", "slug", "hits", "ratio")
+    kept = done.filter(F.col("ratio") >= floor).select(F.col("list").alias("rep"), "slug", "hits", "ratio")
+    return members.select("list", "rep").join(kept, "rep").select("list", "slug", "hits", "ratio")
 
 
 def top2_margin(scored: DataFrame, keys: list[str], score: str, ident: str = "slug") -> DataFrame:
@@ -194,12 +215,15 @@ def ambiguous_top3(title_scores: DataFrame, keys: DataFrame) -> DataFrame:
     return named.select("title", "place", "slug", "key_title", round2(F.col("score")).alias("score"))
 
 
-def match_answer_key(sheets: DataFrame, sheet_items: DataFrame, keys: DataFrame, key_items: DataFrame) -> DataFrame:
+def match_answer_key(
+    sheets: DataFrame, sheet_items: DataFrame, keys: DataFrame, key_items: DataFrame, lists: DataFrame | None = None
+) -> DataFrame:
     """One row per sheet: slug, how, score, rival_score, why and the candidates that were too close to call.
 
     An equal title wins outright. Otherwise shared prompts beat a similar title, and when the two
     point to different keys nothing is chosen. ``rival_score`` is NULL when no other key comes
-    within reach of the threshold.
+    within reach of the threshold.  ``lists`` and ``sheet_items`` are as in ``prompt_overlap_join``; the best key by
+    prompts is chosen once a list.
     """
     exact = exact_title_match(sheets, keys)
     rest = sheets.join(exact, "sheet_id", "left_anti").select("sheet_id", norm(F.col("title")).alias("_title"))
@@ -216,17 +240,18 @@ def match_answer_key(sheets: DataFrame, sheet_items: DataFrame, keys: DataFrame,
         F.sort_array(F.collect_list(F.struct("place", F.col("key_title").alias("title"), "score"))).alias("near")
     ).withColumnRenamed("title", "_title")
 
-    left_items = sheet_items.join(rest.select("sheet_id"), "sheet_id", "left_semi")
-    prompts = prompt_overlap_join(left_items, key_items)
-    best_prompt = top2_margin(prompts, ["sheet_id"], "ratio").filter(
+    if lists is None:
+        lists, sheet_items = prompt_lists(sheet_items.join(rest.select("sheet_id"), "sheet_id", "left_semi"))
+    best_prompt = top2_margin(list_overlap_join(sheet_items, key_items), ["list"], "ratio").filter(
         (F.col("ratio") >= K.PROMPT_MIN)
         & (F.col("hits") >= K.PROMPT_MIN_COUNT)
         & (F.col("runner_up").isNull() | (F.col("margin") >= K.PROMPT_MARGIN))
     )
     p = best_prompt.join(named, "slug").select(
-        "sheet_id", F.struct("slug", "key_title", F.col("ratio").alias("score"), "runner_up", "hits").alias("p")
+        "list", F.struct("slug", "key_title", F.col("ratio").alias("score"), "runner_up", "hits").alias("p")
     )
-    both = rest.join(t, "_title", "left").join(near, "_title", "left").join(p, "sheet_id", "left")
+    listed = rest.join(shuffled(lists.select("sheet_id", "list")), "sheet_id", "left")
+    both = listed.join(t, "_title", "left").join(near, "_title", "left").join(p, "list", "left")
     conflict = F.col("t").isNotNull() & F.col("p").isNotNull() & (F.col("t.slug") != F.col("p.slug"))
     kind = (
         F.when(F.coalesce(conflict, F.lit(False)), F.lit(None).cast("string"))

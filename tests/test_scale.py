@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from markloom.checks import all_queries
+from markloom.checks.views import Tables
 from markloom.operators import agreement, drift, layout, lifecycle, matching, reference, sequence_diff, sequences, trials
 from markloom.session import scratch_path, written
 from markloom.sources import writers
@@ -264,6 +265,34 @@ def test_sheets_with_one_list_store_one_sheets_prompts(spark, monkeypatch):
     assert max(n for label, n in stored if label == "prompt-sets") == 60  # two lists, one set
 
 
+def test_lists_known_beforehand_give_the_rows_of_every_sheets_items(spark):
+    rng = random.Random(9)
+    lists = spark.createDataFrame([(s, rng.choice(["a", "b", "c", "none", None])) for s in range(60)], "sheet_id long, list string")
+    items = spark.createDataFrame([(a, f"P{i}") for a, n in (("a", 20), ("b", 9), ("c", 9)) for i in range(n)] + [("b", "own"), ("c", "p3")], "list string, prompt string")
+    keys = spark.createDataFrame([("k1", "K1"), ("k2", "K2"), ("k3", "K3")], "slug string, title string")
+    key_items = spark.createDataFrame([("k1", f"p{i}") for i in range(18)] + [("k2", f"p{i}") for i in range(9, 20)] + [("k3", "z")], "slug string, prompt string")
+    sheets = lists.select("sheet_id", F.when(F.col("sheet_id") % 9 == 0, "k2").otherwise("?").alias("title"))
+    spelled = lists.join(items, "list").select("sheet_id", "prompt")
+    same = lambda a, b: a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    got = matching.prompt_overlap_join(items, key_items, lists=lists)
+    assert same(got, matching.prompt_overlap_join(spelled, key_items)) and got.count() > 40
+    got = matching.match_answer_key(sheets, items, keys, key_items, lists)
+    assert same(got, matching.match_answer_key(sheets, spelled, keys, key_items)) and got.count() == 60
+    assert {"제목", "문항"} <= {r.how for r in got.collect()}
+
+
+def test_exam_items_are_derived_once_a_list(spark):
+    """Sheets times parts of their exam grow with the square of the tables; their lists do not."""
+    t = Tables(spark, SF)
+    exam = t.part.filter("p_partkey in (3, 5, 8)").select("p_size", "p_type").unionByName(spark.createDataFrame([(None, "X")], "p_size int, p_type string"))
+    t.__dict__["exams"] = spark.range(-200, 2000).withColumnRenamed("id", "sheet_id").crossJoin(exam).filter("sheet_id % 50 = 7 or p_size % 3 = sheet_id % 3 or p_size is null")
+    lists, items = t.exam_lists
+    got, want = lists.join(items, "list").select("sheet_id", "prompt"), t.exam_items.select("sheet_id", "prompt")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert lists.count() == lists.select("sheet_id").distinct().count()
+    assert items.count() < want.count() / 5
+
+
 def test_a_frequent_beginning_spreads_over_ranges(spark):
     files = spark.range(20_000).select(F.lit("cam").alias("folder"), F.format_string("IMG_20260101_%06d.jpg", F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("int")).alias("name"), F.col("id"))
     files = files.dropDuplicates(["name"])
