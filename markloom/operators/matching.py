@@ -226,7 +226,8 @@ def match_answer_key(
     prompts is chosen once a list.
     """
     exact = exact_title_match(sheets, keys)
-    rest = sheets.join(exact, "sheet_id", "left_anti").select("sheet_id", norm(F.col("title")).alias("_title"))
+    others = sheets.join(shuffled(exact.select("sheet_id")), "sheet_id", "left_anti")
+    rest = written(others.select("sheet_id", norm(F.col("title")).alias("_title")), "other-sheets")
     named = keys.select("slug", F.col("title").alias("key_title"))
 
     titles = written(title_similarity_join(rest.select(F.col("_title").alias("title")), keys), "title-scores")

@@ -293,6 +293,12 @@ def test_exam_items_are_derived_once_a_list(spark):
     assert items.count() < want.count() / 5
 
 
+def test_sheets_with_an_equal_title_are_not_collected(spark, monkeypatch):
+    plans = stored_plans(monkeypatch, matching)
+    all_queries()["match_answer_key"](spark, SF)
+    assert any("SortMergeJoin" in line and "LeftAnti" in line for p in plans for line in p.splitlines())
+
+
 def test_a_frequent_beginning_spreads_over_ranges(spark):
     files = spark.range(20_000).select(F.lit("cam").alias("folder"), F.format_string("IMG_20260101_%06d.jpg", F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("int")).alias("name"), F.col("id"))
     files = files.dropDuplicates(["name"])
