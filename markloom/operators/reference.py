@@ -117,13 +117,12 @@ def unjudged_warning(results: DataFrame, order: str = "seq") -> DataFrame:
 
 def key_match_notes(matches: DataFrame) -> DataFrame:
     """Info rows for keys found by anything but an equal title, and for sheets with rivals."""
-    near = matches.filter(F.col("slug").isNotNull() & (F.col("how") != K.HOW_TITLE))
+    near = F.col("slug").isNotNull() & (F.col("how") != K.HOW_TITLE)
     near_text = told(K.KEY_NEAR, F.col("how"), text_or_empty(F.col("why")))
-    rivals = matches.filter(F.col("slug").isNull() & (F.coalesce(F.size("ambiguous"), F.lit(0)) > 0))
+    rivals = F.col("slug").isNull() & (F.coalesce(F.size("ambiguous"), F.lit(0)) > 0)
     names = F.array_join(F.transform("ambiguous", lambda a: F.concat(F.lit("「"), a["title"], F.lit("」"))), ", ")
-    rival_text = told(K.KEY_RIVALS, names)
-    info = F.lit("info").alias("level")
-    return near.select("sheet_id", info, near_text.alias("text")).unionByName(rivals.select("sheet_id", info, rival_text.alias("text")))
+    text = F.when(F.col("slug").isNotNull(), near_text).otherwise(told(K.KEY_RIVALS, names))
+    return matches.filter(near | rivals).select("sheet_id", F.lit("info").alias("level"), text.alias("text"))
 
 
 def key_slug(title: Column) -> Column:

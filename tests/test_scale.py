@@ -299,6 +299,15 @@ def test_sheets_with_an_equal_title_are_not_collected(spark, monkeypatch):
     assert any("SortMergeJoin" in line and "LeftAnti" in line for p in plans for line in p.splitlines())
 
 
+def test_notes_read_the_matches_once(spark):
+    rows = [(1, "k", "제목", "w", []), (2, "k", "문항", "w", []), (3, "k", "문항", None, None), (4, None, None, None, [("A", 0.9), ("B", 0.8)]), (5, None, None, None, []), (6, None, None, None, None)]
+    matches = spark.createDataFrame(rows, "sheet_id long, slug string, how string, why string, ambiguous array<struct<title:string,score:double>>")
+    notes = reference.key_match_notes(matches)
+    got = {r.sheet_id: r.text for r in notes.collect()}
+    assert set(got) == {2, 3, 4} and got[2].startswith("🔶 정답지를 「문항」로 붙였습니다 — w ") and "「A」, 「B」" in got[4]
+    assert "Union" not in notes._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_frequent_beginning_spreads_over_ranges(spark):
     files = spark.range(20_000).select(F.lit("cam").alias("folder"), F.format_string("IMG_20260101_%06d.jpg", F.pmod(F.xxhash64("id"), F.lit(10**9)).cast("int")).alias("name"), F.col("id"))
     files = files.dropDuplicates(["name"])
